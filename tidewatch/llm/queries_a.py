@@ -63,12 +63,12 @@ SQL = {
     "p1_terms": _TERMS,
     "p1_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p2_found": _LATEST + r""",
-a AS (SELECT concat(domain, '/', as_of) AS grp, cand_id AS item, max(emergence_score) AS s FROM latest WHERE emergence_score IS NOT NULL AND emergence_score <= 'Infinity'::FLOAT GROUP BY 1, 2),
-b AS (SELECT cand_id AS grp, doc_id AS item, max(weight) AS s FROM cand_docs WHERE weight IS NOT NULL AND weight <= 'Infinity'::FLOAT GROUP BY 1, 2)
+a AS (SELECT concat(domain, '/', as_of) AS grp, cand_id AS item, max(emergence_score) AS s FROM latest WHERE emergence_score IS NOT NULL AND emergence_score::VARCHAR <> 'nan' GROUP BY 1, 2),
+b AS (SELECT cand_id AS grp, doc_id AS item, max(weight) AS s FROM cand_docs WHERE weight IS NOT NULL AND weight::VARCHAR <> 'nan' GROUP BY 1, 2)
 SELECT grp, place::INTEGER AS place, item FROM (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY s DESC, item) AS place FROM a) WHERE place <= 15
 UNION ALL SELECT grp, place::INTEGER AS place, item FROM (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY s DESC, item) AS place FROM b) WHERE place <= 10""",
     "p4_sample": r"""
 WITH u AS (SELECT doc_id, year, ('0x' || substr(sha256('tidewatch-sample-1' || chr(31) || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM works)
 SELECT doc_id, year, round(u, 9) AS u FROM u WHERE u < 0.1""",
-    "p7_found": _LATEST + ", g AS (SELECT DISTINCT domain, as_of, cand_id, c_novelty, c_growth, c_burst, c_diffusion FROM latest),\nr AS (SELECT domain, as_of, cand_id, count(*) OVER (PARTITION BY domain, as_of) AS size, " + ", ".join(f"CASE WHEN {c} IS NULL OR {c} > 'Infinity'::FLOAT THEN 0 WHEN rank() OVER (PARTITION BY domain, as_of ORDER BY CASE WHEN {c} > 'Infinity'::FLOAT THEN NULL ELSE {c} END DESC NULLS LAST) <= 3 THEN 1 ELSE 0 END AS x{i}" for i, c in enumerate(SCORES)) + " FROM g)\nSELECT domain, as_of, cand_id FROM r WHERE size >= 10 AND x0 + x1 + x2 + x3 >= 3",
+    "p7_found": _LATEST + ", g AS (SELECT DISTINCT domain, as_of, cand_id, c_novelty, c_growth, c_burst, c_diffusion FROM latest),\nr AS (SELECT domain, as_of, cand_id, count(*) OVER (PARTITION BY domain, as_of) AS size, " + ", ".join(f"CASE WHEN {c} IS NULL OR {c}::VARCHAR = 'nan' THEN 0 WHEN rank() OVER (PARTITION BY domain, as_of ORDER BY CASE WHEN {c}::VARCHAR = 'nan' THEN NULL ELSE {c} END DESC NULLS LAST) <= 3 THEN 1 ELSE 0 END AS x{i}" for i, c in enumerate(SCORES)) + " FROM g)\nSELECT domain, as_of, cand_id FROM r WHERE size >= 10 AND x0 + x1 + x2 + x3 >= 3",
 }
