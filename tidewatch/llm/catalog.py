@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import queries_a
+from tidewatch.llm import queries_a, queries_b
 
-QUERIES = {**queries_a.QUERIES}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
 SQL = {**queries_a.SQL}
