@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from tidewatch.plans import training
+
+QUERIES: dict = {**training.QUERIES}
 SQL: dict = {}
