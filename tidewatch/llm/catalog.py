@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import queries_a, queries_b
+from tidewatch.llm import queries_a, queries_b, queries_c
 
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES}
 SQL = {**queries_a.SQL}
