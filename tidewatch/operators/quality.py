@@ -53,7 +53,7 @@ def reference_match(reference: DataFrame, candidates: DataFrame, generic: list[s
 
 def recall(reference: DataFrame, matches: DataFrame) -> DataFrame:
     """One row (found, total, exact, recall)."""
-    return reference.select(F.col("label").alias("ref")).distinct().join(matches, "ref", "left").agg(F.count("cand_id").alias("found"), F.count("*").alias("total"), F.count_if(F.col("tier") == 1).alias("exact"), F.round(F.count("cand_id") / F.count("*"), 4).alias("recall"))
+    return reference.select(F.col("label").alias("ref")).distinct().join(matches, "ref", "left").agg(F.count("cand_id").alias("found"), F.count("*").alias("total"), F.count_if(F.col("tier") == 1).alias("exact"), F.coalesce(F.round(F.count("cand_id") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("recall"))
 
 
 def baseline(counts: DataFrame, as_of: int, k: int, kind: str) -> DataFrame:

@@ -100,11 +100,11 @@ def dedup_live(rows: DataFrame, keys: Sequence[str] = ("url_key", "title_key"),
     """rows without those whose URL or title was kept before, in the given order; a dropped row registers neither key.
 
     Rows that share no key with others pass without Python; the rest, POOL_ROWS at most, are walked in order by one task."""
-    schema = rows.schema
+    schema, names = rows.schema, rows.columns
 
     def walk(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         _check(f)
-        f = f.sort_values(list(order))
+        f = f[names].sort_values(list(order))
         seen: list[set] = [set() for _ in keys]
         keep = []
         for values in f[list(keys)].itertuples(index=False):
@@ -123,6 +123,6 @@ def dedup_live(rows: DataFrame, keys: Sequence[str] = ("url_key", "title_key"),
     for c in keys:
         alone = alone & (F.col(c).isNull() | (F.col(f"__n_{c}") == 1))
     drop = [f"__n_{c}" for c in keys]
-    free = single.where(alone).drop(*drop).select(*rows.columns)
-    tied = single.where(~alone).drop(*drop).select(*rows.columns)
-    return free.unionByName(tied.groupBy(F.lit(1).alias("__all")).applyInPandas(lambda key, f: walk(key, f[rows.columns]), schema))
+    free = single.where(alone).drop(*drop).select(*names)
+    tied = single.where(~alone).drop(*drop).select(*names)
+    return free.unionByName(tied.groupBy(F.lit(1).alias("__all")).applyInPandas(walk, schema))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import training
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {**training.QUERIES}
-SQL: dict = {}
+from tidewatch.plans import more_queries, reference_queries, reference_sql, training
+
+QUERIES: dict = {**training.QUERIES, **reference_queries.QUERIES, **more_queries.QUERIES}
+SQL: dict = {**reference_sql.SQL, **more_queries.SQL}
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return reference_queries.emergence_score(spark, folder)

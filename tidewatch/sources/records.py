@@ -18,10 +18,19 @@ RULES = {
     "siliconangle.com": ("trusted", "news"), "venturebeat.com": ("trusted", "news"), "theregister.com": ("trusted", "news"), "eetimes.com": ("trusted", "news"), "prnewswire.com": ("indicator", "press_release"), "medium.com": ("indicator", "blog"),
     "x.com": ("indicator", "blog"), "reddit.com": ("indicator", "aggregator"), "news.ycombinator.com": ("indicator", "aggregator"), "news.google.com": ("indicator", "aggregator"),
 }
-RECORD = T.StructType.fromDDL(
-    "id string, title string, type string, publication_year int, publication_date string, language string, doi string, primary_location struct<landing_page_url: string>, best_oa_location struct<landing_page_url: string>, locations array<struct<landing_page_url: string>>, cited_by_count int, "
-    "authorships array<struct<author: struct<display_name: string>, countries: array<string>, institutions: array<struct<display_name: string, country_code: string>>>>, concepts array<struct<display_name: string>>, abstract_inverted_index map<string, array<int>>"
-)
+_S, _I = T.StringType(), T.IntegerType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_PAGE = _struct(landing_page_url=_S)
+_AUTHORSHIP = _struct(author=_struct(display_name=_S), countries=T.ArrayType(_S), institutions=T.ArrayType(_struct(display_name=_S, country_code=_S)))
+RECORD = _struct(
+    id=_S, title=_S, type=_S, publication_year=_I, publication_date=_S, language=_S, doi=_S, primary_location=_PAGE, best_oa_location=_PAGE, locations=T.ArrayType(_PAGE), cited_by_count=_I,
+    authorships=T.ArrayType(_AUTHORSHIP), concepts=T.ArrayType(_struct(display_name=_S)), abstract_inverted_index=T.MapType(_S, T.ArrayType(_I)),
+)
 
 
 def scan_with_file(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -79,15 +80,19 @@ def bursts(stream: DataFrame) -> DataFrame:
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is now, into a table of the shared work folder, and read that."""
-    import uuid
-
     folder = f"{work_dir(spark)}/tidewatch/stream-{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else f'batch={batch_id}'}")
 
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state beyond memory, several variables a key
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     rows = spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{folder}/rows")
     return rows
 
