@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators.sampling import folds
 
 
+ROWS_A_PARTITION = 50_000
+
+
 def matrix(rows: DataFrame, features: list[str]) -> DataFrame:
     """Missing features count 0."""
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
@@ -30,7 +33,10 @@ def model(kind: str, features: list[str], n: int, label: str = "label", seed: in
 
 def predict(kind: str, train: DataFrame, test: DataFrame, features: list[str], key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """(key, label, p) of test."""
-    fitted = model(kind, features, train.count(), label, seed).fit(matrix(train, features))
+    n = train.count()
+    rows = matrix(train, features).select(*features, label).coalesce(max(1, n // ROWS_A_PARTITION)).cache()  # boosting runs hundreds of small jobs over it
+    fitted = model(kind, features, n, label, seed).fit(rows)
+    rows.unpersist()
     return fitted.transform(matrix(test, features)).select(key, label, vector_to_array("probability")[1].alias("p"))
 
 
