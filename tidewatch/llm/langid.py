@@ -275,6 +275,6 @@ def mislabelled(masks: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Dat
     )
     spoken = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.lit(x)) for i, x in enumerate(languages))), lambda x: x.isNotNull())
     works = works.withColumn("langs", spoken).where(F.size("langs") > 0)
-    one = F.col("langs")[0]
+    one = F.get("langs", F.lit(0))
     wrong = (F.size("langs") > 1) | F.col("unlabelled") | (F.col("low") != one) | (F.col("high") != one)
     return works.where(wrong).select(F.col("key").alias("doc_id"), F.explode("langs").alias("lang"))
