@@ -63,7 +63,7 @@ def cluster_links(vectors: DataFrame, centroids: DataFrame, key: str = "vec_id",
 def evidence(mentions: DataFrame, min_docs: int = 2) -> DataFrame:
     """mentions (key, doc_id, surface) -> (key, label, aliases, n_docs): label is the smallest surface."""
     g = mentions.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.array_sort(F.collect_set("surface")).alias("s"))
-    return g.where(F.col("n_docs") >= min_docs).select("key", F.col("s")[0].alias("label"), F.slice("s", 2, 1_000_000).alias("aliases"), "n_docs")
+    return g.where(F.col("n_docs") >= min_docs).select("key", F.get("s", F.lit(0)).alias("label"), F.slice("s", 2, 1_000_000).alias("aliases"), "n_docs")
 
 
 def term_matches(works: DataFrame, terms: DataFrame) -> DataFrame:

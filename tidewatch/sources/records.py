@@ -79,7 +79,7 @@ def with_trust(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
 def single_targets(spark: SparkSession, path: str, key: str, target: str) -> DataFrame:
     """Keys of a folder of JSON files that name exactly one target; bad files are skipped."""
     rows = spark.read.option("mode", "DROPMALFORMED").json(path)
-    return rows.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.collect_set(target).alias("t")).where(F.size("t") == 1).select("key", F.col("t")[0].alias("target"))
+    return rows.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.collect_set(target).alias("t")).where(F.size("t") == 1).select("key", F.get("t", F.lit(0)).alias("target"))
 
 
 def feed_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
