@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ TITLE_CHARS, TITLE_TOKENS = 4096, 128
 SINGULAR = "analysis bus gas lens series bias physics mathematics statistics genesis basis corpus".split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: inside a lambda an outer expression is evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words, joined by inner hyphens."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -29,15 +35,16 @@ def ngrams(title: Column, low: int = 2, high: int = 4) -> Column:
     """Distinct contiguous n-grams of the bounded title: no stop word at an edge, at most size - 2 inside, not all words of one
     or two letters. Null and short titles give the empty list."""
     t = F.slice(tokens(F.substring(F.coalesce(title, F.lit("")), 1, TITLE_CHARS)), 1, TITLE_TOKENS)
-    stop = F.array(*map(F.lit, STOP))
 
-    def of(size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.lit(TITLE_TOKENS)), lambda i: i <= F.size(t) - size + 1)
-        grams = F.transform(starts, lambda i: F.slice(t, i, size))
-        good = F.filter(grams, lambda g: ~F.array_contains(stop, g[0]) & ~F.array_contains(stop, g[size - 1]) & (F.size(F.filter(g, lambda w: F.array_contains(stop, w))) <= size - 2) & F.exists(g, lambda w: F.length(w) > 2))
+    def of(w: Column, size: int) -> Column:
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
+        good = F.filter(
+            F.transform(starts, lambda i: F.slice(w, i, size)),
+            lambda g: ~F.get(g, F.lit(0)).isin(*STOP) & ~F.get(g, F.lit(size - 1)).isin(*STOP) & (F.size(F.filter(g, lambda x: x.isin(*STOP))) <= size - 2) & F.exists(g, lambda x: F.length(x) > 2),
+        )
         return F.transform(good, lambda g: F.array_join(g, " "))
 
-    return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(low, high + 1)))))
+    return F.array_distinct(let(t, lambda w: F.flatten(F.array(*(of(w, n) for n in range(low, high + 1))))))
 
 
 def lemma(word: Column) -> Column:
@@ -97,8 +104,7 @@ def host_idna(urls: pd.Series) -> pd.Series:
 
 def suffixes(host: Column) -> Column:
     """a.b.c -> [a.b.c, b.c, c]: for an equi-join with rules by domain."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    return let(F.split(host, r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p) - i + 1), ".")))
 
 
 def canonical_url(url: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.text import hash_id, ngrams, technology_reason, tokens
+from tidewatch.functions.text import hash_id, let, ngrams, technology_reason, tokens
 
 
 def title_terms(works: DataFrame) -> DataFrame:
@@ -70,9 +70,12 @@ def term_matches(works: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id): terms of one to four words that stand in a title as whole words, plural s allowed.
 
     The titles' n-grams meet the terms in an equi-join, so no title is held against every term."""
-    words = tokens(F.col("title"))
-    grams = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    spread = works.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in range(1, 5)))))).alias("gram"))
+    def grams(words: Column, n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    all_grams = let(tokens(F.col("title")), lambda w: F.flatten(F.array(*(grams(w, n) for n in range(1, 5)))))
+    spread = works.select("doc_id", F.explode(F.array_distinct(all_grams)).alias("gram"))
     forms = terms.select("term", F.explode(F.array(F.col("term"), F.concat("term", F.lit("s")))).alias("gram"))
     return spread.join(forms, "gram").select("term", "doc_id").distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import norm_entity, norm_title, strip_publisher
+from tidewatch.functions.text import let, norm_entity, norm_title, strip_publisher
 from tidewatch.operators.candidates import evidence
 
 # compound nouns that end in a technology word; a name before a verb of news; a name with a version
@@ -39,9 +39,12 @@ def extract_live(works: DataFrame, domain: str, min_docs: int = 2) -> tuple[Data
     seen = mentions(works)
     strong = evidence(seen, min_docs)
     technology = strong.join(seen.where("kind = 'technology'").select("key").distinct(), "key", "left_semi")
-    words = F.split(norm_title(F.col("title")), " ")
-    grams = F.flatten(F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: i <= F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    again = works.select("doc_id", F.explode(F.array_distinct(F.transform(grams, singular))).alias("key")).join(technology.select("key"), "key")
+    def grams(words: Column, n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    pairs = let(F.split(norm_title(F.col("title")), " "), lambda w: F.flatten(F.array(grams(w, 2), grams(w, 3))))
+    again = works.select("doc_id", F.explode(F.array_distinct(F.transform(pairs, singular))).alias("key")).join(technology.select("key"), "key")
     links = seen.join(strong.select("key"), "key").select("key", "doc_id").unionByName(again.select("key", "doc_id")).distinct()
     named = strong.withColumn("cand_id", F.concat(F.lit(f"e:{domain}:"), F.substring(F.sha2(F.concat(F.lit(domain + "\0"), F.col("key")), 256), 1, 24)))
     return named.select("cand_id", "key", "label", "aliases"), links.join(named.select("key", "cand_id"), "key").select("cand_id", "doc_id")
