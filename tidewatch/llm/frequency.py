@@ -123,7 +123,7 @@ def term_frequencies(df: DataFrame, record: str = "doc_id", term: str = "term",
     both is 'rare'. Other columns of df are ignored; an empty df gives no rows."""
     amount: Column = F.lit(1).cast("long") if n is None else F.col(f"`{n}`").cast("long")
     rows = df.select(F.col(f"`{record}`").cast("string").alias("record"), F.col(f"`{term}`").alias("spelling"), amount.alias("n"))
-    total = rows.select(F.count_distinct("record").alias("all_records"))
+    total = rows.select(F.count_distinct("record")).first()[0]  # one number
     occurring = rows.where("n > 0 and spelling is not null")
     table = dictionary(occurring.select("spelling").distinct())
     encoded = lookup_join(occurring, table.select("spelling", "range_id", "slot"), ["spelling"], F.coalesce(F.col("record"), F.lit("")))
@@ -132,9 +132,9 @@ def term_frequencies(df: DataFrame, record: str = "doc_id", term: str = "term",
     blocks = pairs.mapInPandas(block_arrays, ARRAYS)
     totals = blocks.repartition("range_id").sortWithinPartitions("range_id").mapInPandas(sum_arrays, TOTALS)
     names = table.select("term", "range_id", "slot").distinct()
-    share = F.col("records") / F.greatest(F.col("all_records"), F.lit(1))
+    share = F.col("records") / F.lit(max(total, 1))
     return (
-        totals.join(names, ["range_id", "slot"]).crossJoin(F.broadcast(total))  # total is one row
+        totals.join(names, ["range_id", "slot"])
         .select("term", (F.col("range_id").cast("long") * F.lit(1 << 32) + F.col("slot")).alias("term_id"), "occurrences", "records", share.alias("share"))
         .withColumn("mark", F.when(F.col("records") < min_records, "rare").when(F.col("share") > max_share, "common"))
     )
