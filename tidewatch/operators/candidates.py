@@ -36,9 +36,9 @@ def ctf_idf(texts: DataFrame, label: str, text: str, stop: list[str], top: int =
     counts = words.where(~F.col("term").isin(*stop)).groupBy("label", "term").agg(F.count("*").alias("n"))
     per_class = counts.groupBy("label").agg(F.sum("n").alias("size"))
     per_term = counts.groupBy("term").agg(F.sum("n").alias("freq"))
-    mean = per_class.agg(F.floor(F.avg("size")).alias("mean"))  # one row
-    scored = counts.join(F.broadcast(per_class), "label").join(per_term, "term").crossJoin(F.broadcast(mean))
-    scored = scored.withColumn("score", F.round(F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("freq")), 9))
+    mean = per_class.agg(F.floor(F.avg("size"))).first()[0] or 0  # one number
+    scored = counts.join(per_class, "label").join(per_term, "term")
+    scored = scored.withColumn("score", F.round(F.col("n") / F.col("size") * F.log(1 + F.lit(mean) / F.col("freq")), 9))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "term"))
     return scored.withColumn("place", place).where(F.col("place") <= top).select("label", "place", "term", "score")
 

@@ -30,8 +30,9 @@ def precision_at_k(ranked: DataFrame, reference: DataFrame, k: int) -> DataFrame
     k labels meet the reference list; both are short, so the reference is broadcast."""
     top = ranked.where(F.col("place") <= k).select("place", norm_label(F.col("label")).alias("a"))
     ref = reference.select(norm_label(F.col("label")).alias("b")).where("b <> ''").distinct()
-    hits = top.join(F.broadcast(ref), F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), "left_semi").agg(F.count("*").alias("hits"))
-    return hits.crossJoin(top.agg(F.count("*").alias("n"))).select(F.lit(k).alias("k"), "hits", F.when(F.col("n") > 0, F.round(F.col("hits") / F.col("n"), 4)).otherwise(0.0).alias("precision"))
+    hit = top.join(F.broadcast(ref), F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), "left_semi").select("place", F.lit(1).alias("hit"))
+    both = top.join(hit, "place", "left").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    return both.select(F.lit(k).alias("k"), "hits", F.when(F.col("n") > 0, F.round(F.col("hits") / F.nullif(F.col("n"), F.lit(0)), 4)).otherwise(0.0).alias("precision"))
 
 
 def reference_match(reference: DataFrame, candidates: DataFrame, generic: list[str]) -> DataFrame:

@@ -52,8 +52,8 @@ def as_model(table: DataFrame) -> DataFrame:
 
 def header(trend_rows: DataFrame, rejected: DataFrame, works: DataFrame) -> DataFrame:
     """One row of counts over the answer."""
-    confident = trend_rows.agg(F.count("*").alias("n_trends"), F.count_if(F.col("emergence_score") > 0.75).alias("n_confident"))
-    return confident.crossJoin(rejected.agg(F.count("*").alias("n_rejected"))).crossJoin(works.agg(F.count("*").alias("n_sources")))  # rows of one
+    n, sure = trend_rows.agg(F.count("*"), F.count_if(F.col("emergence_score") > 0.75)).first()
+    return trend_rows.sparkSession.createDataFrame([(n, sure, rejected.count(), works.count())], "n_trends long, n_confident long, n_rejected long, n_sources long")
 
 
 def methodology(spark: SparkSession) -> DataFrame:
