@@ -95,3 +95,18 @@ def integrity(candidates: DataFrame, cand_docs: DataFrame, works: DataFrame) ->
         one = rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def rising_terms(works: DataFrame, cutoff: int, recent: int, min_recent: int, top: int) -> DataFrame:
+    """(term, recent, old, lift): n-grams frequent in the last ``recent`` years and rare before, by lift x ln(1 + recent).
+
+    A term that stands inside a better one falls; that walk sees the best ten times ``top`` terms."""
+    terms = works.where(F.col("year") <= cutoff).select("year", F.explode(ngrams(F.col("title"))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count_if(F.col("year") > cutoff - recent).alias("recent"), F.count_if(F.col("year") <= cutoff - recent).alias("old")).where(F.col("recent") >= min_recent)
+    scored = counts.withColumn("lift", (F.col("recent") + 1) / (F.col("old") + 1)).withColumn("v", F.round(F.col("lift") * F.log1p("recent"), 9))
+    best = scored.orderBy(F.desc("v"), "term").limit(10 * top)
+    place = F.row_number().over(Window.orderBy(F.desc("v"), "term"))  # over ten times top rows
+    ranked = best.withColumn("place", place)
+    better = ranked.select(F.col("term").alias("t2"), F.col("place").alias("p2"))
+    inside = ranked.join(F.broadcast(better), (F.col("p2") < F.col("place")) & F.col("t2").contains(F.col("term")) & (F.col("t2") != F.col("term")), "left_anti")
+    return inside.orderBy("place").limit(top).select("term", "recent", "old", F.bround("lift", 2).alias("lift"))

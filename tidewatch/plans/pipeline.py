@@ -41,6 +41,17 @@ def score_index(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, a
     return Pool(survivors, rejected, counts, joined)
 
 
+def score_counts(counts: DataFrame, spread: DataFrame, labels: DataFrame, as_of: int) -> tuple[DataFrame, DataFrame]:
+    """(scored, rejected) of a given pool: counts (cand_id, year, n), spread (cand_id, n_countries), labels (cand_id, label).
+
+    For replays of fixed pools: no merging of variants, no diversity; what is mainstream counts as rejected."""
+    rows = shape.components(counts.where(F.col("year") <= as_of), as_of).join(labels, "cand_id").join(spread, "cand_id", "left").withColumn("n_countries", F.coalesce("n_countries", F.lit(0)))
+    rows = rows.withColumn("reason", score.reject_reason())
+    scored = score.score(rows.where("reason is null"))
+    late = scored.where(F.col("maturity_pct") >= score.MAX_MATURITY).select("cand_id", "label", F.lit("already mainstream").alias("reason"))
+    return scored.where(F.col("maturity_pct") < score.MAX_MATURITY).drop("reason"), rows.where("reason is not null").select("cand_id", "label", "reason").unionByName(late)
+
+
 def index_trends(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: int, current_year: int, top: int = 15, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(trends, rejected): score, merge variants, cut what is mainstream, diversify, add documents and backtest."""
     pool = score_index(works, cand_docs, candidates, as_of)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,8 +79,6 @@ def status(spark: SparkSession, path: str) -> DataFrame:
 
 def datasets(spark: SparkSession, roots: list[str]) -> list[tuple[str, str]]:
     """(name, folder) of the subfolders of roots with a valid name; the first root wins."""
-    import re
-
     found: dict[str, str] = {}
     for root in roots:
         fs, p = _fs(spark, root)
@@ -94,3 +94,29 @@ def loaded(spark: SparkSession, dataset: str, table: str, df: DataFrame, source:
     """A row of the journal for df."""
     f = fingerprint(df)
     return f.select(F.lit(dataset).alias("dataset"), F.lit(table).alias("tbl"), "n_rows", F.lit(source).alias("source"), F.sha2("digest", 256).alias("sha256"), F.lit(dt.datetime.now(dt.UTC)).cast("timestamp").alias("loaded_at"))
+
+
+def write_manifest(df: DataFrame, folder: str, **config: str | int) -> dict:
+    """A manifest beside a table: rows, digest, status and the given settings."""
+    spark = df.sparkSession
+    n, digest = fingerprint(df).first()
+    manifest = {"status": "complete", "n_rows": n, "sha256": digest, "built_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), **config}
+    fs, target = _fs(spark, f"{folder}/manifest.json")
+    staging = _fs(spark, f"{folder}/.manifest-{uuid.uuid4().hex}")[1]
+    stream = fs.create(staging)
+    stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    stream.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(staging, target)
+    return manifest
+
+
+def check_manifest(df: DataFrame, folder: str, **config: str | int) -> None:
+    """Raise unless the manifest is complete, has the settings and fits the rows."""
+    text = "\n".join(r.value for r in df.sparkSession.read.text(f"{folder}/manifest.json").collect())  # one short file
+    manifest = json.loads(text)
+    n, digest = fingerprint(df).first()
+    wrong = [k for k, v in {"status": "complete", "n_rows": n, "sha256": digest, **config}.items() if manifest.get(k) != v]
+    if wrong:
+        raise ValueError(f"manifest of {folder} differs in {wrong}")
