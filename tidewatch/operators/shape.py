@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.operators.series import frequencies
-
 ACTIVE, MAX_GAP = 5, 3
 BREAK_FACTOR, BREAK_YEARS, BASE_YEARS, MIN_BASE = 2.5, 8, 5, 20
 FIRST_COUNT, PEAK_SHARE = 5, 0.10
@@ -55,30 +53,65 @@ def slope(y: Column, x: Column) -> Column:
     return F.coalesce(F.regr_slope(y, x), F.lit(0.0))
 
 
+def _line(values: str, n: int) -> Column:
+    """Slope of n values at 0..n-1, as a weighted sum with fixed weights."""
+    mean = (n - 1) / 2
+    den = sum((i - mean) ** 2 for i in range(n))
+    weights = F.array(*(F.lit((i - mean) / den if den else 0.0) for i in range(n)))
+    return _dot(F.col(values), weights)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _series(counts: DataFrame, bucket: str, first: int, last: int) -> DataFrame:
+    """One row a candidate: series (bucket, n) in order, and n, freq of each bucket of first..last.
+
+    One shuffle; the peers' sums, one number a bucket, are put into the plan as a literal."""
+    norm = {r[bucket]: r.s for r in counts.groupBy(bucket).agg(F.sum("n").cast("double").alias("s")).where(F.col(bucket).between(first, last)).collect()}
+    peers = F.array(*(F.lit(max(norm.get(b, 1.0), 1.0)) for b in range(first, last + 1)))
+    per = counts.groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), F.col("n").cast("long").alias("n")))).alias("series"))
+    known = F.map_from_entries(F.filter("series", lambda x: x.b.between(first, last)))
+    per = per.withColumn("__m", known).withColumn("ns", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda b: F.coalesce(F.try_element_at("__m", b), F.lit(0).cast("long"))))
+    return per.withColumn("freqs", F.zip_with("ns", peers, lambda n, p: n / p * 1e6)).drop("__m")
+
+
 def components(counts: DataFrame, as_of: int, window: int = 5) -> DataFrame:
     """One row a candidate: what the score, the reasons and the published row are made of.
 
-    counts holds years up to as_of only; the peers' norm is taken over all its candidates."""
+    counts holds years up to as_of only; the peers' norm is taken over all its candidates. A candidate's years lie in one
+    row, so that all of its shape is worked out there, after a single shuffle."""
     first, half = as_of - window + 1, max(2, window // 2)
-    x = F.col("year").cast("double")
-    y = F.log(F.col("freq") + 1.0)
-    early, late = F.col("year") < first + half, F.col("year") > as_of - half
-    shape = frequencies(counts, first, as_of).groupBy("cand_id").agg(
-        slope(y, x).alias("growth"), (slope(F.when(late, y), F.when(late, x)) - slope(F.when(early, y), F.when(early, x))).alias("accel"),
-        ((F.sum(F.when(F.col("year") == as_of, F.col("freq")).otherwise(0.0)) + 0.1) / (F.sum(F.when(F.col("year") < as_of, F.col("freq")).otherwise(0.0)) / max(1, window - 1) + 0.1)).alias("burst"),
-        F.sum(F.when(F.col("year") == as_of, F.col("freq")).otherwise(0.0)).alias("maturity"), F.sum("n").alias("counts_recent"), F.count_if(F.col("freq") > 0).alias("active_years"), F.sum("freq").alias("__sum"),
-        F.array_sort(F.collect_list(F.struct("year", "n", "freq"))).alias("__s"),
-    )
-    history = current_history(counts, as_of)
-    crossing = first_crossing(history).join(history.groupBy("cand_id").agg(F.max("n_segments").alias("n_segments")), "cand_id").join(breakout(counts, as_of).select("cand_id", "breakout"), "cand_id")
-    crossing = crossing.select(
-        "cand_id", F.when(F.col("breakout").isNotNull(), F.least(F.coalesce("first_mention", "breakout"), "breakout")).otherwise(F.col("first_mention")).alias("first_mention"),
-        F.coalesce("breakout", "takeoff").alias("takeoff"), ((F.col("n_segments") > 1) | F.col("breakout").isNotNull()).alias("homonym"),
-    )
-    return shape.join(crossing, "cand_id").select(
-        "cand_id", "first_mention", "takeoff", F.coalesce(F.lit(as_of) - F.coalesce("takeoff", "first_mention"), F.lit(99)).alias("age"), "homonym", "growth", "accel", "burst", "maturity", "counts_recent", "active_years",
-        F.when(F.col("__sum") > 0, F.bround(F.col("maturity") / F.col("__sum"), 3)).otherwise(1.0).alias("last_year_share"),
-        F.transform("__s", lambda s: s.year).alias("years"), F.transform("__s", lambda s: s.n.cast("int")).alias("counts"), F.transform("__s", lambda s: F.bround(s.freq, 2).cast("float")).alias("freq_per_million"),
+    rows = _series(counts, "year", first, as_of).withColumn("ys", F.transform("freqs", lambda f: F.log(f + 1.0)))
+    rows = rows.withColumn("y1", F.slice("ys", 1, half)).withColumn("y2", F.slice("ys", window - half + 1, half))
+    nothing = F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("k"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = acc.b.isNull() | (x.b - acc.b > MAX_GAP)
+        moved = F.struct(F.when(begins, x.b).otherwise(acc.a).alias("a"), x.b.alias("b"), (acc.k + begins.cast("int")).alias("k"))
+        return F.when((x.b <= as_of) & (x.n >= ACTIVE), moved).otherwise(acc)
+
+    rows = rows.withColumn("life", F.aggregate("series", nothing, step))
+    rows = rows.withColumn("history", F.filter("series", lambda x: (x.b <= as_of) & ((F.col("life.k") == 0) | x.b.between(F.col("life.a"), F.col("life.b")))))
+    base_years = F.filter("series", lambda x: x.b.between(as_of - BREAK_YEARS - BASE_YEARS, as_of - BREAK_YEARS - 1))
+    padded = F.array_sort(F.concat(F.transform(base_years, lambda x: x.n), F.array_repeat(F.lit(0).cast("long"), F.lit(BASE_YEARS) - F.size(base_years))))
+    rows = rows.withColumn("base", F.get(padded, F.lit(BASE_YEARS // 2)).cast("double")).withColumn("peak", F.array_max(F.transform("history", lambda x: x.n)))
+    year_of = lambda col, test: F.array_min(F.transform(F.filter(col, test), lambda x: x.b))
+    rows = rows.withColumn("breakout", year_of("series", lambda x: x.b.between(as_of - BREAK_YEARS, as_of) & (F.col("base") >= MIN_BASE) & (x.n >= F.col("base") * BREAK_FACTOR)))
+    rows = rows.withColumn("f", year_of("history", lambda x: x.n >= FIRST_COUNT)).withColumn("t", year_of("history", lambda x: x.n >= F.greatest(F.lit(FIRST_COUNT * 2.0), PEAK_SHARE * F.col("peak"))))
+    last = F.get("freqs", F.lit(window - 1))
+    total, before = _total(F.col("freqs")), _total(F.slice("freqs", 1, window - 1))
+    takeoff = F.coalesce("breakout", "t")
+    return rows.select(
+        "cand_id", F.when(F.col("breakout").isNotNull(), F.least(F.coalesce("f", "breakout"), "breakout")).otherwise(F.col("f")).alias("first_mention"), takeoff.alias("takeoff"), F.coalesce(F.lit(as_of) - F.coalesce(takeoff, F.col("f")), F.lit(99)).alias("age"),
+        ((F.col("life.k") > 1) | F.col("breakout").isNotNull()).alias("homonym"), _line("ys", window).alias("growth"), (_line("y2", half) - _line("y1", half)).alias("accel"), ((last + 0.1) / (before / max(1, window - 1) + 0.1)).alias("burst"), last.alias("maturity"),
+        F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x).alias("counts_recent"), F.size(F.filter("freqs", lambda f: f > 0)).cast("long").alias("active_years"), F.when(total > 0, F.bround(last / total, 3)).otherwise(1.0).alias("last_year_share"),
+        F.sequence(F.lit(first), F.lit(as_of)).alias("years"), F.transform("ns", lambda n: n.cast("int")).alias("counts"), F.transform("freqs", lambda f: F.bround(f, 2).cast("float")).alias("freq_per_million"),
     )
 
 
@@ -92,24 +125,16 @@ def components_monthly(counts: DataFrame, as_of: str, window: int = 24) -> DataF
     """The same on months (cand_id, month, n): slopes of the logarithm of trailing three-month sums, no segments."""
     end = int(as_of[:4]) * 12 + int(as_of[5:7]) - 1
     start, half = end - window + 1, max(2, window // 2)
-    past = counts.withColumn("m", month_index(F.col("month"))).where(F.col("m") <= end)
-    norm = past.groupBy("m").agg(F.greatest(F.sum("n").cast("double"), F.lit(1.0)).alias("norm"))
-    frame = past.select("cand_id").distinct().select("cand_id", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("m"))
-    dense = frame.join(past.select("cand_id", "m", "n"), ["cand_id", "m"], "left").join(F.broadcast(norm), "m", "left")
-    dense = dense.select("cand_id", "m", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.coalesce("norm", F.lit(1.0)) * 1e6).alias("freq"))
-    smooth = F.sum("freq").over(Window.partitionBy("cand_id").orderBy("m").rowsBetween(-2, 0))
-    dense = dense.withColumn("y", F.log(smooth + 1.0)).withColumn("x", (F.col("m") - start).cast("double"))
-    last3, early, late = F.col("m") > end - 3, F.col("m") < start + half, F.col("m") > end - half
-    shape = dense.groupBy("cand_id").agg(
-        slope(F.col("y"), F.col("x")).alias("growth"), (slope(F.when(late, F.col("y")), F.when(late, F.col("x"))) - slope(F.when(early, F.col("y")), F.when(early, F.col("x")))).alias("accel"),
-        ((F.sum(F.when(last3, F.col("freq")).otherwise(0.0)) / 3 + 0.1) / (F.sum(F.when(last3, 0.0).otherwise(F.col("freq"))) / max(1, window - 3) + 0.1)).alias("burst"),
-        (F.sum(F.when(last3, F.col("freq")).otherwise(0.0)) / 3).alias("maturity"), F.sum("n").alias("counts_recent"), F.count_if(F.col("freq") > 0).alias("active_months"), F.array_sort(F.collect_list(F.struct("m", "n"))).alias("__s"),
-    )
-    peak = F.max("n").over(Window.partitionBy("cand_id"))
-    cross = past.withColumn("peak", peak).groupBy("cand_id").agg(
-        F.min(F.when(F.col("n") >= 2, F.col("m"))).alias("first"), F.min(F.when(F.col("n") >= F.greatest(F.lit(3.0), 0.1 * F.col("peak")), F.col("m"))).alias("take"))
-    ref = F.coalesce("take", "first")
-    return shape.join(cross, "cand_id").select(
-        "cand_id", F.floor(F.col("first") / 12).cast("int").alias("first_mention"), F.floor(F.col("take") / 12).cast("int").alias("takeoff_year"), F.when(ref >= start, F.lit(end) - ref).otherwise(99).alias("age"), "growth", "accel", "burst", "maturity", "counts_recent", "active_months",
-        F.transform("__s", lambda s: (F.floor(s.m / 12) * 100 + s.m % 12 + 1).cast("int")).alias("years"), F.transform("__s", lambda s: s.n.cast("int")).alias("counts"),
+    past = counts.withColumn("m", month_index(F.col("month"))).where(F.col("m") <= end).select("cand_id", "m", "n")
+    rows = _series(past, "m", start, end)
+    trailing = F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.log(_total(F.slice("freqs", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))) + 1.0))
+    rows = rows.withColumn("ys", trailing).withColumn("y1", F.slice("ys", 1, half)).withColumn("y2", F.slice("ys", window - half + 1, half)).withColumn("peak", F.array_max(F.transform("series", lambda x: x.n)))
+    month_at = lambda test: F.array_min(F.transform(F.filter("series", test), lambda x: x.b))
+    rows = rows.withColumn("f", month_at(lambda x: x.n >= 2)).withColumn("t", month_at(lambda x: x.n >= F.greatest(F.lit(3.0), 0.1 * F.col("peak"))))
+    recent, before = _total(F.slice("freqs", window - 2, 3)), _total(F.slice("freqs", 1, window - 3))
+    ref = F.coalesce("t", "f")
+    return rows.select(
+        "cand_id", F.floor(F.col("f") / 12).cast("int").alias("first_mention"), F.floor(F.col("t") / 12).cast("int").alias("takeoff_year"), F.when(ref >= start, F.lit(end) - ref).otherwise(99).alias("age"), _line("ys", window).alias("growth"), (_line("y2", half) - _line("y1", half)).alias("accel"),
+        ((recent / 3 + 0.1) / (before / max(1, window - 3) + 0.1)).alias("burst"), (recent / 3).alias("maturity"), F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x).alias("counts_recent"), F.size(F.filter("freqs", lambda f: f > 0)).cast("long").alias("active_months"),
+        F.transform(F.sequence(F.lit(start), F.lit(end)), lambda m: (F.floor(m / 12) * 100 + m % 12 + 1).cast("int")).alias("years"), F.transform("ns", lambda n: n.cast("int")).alias("counts"),
     )
