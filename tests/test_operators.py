@@ -68,6 +68,24 @@ def test_percentile_rank(spark, values, expected):
     assert [r.r for r in df.orderBy("i").collect()] == pytest.approx(expected)
 
 
+def test_spread_rank_equals_window(spark):
+    import random
+
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, r.choice([r.random(), 0.25, -1.0, 3.0])) for i in range(500)], "i int, v double")
+    a = {x.i: x.r for x in score.spread_rank(df, F.col("v"), "r", 16).collect()}
+    b = {x.i: x.r for x in df.withColumn("r", score.pct_rank("v")).collect()}
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-12) for i in a)
+    assert score.spread_rank(df.limit(0), F.col("v"), "r").count() == 0
+
+
+def test_score_is_the_same_spread(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"c{i}", i % 9, i * 0.1, (i * 7 % 11) * 0.2, 1.0 + i % 5, i % 13, float(i % 17)) for i in range(60)], "cand_id string, age int, growth double, accel double, burst double, n_countries int, maturity double")
+    a = {r.cand_id: r.es for r in score.score(rows).collect()}
+    monkeypatch.setattr(score, "ONE_TASK_ROWS", 10)
+    assert a == {r.cand_id: r.es for r in score.score(rows, n_rows=60).collect()}
+
+
 def test_fragments(spark):
     bad = ["algorithms for fault tolerance of", "management a machine learning", "reduction and deep learning", "learning", "the model"]
     good = ["mixture of experts", "retrieval augmented generation", "vision transformer", "graph neural network", "federated learning"]

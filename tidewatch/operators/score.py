@@ -31,17 +31,48 @@ def pct_rank(value: str | Column, group: Sequence[str] = ()) -> Column:
     return (low - 1 + (ties - 1) / 2) / F.greatest(F.lit(1), n - 1)
 
 
-def score(rows: DataFrame, group: Sequence[str] = (), maturity: bool = True) -> DataFrame:
-    """rows with parts, maturity_pct and es. rows has age, growth, accel, burst, n_countries (or what stands for spread), maturity."""
+def spread_rank(rows: DataFrame, value: Column, out: str, cells: int = 256) -> DataFrame:
+    """pct_rank over all rows without one task seeing them: counts of distinct values, ranked inside cells of neighbouring
+    values and over the cells' totals. Values must not be null."""
+    valued = rows.withColumn("__v", value)
+    cuts = valued.agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)], 10_000)).first()[0] or []  # 255 numbers
+    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
+    counted = valued.groupBy("__v").agg(F.count("*").alias("__n")).withColumn("__cell", cell)
+    totals = {r["__cell"]: r.s for r in counted.groupBy("__cell").agg(F.sum("__n").alias("s")).collect()}  # 256 numbers
+    below, seen = {}, 0
+    for c in sorted(totals):
+        below[c], seen = seen, seen + totals[c]
+    start = F.element_at(F.create_map(*(F.lit(int(x)) for pair in below.items() for x in pair)), F.col("__cell")) if below else F.lit(0)
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.select("__v", ((start + inside + (F.col("__n") - 1) / 2) / max(1, seen - 1)).alias(out))
+    return valued.join(ranked, "__v").drop("__v")
+
+
+#: Beyond so many rows an ungrouped pool is ranked by spread_rank.
+ONE_TASK_ROWS = 500_000
+
+
+def score(rows: DataFrame, group: Sequence[str] = (), maturity: bool = True, n_rows: int | None = None) -> DataFrame:
+    """rows with parts, maturity_pct and es. rows has age, growth, accel, burst, n_countries (or what stands for spread), maturity.
+
+    n_rows, where it is known, decides whether an ungrouped pool is ranked by windows or spread over the cluster."""
+    if not group and n_rows is not None and n_rows > ONE_TASK_ROWS:
+        values = {"novelty": -F.col("age"), "growth": F.col("growth"), "accel": F.col("accel"), "burst": F.log(F.col("burst") + 0.01), "diffusion": F.col("n_countries").cast("double"), **({"maturity": F.col("maturity")} if maturity else {})}
+        for name, value in values.items():
+            rows = spread_rank(rows, value, f"r_{name}")
+        return _combined(rows if maturity else rows.withColumn("r_maturity", F.lit(0.0)))
     ranks = {"novelty": pct_rank(-F.col("age"), group), "growth": pct_rank("growth", group), "accel": pct_rank("accel", group), "burst": pct_rank(F.log(F.col("burst") + 0.01), group), "diffusion": pct_rank(F.col("n_countries").cast("double"), group)}
     for name, rank in ranks.items():
         rows = rows.withColumn(f"r_{name}", rank)
-    rows = rows.withColumn("r_maturity", pct_rank("maturity", group) if maturity else F.lit(0.0))
+    return _combined(rows.withColumn("r_maturity", pct_rank("maturity", group) if maturity else F.lit(0.0)))
+
+
+def _combined(rows: DataFrame) -> DataFrame:
     raw = sum(F.col(f"r_{name}") * w for name, w in WEIGHTS.items())
     rows = rows.withColumn("es", F.round(raw * (1.0 - MATURITY_PENALTY * F.col("r_maturity")), 4)).withColumn("maturity_pct", F.bround("r_maturity", 3))
-    for name in ranks:
+    for name in WEIGHTS:
         rows = rows.withColumn(f"c_{name}", F.bround(f"r_{name}", 3))
-    return rows.drop(*(f"r_{name}" for name in (*ranks, "maturity")))
+    return rows.drop(*(f"r_{name}" for name in (*WEIGHTS, "maturity")))
 
 
 def words(label: Column) -> Column:

@@ -36,7 +36,8 @@ def score_index(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, a
     spread = series.country_spread(joined, as_of - 2, as_of)
     rows = shape.components(past, as_of).join(labels_of(candidates), "cand_id").join(spread, "cand_id", "left").withColumn("n_countries", F.coalesce("n_countries", F.lit(0)))
     rows = materialise(rows.withColumn("reason", score.reject_reason()), "components")
-    survivors = score.score(rows.where("reason is null"))
+    kept = rows.where("reason is null")
+    survivors = score.score(kept, n_rows=kept.count())
     rejected = rows.where("reason is not null").select("cand_id", "label", "domain", "reason", F.col("counts_recent").cast("int").alias("n_docs"), F.lit(as_of).alias("as_of"))
     return Pool(survivors, rejected, counts, joined)
 
@@ -87,7 +88,8 @@ def score_live(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as
     rows = rows.withColumn("n_domains", F.coalesce("n_domains", F.lit(0))).withColumn("trusted_share", F.coalesce("trusted_share", F.lit(0.5)))
     rows = rows.join(science, "label", "left") if science is not None else rows.withColumn("science_10y", F.lit(None).cast("long"))
     rows = materialise(rows.withColumn("reason", score.reject_reason_live(phrases=phrases)), "components-live")
-    survivors = score.score(rows.where("reason is null").withColumn("n_countries", F.col("n_domains")), maturity=False)
+    kept = rows.where("reason is null").withColumn("n_countries", F.col("n_domains"))
+    survivors = score.score(kept, maturity=False, n_rows=kept.count())
     rejected = rows.where("reason is not null").select("cand_id", "label", "domain", "reason", F.col("counts_recent").cast("int").alias("n_docs"), F.lit(int(as_of[:4])).alias("as_of"))
     return Pool(survivors, rejected, counts, joined)
 
