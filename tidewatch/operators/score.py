@@ -56,15 +56,14 @@ def score(rows: DataFrame, group: Sequence[str] = (), maturity: bool = True, n_r
     """rows with parts, maturity_pct and es. rows has age, growth, accel, burst, n_countries (or what stands for spread), maturity.
 
     n_rows, where it is known, decides whether an ungrouped pool is ranked by windows or spread over the cluster."""
-    if not group and n_rows is not None and n_rows > ONE_TASK_ROWS:
-        values = {"novelty": -F.col("age"), "growth": F.col("growth"), "accel": F.col("accel"), "burst": F.log(F.col("burst") + 0.01), "diffusion": F.col("n_countries").cast("double"), **({"maturity": F.col("maturity")} if maturity else {})}
-        for name, value in values.items():
-            rows = spread_rank(rows, value, f"r_{name}")
-        return _combined(rows if maturity else rows.withColumn("r_maturity", F.lit(0.0)))
-    ranks = {"novelty": pct_rank(-F.col("age"), group), "growth": pct_rank("growth", group), "accel": pct_rank("accel", group), "burst": pct_rank(F.log(F.col("burst") + 0.01), group), "diffusion": pct_rank(F.col("n_countries").cast("double"), group)}
-    for name, rank in ranks.items():
-        rows = rows.withColumn(f"r_{name}", rank)
-    return _combined(rows.withColumn("r_maturity", pct_rank("maturity", group) if maturity else F.lit(0.0)))
+    near = lambda x: F.round(x, 9)  # noqa: E731  # sums of doubles in another order must not part equal values
+    values = {"novelty": -F.col("age"), "growth": near(F.col("growth")), "accel": near(F.col("accel")), "burst": near(F.log(F.col("burst") + 0.01)), "diffusion": F.col("n_countries").cast("double")}
+    if maturity:
+        values["maturity"] = near(F.col("maturity"))
+    wide = not group and n_rows is not None and n_rows > ONE_TASK_ROWS
+    for name, value in values.items():
+        rows = spread_rank(rows, value, f"r_{name}") if wide else rows.withColumn(f"r_{name}", pct_rank(value, group))
+    return _combined(rows if maturity else rows.withColumn("r_maturity", F.lit(0.0)))
 
 
 def _combined(rows: DataFrame) -> DataFrame:

@@ -20,10 +20,14 @@ def type_weight(doc_type: str = "doc_type") -> Column:
 
 
 def first_harvest(works: DataFrame) -> DataFrame:
-    """One row a doc_id, the first by harvest and then by content; null ids are dropped."""
-    order = ["harvested_at", "year", F.coalesce("cited_by", F.lit(-1)), "doc_type", "title", "url", F.coalesce("abstract", F.lit("")), *(F.concat_ws(",", c) for c in ("countries", "institutions", "authors"))]
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    return works.where("doc_id is not null").withColumn("__r", rank).where("__r = 1").drop("__r")
+    """One row a doc_id, the first by harvest and then by content; null ids are dropped.
+
+    A minimum, not a window: it is taken before the shuffle too, so a document that is repeated a million times doesn't
+    meet one task."""
+    order = ["harvested_at", "year", "cited_by", "doc_type", "title", "url", "abstract", "countries", "institutions", "authors"]
+    rest = [c for c in works.columns if c not in (*order, "doc_id")]
+    first = works.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*order, *rest)).alias("x"))
+    return first.select("doc_id", "x.*").select(*works.columns)
 
 
 def links(cand_docs: DataFrame) -> DataFrame:

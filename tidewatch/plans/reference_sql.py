@@ -67,7 +67,7 @@ def _rank(v: str) -> str:
     return f"((rank() OVER (ORDER BY {v})) - 1 + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0::DOUBLE) / greatest(1, count(*) OVER () - 1)"
 
 
-_SCORED = f"""rk AS (SELECT *, {_rank("-age")} AS a, {_rank("growth")} AS g, {_rank("accel")} AS c, {_rank("ln(burst + 0.01)")} AS b, {_rank("n_countries")} AS s5, {_rank("maturity")} AS m FROM rr WHERE reason IS NULL),
+_SCORED = f"""rk AS (SELECT *, {_rank("-age")} AS a, {_rank("round(growth, 9)")} AS g, {_rank("round(accel, 9)")} AS c, {_rank("round(ln(burst + 0.01), 9)")} AS b, {_rank("n_countries")} AS s5, {_rank("round(maturity, 9)")} AS m FROM rr WHERE reason IS NULL),
 sc AS (SELECT *, round((a * 0.20::DOUBLE + g * 0.32::DOUBLE + c * 0.23::DOUBLE + b * 0.15::DOUBLE + s5 * 0.10::DOUBLE) * (1.0::DOUBLE - 0.5::DOUBLE * m), 4) AS es, round_even(m, 3) AS maturity_pct FROM rk)"""
 _COMP = _with(_W, _L, _J, _YC, _PAST, *_shape("past", 2024))
 _POOL = _with(_W, _L, _J, _YC, _PAST, *_shape("past", 2024), _SPREAD, _LAB, _REASONED, _SCORED)
@@ -249,7 +249,7 @@ WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, -2) WHEN w LIKE '%ss' TH
     "reject_reason_index": _POOL + "SELECT cand_id, reason, counts_recent::INTEGER AS n_docs FROM rr WHERE reason IS NOT NULL",
     "reject_mature": _POOL + "SELECT cand_id, maturity_pct FROM sc WHERE maturity_pct >= 0.9::DOUBLE",
     "reject_reason_live": _LIVE + "SELECT cand_id, reason, counts_recent::INTEGER AS n_docs FROM lr WHERE reason IS NOT NULL",
-    "emergence_score_live": _LIVE + f""", rk AS (SELECT *, {_rank("-age")} AS a, {_rank("growth")} AS g, {_rank("accel")} AS c, {_rank("ln(burst + 0.01)")} AS b, {_rank("n_domains")} AS s5 FROM lr WHERE reason IS NULL)
+    "emergence_score_live": _LIVE + f""", rk AS (SELECT *, {_rank("-age")} AS a, {_rank("round(growth, 9)")} AS g, {_rank("round(accel, 9)")} AS c, {_rank("round(ln(burst + 0.01), 9)")} AS b, {_rank("n_domains")} AS s5 FROM lr WHERE reason IS NULL)
 SELECT cand_id, round(a * 0.20::DOUBLE + g * 0.32::DOUBLE + c * 0.23::DOUBLE + b * 0.15::DOUBLE + s5 * 0.10::DOUBLE, 4) AS es, round_even(a, 3) AS c_novelty, round_even(g, 3) AS c_growth FROM rk""",
     "stage_confidence": _POOL + "SELECT cand_id, CASE WHEN maturity_pct >= 0.9::DOUBLE THEN 'scaling' WHEN age <= 3 THEN 'emerging' WHEN age <= 6 THEN 'early_growth' ELSE 'scaling' END AS stage, CASE WHEN counts_recent >= 200 AND n_countries >= 15 THEN CASE WHEN homonym THEN 'medium' ELSE 'high' END WHEN counts_recent >= 50 AND n_countries >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM sc",
     "extract_terms": "WITH " + _NGRAM + r", f AS (SELECT term, count(*) AS n FROM ng GROUP BY 1 HAVING count(*) >= 20) SELECT concat('t:artificial-intelligence:', substr(sha256(concat('artificial-intelligence', chr(0), term)), 1, 24)) AS cand_id, term AS label, n AS n_docs, n AS n_links FROM f WHERE NOT regexp_matches(term, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)$') AND regexp_matches(term, '\b(neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b')",
