@@ -422,7 +422,7 @@ def win_breakout(s, d):
 
 
 def win_ols_slope(s, d):
-    return counts(s, d).groupBy("cand_id").agg(F.round(shape.slope(F.col("n").cast("double"), F.col("year").cast("double")), 6).alias("slope"))
+    return counts(s, d).groupBy("cand_id").agg(F.round(shape.slope(F.col("n").cast("double"), F.col("year").cast("double")) + 1e-9, 6).alias("slope"))  # exact halves occur
 
 
 def win_accel(s, d):

@@ -210,7 +210,7 @@ SELECT label, round(max(score), 6) AS best, count(*) AS n FROM (SELECT * FROM s
     "win_segments": _YEARS + "SELECT cand_id, g::BIGINT AS segment, min(year) AS first_year, max(year) AS last_year, count(*) AS n_years FROM (SELECT cand_id, year, sum(new) OVER (PARTITION BY cand_id ORDER BY year) AS g FROM (SELECT cand_id, year, CASE WHEN year - lag(year) OVER (PARTITION BY cand_id ORDER BY year) <= 1 THEN 0 ELSE 1 END AS new FROM yc WHERE n >= 5 AND year <= 2026)) GROUP BY 1, 2",
     "win_first_crossing": _COMP + "SELECT cand_id, f AS first_mention, t AS takeoff FROM cr",
     "win_breakout": _with(_W, _L, _J, _YC, "y10 AS (SELECT cand_id, year, n * 10 AS n FROM yc)", *_shape("y10", 2026)) + "SELECT cand_id, base, b AS breakout FROM bs LEFT JOIN bk USING (cand_id)",
-    "win_ols_slope": _YEARS + "SELECT cand_id, round(coalesce(regr_slope(n::DOUBLE, year::DOUBLE), 0), 6) AS slope FROM yc GROUP BY 1",
+    "win_ols_slope": _YEARS + "SELECT cand_id, round(coalesce(regr_slope(n::DOUBLE, year::DOUBLE), 0) + 1e-9, 6) AS slope FROM yc GROUP BY 1",
     "win_accel": _COMP + "SELECT cand_id, round(accel, 6) AS accel FROM comp",
     "win_burst": _COMP + "SELECT cand_id, round(burst, 6) AS burst FROM comp",
     "sort_top_docs": _with(_W, _L, _J, _TAKE) + "SELECT cand_id, row_number() OVER (PARTITION BY cand_id ORDER BY year DESC, cited_by DESC NULLS LAST, doc_id)::INTEGER AS place, doc_id FROM j LEFT JOIN tk USING (cand_id) WHERE year <= 2024 AND year >= coalesce(takeoff, 0) QUALIFY place <= 20",
