@@ -68,3 +68,14 @@ def test_links(spark, monkeypatch, block):
     expected = {("author", *sorted(p)) for g in PEOPLE for p in itertools.combinations(g, 2)} | {("institution", *sorted(p)) for g in PLACES for p in itertools.combinations(g, 2)}
     assert got == expected
     assert names.link_names(df.limit(0), {"authors": "author"}, nick).count() == 0
+
+
+def test_block_size_changes_no_link(spark):
+    """A block of 300 heads and one of 301 (and of 700) link a head that differs by two slips, ratio 0.8."""
+    letters = "bcdfghjklmnpqrst"
+    filler = [f"{a}{b}{c}" for a, b, c in itertools.product(letters, repeat=3)]
+    for n in (300, 301, 700):
+        heads = [("zamotelink", 8), ("zimotulink", 1)] + [(f"{w}olink", 1) for w in filler[: n - 2]]
+        rows = [("author", f"R. {h}", k, h, ["robert"], [], "", ["r"]) for h, k in heads]
+        got = [(r.head, r.target) for r in names.head_targets(spark.createDataFrame(rows, names.PARSED)).collect()]
+        assert ("zimotulink", "zamotelink") in got, n

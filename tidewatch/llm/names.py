@@ -2,9 +2,9 @@
 
 Method: suffix blocking. Names are parsed into a head (surname, place) and the other fields (given names or initials, kind
 of institution). The end of every head, and the end of its mirror image (its start), index it; such a suffix is refined by
-the other field (initial or kind) before it could be too common, and blocks that are still large by the head with one
-letter left out, so none is discarded. Inside a block heads are compared by the ratio of their longest common subsequence,
-and a rarer spelling follows the more frequent one. Given names, nicknames and initials then settle the entity.
+the other field (initial or kind), and blocks that are still large are compared in pieces, each with each, so the size of
+a block changes no link. Inside a block heads are compared by the ratio of their longest common subsequence, and a rarer
+spelling follows the more frequent one. Given names, nicknames and initials then settle the entity.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.runtime import materialise
 
-#: Letters of an indexed suffix, least ratio of two heads that are one, heads of a block before it is refined by deletions.
+#: Letters of an indexed suffix, least ratio of two heads that are one, heads of a block before it is compared in pieces.
 SUFFIX, RATIO, BLOCK_HEADS = 3, 0.8, 300
 #: How much more frequent than a variant the spelling it follows has to be.
 MORE = 2.0
@@ -229,14 +230,30 @@ def parsed(names: DataFrame, lexicon: GivenNames) -> DataFrame:
     return names.mapInPandas(run, PARSED)
 
 
-def _follow(rows: list[tuple[str, int]]) -> list[tuple[str, str, float, int]]:
-    """(head, head it may follow, ratio, how frequent that is) inside one block."""
+def _follow(rows: list[tuple[str, int, int]]) -> list[tuple[str, str, float, int]]:
+    """(head, head it may follow, ratio, how frequent that is) inside one block. rows: head, frequency, piece of the block;
+    of two pieces only heads of different ones are compared.
+
+    What heads have in common as bags of letters bounds their subsequence, so most pairs need no more than that."""
     out = []
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    for i, (b, n) in enumerate(rows):
-        for a, m in rows[:i]:
-            if m >= MORE * n and (r := ratio(a, b)) >= RATIO and abs(len(a) - len(b)) <= 2:
-                out.append((b, a, r, m))
+    heads = [r[0] for r in rows]
+    often, piece = np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows])
+    length = np.array([len(h) for h in heads])
+    across = len(set(piece.tolist())) > 1
+    bags = np.zeros((len(rows), 64), np.int16)
+    for i, h in enumerate(heads):
+        for c in h:
+            bags[i, ord(c) % 64] += 1
+    for i, b in enumerate(heads):
+        near = (often[:i] >= MORE * often[i]) & (np.abs(length[:i] - length[i]) <= 2)
+        if across:
+            near &= piece[:i] != piece[i]
+        at = np.flatnonzero(near)
+        common = np.minimum(bags[at], bags[i]).sum(axis=1)
+        for j in at[2 * common / (length[at] + length[i]) >= RATIO].tolist():
+            if (r := ratio(heads[j], b)) >= RATIO:
+                out.append((b, heads[j], r, rows[j][1]))
     return out
 
 
@@ -249,18 +266,18 @@ def head_targets(people: DataFrame) -> DataFrame:
     keyed = units.where("head <> ''").select("*", F.explode(ends).alias("block"))
     sizes = keyed.groupBy("kind", "r", "block").agg(F.count("*").alias("size"))
     keyed = keyed.join(sizes, ["kind", "r", "block"])
-    # a suffix too common even when refined: heads that agree but for one letter still meet
-    spots = F.sequence(F.lit(0), F.length("head"))
-    cut = F.array_distinct(F.transform(spots, lambda i: F.concat(F.substring(F.col("head"), F.lit(1), F.greatest(i - 1, F.lit(0))), F.substring(F.col("head"), i + 1, F.length("head")))))
-    refined = keyed.where(F.col("size") > BLOCK_HEADS).select("kind", "r", "head", "n", F.explode(cut).alias("block")).withColumn("block", F.concat(F.lit("-"), "block"))
-    blocks = keyed.where((F.col("size") > 1) & (F.col("size") <= BLOCK_HEADS)).select("kind", "r", "head", "n", "block").unionByName(refined).distinct()
+    # a suffix too common even when refined: its heads are split in pieces, and every two pieces meet in one task
+    pieces = F.ceil(F.col("size") / BLOCK_HEADS).cast("int")
+    keyed = keyed.where(F.col("size") > 1).withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("head"), "pieces").cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.struct(F.least(i, "piece").alias("x"), F.greatest(i, "piece").alias("y")))
+    blocks = keyed.select("kind", "r", "head", "n", "block", "piece", F.explode(cells).alias("cell"))
     schema = "kind string, r string, head string, target string, ratio double, m long"
 
     def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        got = _follow(list(zip(f["head"].tolist(), f["n"].tolist())))
+        got = _follow(list(zip(f["head"].tolist(), f["n"].tolist(), f["piece"].tolist())))
         return pd.DataFrame([(key[0], key[1], *g) for g in got], columns=["kind", "r", "head", "target", "ratio", "m"])
 
-    pairs = blocks.groupBy("kind", "r", "block").applyInPandas(compare, schema)
+    pairs = blocks.groupBy("kind", "r", "block", "cell").applyInPandas(compare, schema)
     best = F.max_by("target", F.struct("ratio", "m", F.col("target")))
     return pairs.groupBy("kind", "r", "head").agg(best.alias("target"))
 
