@@ -69,3 +69,13 @@ def test_long_garbage_is_quick(model):
     for text in ("A. " * 30_000, "Robert " * 30_000, "1 " * 50_000, "+1 (" * 30_000, "a@" * 50_000, "x" * 300_000, "Aa-" * 50_000, "ул. " * 30_000):
         model.find(text)
     assert time.time() - began < 60
+
+
+def test_long_author_list_is_read_whole(model):
+    families = [f"{a}{b}ovik" for a in ("Kad", "Bru", "Zol", "Tem", "Mar", "Dov") for b in "abdefgiklm"]
+    people = [f"{chr(65 + i % 26)}. {f}" for i, f in enumerate(families)]
+    text = ", ".join(people)
+    proposed = {text[s:e] for s, e, kind, _ in pii.proposals(text, model.lexicon) if kind == "name"}
+    assert len(people) == 60 and set(people) <= proposed
+    found = [text[s:e] for s, e, kind in model.find(text) if kind == "name"]
+    assert found == people

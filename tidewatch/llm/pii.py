@@ -250,8 +250,6 @@ def _addresses(text: str) -> Iterator[Proposal]:
 def _names(text: str, lexicon: Lexicon) -> Iterator[Proposal]:
     for run in _RUN.finditer(text):
         parts = [(p.start() + run.start(), p.end() + run.start(), p[0]) for p in _PART.finditer(run[0])]
-        if len(parts) > 40:
-            parts = parts[:40] if not any(lexicon.has(p[2]) for p in parts) else parts
         kinds = ["I" if len(p[2]) == 2 and p[2][1] == "." else "G" if lexicon.has(p[2]) else "C" if p[2].lower() in _COMMON else "W" for p in parts]
         gaps = [text[parts[i][1] : parts[i + 1][0]] for i in range(len(parts) - 1)]
         commas = [g.startswith(",") for g in gaps]
