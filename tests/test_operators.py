@@ -222,3 +222,28 @@ def test_empty_tables(spark):
     c = spark.createDataFrame([], "cand_id string, year int, n long")
     assert shape.components(c, 2024).count() == 0 and shape.breakout(c, 2024).count() == 0 and quality.backtest(c, 2024, 2026).count() == 0
     assert select.dedup_lexical(spark.createDataFrame([], "cand_id string, label string, es double, n_docs long")).count() == 0
+
+
+def test_pipelines_take_each_domain_alone(spark):
+    """A domain gives the same trends beside a larger one, though that holds a candidate of the same words."""
+    from tidewatch.plans import pipeline
+
+    names = {"big": ["quantum sensing", "neural imaging", "swarm robotics"], "small": ["quantum sensing", "edge learning"]}
+    works, links, cands = [], [], []
+    for k, (domain, label) in enumerate((d, x) for d, xs in names.items() for x in xs):
+        cands.append((f"t:{domain}:{k}", label, domain))
+        for i in range(48 + 8 * k):
+            doc, year = f"{k}-{i:03}", 2020 + (i % (5 - k % 3))
+            works.append((doc, year, f"2024-{1 + i % 12:02}-01", "article", "openalex", f"{label} {i}", f"https://p{i % 5}.example/{doc}", ["RU", "US", "CN", "DE", "FR", "IT"], i, "trusted", "2026-01-01", "a", ["b"], ["c"], domain))
+            links.append((f"t:{domain}:{k}", doc))
+    schema = "doc_id string, year int, date string, doc_type string, source string, title string, url string, countries array<string>, cited_by int, trust_level string, harvested_at string, abstract string, institutions array<string>, authors array<string>, domain string"
+    works, links, cands = spark.createDataFrame(works, schema), spark.createDataFrame(links, "cand_id string, doc_id string"), spark.createDataFrame(cands, "cand_id string, label string, domain string")
+
+    def runs(c):
+        a = pipeline.index_trends(works, links.join(c.select("cand_id"), "cand_id"), c, 2024, 2026, top=2)[0].collect()
+        b = pipeline.live_trends(works, links.join(c.select("cand_id"), "cand_id"), c, "2024-12", top=2)[0].collect()
+        return {(r.domain, r.rank, r.cand_id, r.emergence_score) for r in a}, {(r.cand_id.split(":")[1], r.rank, r.cand_id, r.emergence_score) for r in b}
+
+    together, small = runs(cands), runs(cands.where("domain = 'small'"))
+    for t, y in zip(together, small):
+        assert y and {x for x in t if x[0] == "small"} == y and {x[0] for x in t} == {"big", "small"}

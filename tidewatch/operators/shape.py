@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.runtime import lookup_join
+
 ACTIVE, MAX_GAP = 5, 3
 BREAK_FACTOR, BREAK_YEARS, BASE_YEARS, MIN_BASE = 2.5, 8, 5, 20
 FIRST_COUNT, PEAK_SHARE = 5, 0.10
@@ -69,25 +73,32 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def _series(counts: DataFrame, bucket: str, first: int, last: int) -> DataFrame:
+def _series(counts: DataFrame, bucket: str, first: int, last: int, group: Sequence[str] = ()) -> DataFrame:
     """One row a candidate: series (bucket, n) in order, and n, freq of each bucket of first..last.
 
-    One shuffle; the peers' sums, one number a bucket, are put into the plan as a literal."""
-    norm = {r[bucket]: r.s for r in counts.groupBy(bucket).agg(F.sum("n").cast("double").alias("s")).where(F.col(bucket).between(first, last)).collect()}
-    peers = F.array(*(F.lit(max(norm.get(b, 1.0), 1.0)) for b in range(first, last + 1)))
-    per = counts.groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), F.col("n").cast("long").alias("n")))).alias("series"))
+    One shuffle; the peers' sums, one number a bucket, are put into the plan as a literal. With a group, columns of counts
+    that a candidate has one value of, its peers are those of its group, and their sums are joined."""
+    per = counts.groupBy("cand_id", *group).agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), F.col("n").cast("long").alias("n")))).alias("series"))
     known = F.map_from_entries(F.filter("series", lambda x: x.b.between(first, last)))
     per = per.withColumn("__m", known).withColumn("ns", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda b: F.coalesce(F.try_element_at("__m", b), F.lit(0).cast("long"))))
+    if group:
+        sums = counts.where(F.col(bucket).between(first, last)).groupBy(*group, bucket).agg(F.sum("n").cast("double").alias("s"))
+        sums = sums.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(bucket).cast("int"), "s"))).alias("__p"))
+        per = lookup_join(per, sums, group, F.col("cand_id"), "left")
+        peers = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda b: F.greatest(F.coalesce(F.try_element_at("__p", b), F.lit(1.0)), F.lit(1.0)))
+        return per.withColumn("freqs", F.zip_with("ns", peers, lambda n, p: n / p * 1e6)).drop("__m", "__p")
+    norm = {r[bucket]: r.s for r in counts.groupBy(bucket).agg(F.sum("n").cast("double").alias("s")).where(F.col(bucket).between(first, last)).collect()}
+    peers = F.array(*(F.lit(max(norm.get(b, 1.0), 1.0)) for b in range(first, last + 1)))
     return per.withColumn("freqs", F.zip_with("ns", peers, lambda n, p: n / p * 1e6)).drop("__m")
 
 
-def components(counts: DataFrame, as_of: int, window: int = 5) -> DataFrame:
+def components(counts: DataFrame, as_of: int, window: int = 5, group: Sequence[str] = ()) -> DataFrame:
     """One row a candidate: what the score, the reasons and the published row are made of.
 
-    counts holds years up to as_of only; the peers' norm is taken over all its candidates. A candidate's years lie in one
+    counts holds years up to as_of only; the peers' norm is taken over all its candidates, or those of a group. A candidate's years lie in one
     row, so that all of its shape is worked out there, after a single shuffle."""
     first, half = as_of - window + 1, max(2, window // 2)
-    rows = _series(counts, "year", first, as_of).withColumn("ys", F.transform("freqs", lambda f: F.log(f + 1.0)))
+    rows = _series(counts, "year", first, as_of, group).withColumn("ys", F.transform("freqs", lambda f: F.log(f + 1.0)))
     rows = rows.withColumn("y1", F.slice("ys", 1, half)).withColumn("y2", F.slice("ys", window - half + 1, half))
     nothing = F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("k"))
 
@@ -121,12 +132,12 @@ def month_index(month: Column) -> Column:
     return F.when(good, F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1)
 
 
-def components_monthly(counts: DataFrame, as_of: str, window: int = 24) -> DataFrame:
+def components_monthly(counts: DataFrame, as_of: str, window: int = 24, group: Sequence[str] = ()) -> DataFrame:
     """The same on months (cand_id, month, n): slopes of the logarithm of trailing three-month sums, no segments."""
     end = int(as_of[:4]) * 12 + int(as_of[5:7]) - 1
     start, half = end - window + 1, max(2, window // 2)
-    past = counts.withColumn("m", month_index(F.col("month"))).where(F.col("m") <= end).select("cand_id", "m", "n")
-    rows = _series(past, "m", start, end)
+    past = counts.withColumn("m", month_index(F.col("month"))).where(F.col("m") <= end).select("cand_id", *group, "m", "n")
+    rows = _series(past, "m", start, end, group)
     trailing = F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.log(_total(F.slice("freqs", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))) + 1.0))
     rows = rows.withColumn("ys", trailing).withColumn("y1", F.slice("ys", 1, half)).withColumn("y2", F.slice("ys", window - half + 1, half)).withColumn("peak", F.array_max(F.transform("series", lambda x: x.n)))
     month_at = lambda test: F.array_min(F.transform(F.filter("series", test), lambda x: x.b))
