@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions.harvest import Homes, instant
+
 # fixed values: weight of a document by its type; anything else weighs 1.0
 TYPE_WEIGHTS = {"model": "1.6", "repo": "1.5", "preprint": "1.4", "article": "1.0", "patent": "0.9", "report": "0.8"}
 AGGREGATORS = ("gnews",)
@@ -19,15 +21,16 @@ def type_weight(doc_type: str = "doc_type") -> Column:
     return w.otherwise(F.lit("1.0").cast("decimal(12,1)"))
 
 
-def first_harvest(works: DataFrame) -> DataFrame:
-    """One row a doc_id, the first by harvest and then by content; null ids are dropped.
+def first_harvest(works: DataFrame, *columns: str, homes: Homes | None = None) -> DataFrame:
+    """(doc_id, columns), one row a doc_id: its first harvest by the instant that ``harvested_at`` names; null ids are dropped.
 
-    A minimum, not a window: it is taken before the shuffle too, so a document that is repeated a million times doesn't
-    meet one task."""
-    order = ["harvested_at", "year", "cited_by", "doc_type", "title", "url", "abstract", "countries", "institutions", "authors"]
-    rest = [c for c in works.columns if c not in (*order, "doc_id")]
-    first = works.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*order, *rest)).alias("x"))
-    return first.select("doc_id", "x.*").select(*works.columns)
+    Only the columns asked for (all without any) are scanned and shuffled. Rows of one instant are ordered by these columns;
+    harvests without a valid time come last. A minimum, not a window: it is taken before the shuffle too, so a document that
+    is repeated a million times doesn't meet one task."""
+    kept = [c for c in columns or works.columns if c != "doc_id"]
+    when = F.coalesce(instant(homes=homes), F.lit(2**62)).alias("__at")
+    first = works.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(when, *kept)).alias("x"))
+    return first.select("doc_id", *(F.col(f"x.`{c}`").alias(c) for c in kept))
 
 
 def links(cand_docs: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def fn_month_window(s, d):
 
 
 def fn_iso_parse(s, d):
-    return works(s, d).select("doc_id", F.when(F.col("date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.date_format(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), "yyyy-MM-dd")).alias("day"))
+    return works(s, d, "date").select("doc_id", F.when(F.col("date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.date_format(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), "yyyy-MM-dd")).alias("day"))
 
 
 def fn_yyyymm(s, d):
     m = shape.month_index(series.month_of(F.col("date"), F.col("year")))
-    return works(s, d).select("doc_id", (F.floor(m / 12) * 100 + m % 12 + 1).cast("int").alias("yyyymm"))
+    return works(s, d, "date", "year").select("doc_id", (F.floor(m / 12) * 100 + m % 12 + 1).cast("int").alias("yyyymm"))
 
 
 def project_card_row(s, d):
@@ -42,7 +42,7 @@ def scoring_probe(s, d):
 
 
 def rising_terms(s, d):
-    return candidates.rising_terms(works(s, d), AS_OF, 3, 5, 25)
+    return candidates.rising_terms(works(s, d, "title", "year"), AS_OF, 3, 5, 25)
 
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")]

@@ -72,11 +72,11 @@ def cluster_docs(s, d):
 
 
 def extract_live(s, d):
-    return entities.extract_live(works(s, d), DOMAIN)[0].select("cand_id", "key", "label")
+    return entities.extract_live(works(s, d, "title", "source"), DOMAIN)[0].select("cand_id", "key", "label")
 
 
 def evidence_rescan(s, d):
-    return entities.extract_live(works(s, d), DOMAIN)[1]
+    return entities.extract_live(works(s, d, "title", "source"), DOMAIN)[1]
 
 
 def pred_gibberish(s, d):
@@ -85,7 +85,7 @@ def pred_gibberish(s, d):
 
 
 def fn_normalise_record(s, d):
-    w = works(s, d).where("source = 'openalex'")
+    w = works(s, d, "title", "doc_type", "year", "date", "lang", "url", "cited_by", "authors", "institutions", "countries", "concepts", "source").where("source = 'openalex'")
     page = lambda c: F.struct(c.alias("landing_page_url"))
     authors = F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"), F.col("countries").alias("countries"), F.transform("institutions", lambda i: F.struct(i.alias("display_name"), F.lit(None).cast("string").alias("country_code"))).alias("institutions")))
     raw = w.select(
@@ -98,7 +98,7 @@ def fn_normalise_record(s, d):
 
 
 def union_sources(s, d):
-    w = works(s, d)
+    w = works(s, d, "title", "url", "source")
     a, b = w.where("source = 'arxiv'").select("doc_id", "title"), w.where("source = 'github'").select("doc_id", "url")
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -110,7 +110,7 @@ def union_live_rejected(s, d):
 
 
 def agg_rollup(s, d):
-    return works(s, d).rollup("source", "doc_type").agg(F.count("*").alias("n"))
+    return works(s, d, "source", "doc_type").rollup("source", "doc_type").agg(F.count("*").alias("n"))
 
 
 def agg_cube(s, d):
@@ -118,7 +118,7 @@ def agg_cube(s, d):
 
 
 def dedup_titles(s, d):
-    return select.dedup_lexical(works(s, d).where(f"domain = '{DOMAIN}' and source = 'gnews'").select("doc_id", F.col("title").alias("label"), F.col("year").cast("double").alias("es"), F.lit(None).cast("long").alias("n_docs")).withColumnRenamed("doc_id", "cand_id")).select("cand_id", "merged_into")
+    return select.dedup_lexical(works(s, d, "domain", "source", "title", "year").where(f"domain = '{DOMAIN}' and source = 'gnews'").select("doc_id", F.col("title").alias("label"), F.col("year").cast("double").alias("es"), F.lit(None).cast("long").alias("n_docs")).withColumnRenamed("doc_id", "cand_id")).select("cand_id", "merged_into")
 
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and f.__code__.co_argcount == 2]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions.harvest import Homes
 from tidewatch.operators import quality, score, select, series, shape
 from tidewatch.runtime import materialise
 
@@ -33,9 +34,9 @@ def _grouped(counts: DataFrame, labels: DataFrame, group: Sequence[str]) -> Data
     return counts.join(labels.select("cand_id", *group), "cand_id") if group else counts
 
 
-def score_index(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: int, group: Sequence[str] = ()) -> Pool:
+def score_index(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: int, group: Sequence[str] = (), homes: Homes | None = None) -> Pool:
     """The pool of all candidates at a cutoff, or one pool a group: nothing after it is seen; peers are its linked candidates."""
-    joined = materialise(series.linked(cand_docs, series.first_harvest(works), "year", "doc_type", "countries", "cited_by"), "linked")
+    joined = materialise(series.linked(cand_docs, series.first_harvest(works, "year", "doc_type", "countries", "cited_by", homes=homes), "year", "doc_type", "countries", "cited_by"), "linked")
     counts = materialise(series.year_counts(joined), "year-counts")
     labels = labels_of(candidates)
     past = _grouped(counts.where(F.col("year") <= as_of), labels, group)
@@ -59,11 +60,11 @@ def score_counts(counts: DataFrame, spread: DataFrame, labels: DataFrame, as_of:
     return scored.where(F.col("maturity_pct") < score.MAX_MATURITY).drop("reason"), rows.where("reason is not null").select("cand_id", "label", "reason").unionByName(late)
 
 
-def index_trends(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: int, current_year: int, top: int = 15, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def index_trends(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: int, current_year: int, top: int = 15, vectors: DataFrame | None = None, homes: Homes | None = None) -> tuple[DataFrame, DataFrame]:
     """(trends, rejected): score, merge variants, cut what is mainstream, diversify, add documents and backtest.
 
     Each domain is a pool of its own and gives up to ``top`` trends; vectors: (cand_id, vector)."""
-    pool = score_index(works, cand_docs, candidates, as_of, ["domain"])
+    pool = score_index(works, cand_docs, candidates, as_of, ["domain"], homes)
     scored = materialise(pool.scored.drop("reason"), "scored")
     kept = select.dedup_lexical(scored.select("domain", "cand_id", "label", "es", F.col("counts_recent").alias("n_docs")), ["domain"]).where("merged_into is null").select("cand_id", F.col("merged_labels").alias("aliases"))
     merged = scored.join(kept, "cand_id")
@@ -87,9 +88,10 @@ def index_trends(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame,
     return trends, pool.rejected.unionByName(late)
 
 
-def score_live(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: str, science: DataFrame | None = None, phrases: tuple[str, ...] = (), group: Sequence[str] = ()) -> Pool:
+def score_live(works: DataFrame, cand_docs: DataFrame, candidates: DataFrame, as_of: str, science: DataFrame | None = None, phrases: tuple[str, ...] = (), group: Sequence[str] = (), homes: Homes | None = None) -> Pool:
     """The same by month: publishers stand for countries, trust is needed, maturity doesn't count."""
-    joined = materialise(series.linked(cand_docs, series.first_harvest(works), "year", "date", "doc_type", "source", "title", "url", "trust_level", "cited_by"), "linked-live")
+    needed = ("year", "date", "doc_type", "source", "title", "url", "trust_level", "cited_by")
+    joined = materialise(series.linked(cand_docs, series.first_harvest(works, *needed, homes=homes), *needed), "linked-live")
     counts = materialise(series.month_counts(joined), "month-counts")
     labels = labels_of(candidates)
     rows = shape.components_monthly(_grouped(counts, labels, group), as_of, group=group).join(labels, "cand_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch import contracts
 from tidewatch.functions import text
+from tidewatch.functions.harvest import Homes
 from tidewatch.operators import candidates as cand
 from tidewatch.operators import features, quality, sampling, score, select, series, shape
 from tidewatch.plans import pipeline, serve
@@ -18,16 +21,21 @@ AS_OF, LIVE_AS_OF, CURRENT_YEAR = 2024, "2026-06", 2026
 DOMAIN = "artificial-intelligence"
 PHRASES = ["crop monitoring", "quantum sensing methods"]
 GENERIC = ["of", "the", "for", "and", "data", "systems", "models"]
-CONCEPTS = ["crop monitoring", "swarm control", "fraud detection", "unheard of"]
 STOP = ["the", "of", "and", "in", "is", "to", "for", "that", "with", "on", "we", "this", "are", "as", "an", "by", "from", "has", "it"]
 
 
-def works(s: SparkSession, d: str) -> DataFrame:
-    return series.first_harvest(read(s, d, "works"))
+@lru_cache(16)
+def _homes(s: SparkSession, d: str) -> Homes:
+    return Homes.load(read(s, d, "sources"), read(s, d, "zone_names"))
+
+
+def works(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each work once, with the columns named."""
+    return series.first_harvest(read(s, d, "works"), *columns, homes=_homes(s, d))
 
 
 def joined(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    return series.linked(read(s, d, "cand_docs"), works(s, d), *columns)
+    return series.linked(read(s, d, "cand_docs"), works(s, d, *columns), *columns)
 
 
 def counts(s: SparkSession, d: str) -> DataFrame:
@@ -70,13 +78,13 @@ def _folder(s: SparkSession) -> str:
 
 
 def src_concept(s, d):
-    asked = s.createDataFrame([(c,) for c in CONCEPTS], "concept string")
+    asked = read(s, d, "candidates").select(F.lower(F.trim("label")).alias("concept")).distinct()
     known = read(s, d, "works").select(F.explode("concepts").alias("concept"), "domain").where("concept is not null")
-    return known.groupBy(F.lower(F.trim("concept")).alias("concept")).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("n_domains")).join(F.broadcast(asked), "concept")
+    return known.groupBy(F.lower(F.trim("concept")).alias("concept")).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("n_domains")).join(asked, "concept", "left_semi")
 
 
 def src_science_base(s, d):
-    science = works(s, d).select(F.explode("concepts").alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("science_10y"))
+    science = works(s, d, "concepts").select(F.explode("concepts").alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("science_10y"))
     return labels(s, d).join(science, "label", "left").select("cand_id", "science_10y")
 
 
@@ -117,7 +125,7 @@ def filter_as_of(s, d):
 
 
 def filter_year_between(s, d):
-    return works(s, d).where(F.col("year").between(2020, 2022)).select("doc_id", "year")
+    return works(s, d, "year").where(F.col("year").between(2020, 2022)).select("doc_id", "year")
 
 
 def filter_since(s, d):
@@ -131,13 +139,13 @@ def filter_eq_as_of(s, d):
 
 def filter_like_doc(s, d):
     has = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains("crop monitoring")
-    return works(s, d).where(F.col("year").between(2018, 2026) & (has(F.col("title")) | has(F.col("abstract")))).select("doc_id", "year")
+    return works(s, d, "title", "abstract", "year").where(F.col("year").between(2018, 2026) & (has(F.col("title")) | has(F.col("abstract")))).select("doc_id", "year")
 
 
 def filter_in_list(s, d):
     t = read(s, d, "trends").groupBy("trend_id").agg(F.min_by("top_doc_ids", F.struct("rank", "emergence_score", "methodology_version")).alias("ids"))
     ids = t.select("trend_id", F.posexplode(F.array_distinct("ids")).alias("pos", "doc_id"))
-    return ids.join(works(s, d).select("doc_id", "year"), "doc_id").select("trend_id", "pos", "doc_id", "year")
+    return ids.join(works(s, d, "year").select("doc_id", "year"), "doc_id").select("trend_id", "pos", "doc_id", "year")
 
 
 def pred_invalid_rows(s, d):
@@ -150,7 +158,7 @@ def pred_fragment(s, d):
 
 
 def pred_headline_fragment(s, d):
-    return works(s, d).select("doc_id", score.is_headline_piece(F.col("title")).alias("piece"))
+    return works(s, d, "title").select("doc_id", score.is_headline_piece(F.col("title")).alias("piece"))
 
 
 def pred_technology(s, d):
@@ -162,11 +170,11 @@ def pred_query_topic(s, d):
 
 
 def pred_topic_match(s, d):
-    return works(s, d).where(text.matches_topic(F.col("title"), PHRASES)).select("doc_id")
+    return works(s, d, "title").where(text.matches_topic(F.col("title"), PHRASES)).select("doc_id")
 
 
 def pred_public_url(s, d):
-    return works(s, d).select("doc_id", text.is_public_url(F.col("url")).alias("public"))
+    return works(s, d, "url").select("doc_id", text.is_public_url(F.col("url")).alias("public"))
 
 
 def pred_phrases(s, d):
@@ -203,16 +211,16 @@ def join_labels(s, d):
 
 
 def join_quota(s, d):
-    return sampling.equal_year_sample(works(s, d), 2022, 2026, 500).groupBy("year").agg(F.count("*").alias("n"))
+    return sampling.equal_year_sample(works(s, d, "year"), 2022, 2026, 500).groupBy("year").agg(F.count("*").alias("n"))
 
 
 def join_selected(s, d):
-    picked = sampling.equal_year_sample(works(s, d), 2022, 2026, 300).select("doc_id")
-    return works(s, d).join(picked, "doc_id", "left_semi").select("doc_id", "year", "title")
+    picked = sampling.equal_year_sample(works(s, d, "year"), 2022, 2026, 300).select("doc_id")
+    return works(s, d, "year", "title").join(picked, "doc_id", "left_semi").select("doc_id", "year", "title")
 
 
 def join_incoming_accepted(s, d):
-    terms = cand.title_terms(works(s, d))
+    terms = cand.title_terms(works(s, d, "title"))
     return terms.join(cand.doc_frequency(terms, 20), "term").select("term", "doc_id")
 
 
@@ -223,7 +231,9 @@ def check_left_join(s, d):
 
 
 def anti_unknown_fk(s, d):
-    return read(s, d, "documents").where("work_id is not null").join(series.links(read(s, d, "cand_docs")).select(F.col("doc_id").alias("work_id")).distinct(), "work_id", "left_anti").select("doc_id")
+    clusters = read(s, d, "candidates").where("kind = 'cluster'").select("cand_id").distinct()
+    linked = series.links(read(s, d, "cand_docs")).join(clusters, "cand_id").select(F.col("doc_id").alias("work_id")).distinct()
+    return read(s, d, "documents").where("work_id is not null").join(linked, "work_id", "left_anti").select("doc_id")
 
 
 def anti_merge(s, d):
@@ -236,7 +246,7 @@ def left_defaults(s, d):
 
 
 def unnest_lateral(s, d):
-    return works(s, d).select("doc_id", F.explode("countries").alias("country"))
+    return works(s, d, "countries").select("doc_id", F.explode("countries").alias("country"))
 
 
 def lateral_top_docs(s, d):
@@ -244,13 +254,14 @@ def lateral_top_docs(s, d):
 
 
 def suffix_join_trust(s, d):
-    rules = works(s, d).select(text.host_of(F.col("url")).alias("h")).distinct().select(F.col("h").alias("rule"), F.when(F.col("h") < "m", "trusted").otherwise("indicator").alias("trust_level"), F.lit("article").alias("source_type"))
+    docs = materialise(works(s, d, "url"), "urls")
+    rules = docs.select(text.host_of(F.col("url")).alias("h")).distinct().select(F.col("h").alias("rule"), F.when(F.col("h") < "m", "trusted").otherwise("indicator").alias("trust_level"), F.lit("article").alias("source_type"))
     rules = rules.where("rule >= 'g'").unionByName(s.createDataFrame([("example", "unknown", None)], "rule string, trust_level string, source_type string"))
-    return records.with_trust(works(s, d).select("doc_id", "url"), "url", rules).select("doc_id", "rule", "trust_level")
+    return records.with_trust(docs, "url", rules).select("doc_id", "rule", "trust_level")
 
 
 def term_title_match(s, d):
-    return cand.term_matches(works(s, d), read(s, d, "candidates").where("kind = 'term'").select(F.lower("label").alias("term")).distinct())
+    return cand.term_matches(works(s, d, "title"), read(s, d, "candidates").where("kind = 'term'").select(F.lower("label").alias("term")).distinct())
 
 
 def reference_match(s, d):
@@ -287,7 +298,7 @@ def agg_peer_norm(s, d):
 
 
 def agg_doc_frequency(s, d):
-    return cand.doc_frequency(cand.title_terms(works(s, d)), 20)
+    return cand.doc_frequency(cand.title_terms(works(s, d, "title")), 20)
 
 
 def agg_upsert_counter(s, d):
@@ -295,11 +306,11 @@ def agg_upsert_counter(s, d):
 
 
 def agg_filtered(s, d):
-    return works(s, d).groupBy("year").agg(F.count_if(F.trim("abstract") != "").alias("n_abstracts"), F.count("doi").alias("n_dois"))
+    return works(s, d, "year", "abstract", "doi").groupBy("year").agg(F.count_if(F.trim("abstract") != "").alias("n_abstracts"), F.count("doi").alias("n_dois"))
 
 
 def agg_distinct_per_year(s, d):
-    return sampling.coverage(works(s, d)).select("year", "n_works", "n_countries")
+    return sampling.coverage(works(s, d, "year", "abstract", "doi", "countries")).select("year", "n_works", "n_countries")
 
 
 def agg_rejected_summary(s, d):
@@ -317,12 +328,12 @@ def agg_news_features(s, d):
 
 
 def agg_host_trust(s, d):
-    per = works(s, d).select(text.host_of(F.col("url")).alias("host"), "trust_level").groupBy("host").agg(F.bool_and(F.coalesce(F.col("trust_level") == "trusted", F.lit(False))).alias("trusted"), F.count("*").alias("n"))
+    per = works(s, d, "url", "trust_level").select(text.host_of(F.col("url")).alias("host"), "trust_level").groupBy("host").agg(F.bool_and(F.coalesce(F.col("trust_level") == "trusted", F.lit(False))).alias("trusted"), F.count("*").alias("n"))
     return per
 
 
 def agg_status_counts(s, d):
-    return works(s, d).groupBy(F.coalesce("trust_level", F.lit("none")).alias("trust_level")).agg(F.count("*").alias("n"))
+    return works(s, d, "trust_level").groupBy(F.coalesce("trust_level", F.lit("none")).alias("trust_level")).agg(F.count("*").alias("n"))
 
 
 def agg_cluster_centroid(s, d):
@@ -361,7 +372,7 @@ def agg_recall(s, d):
 
 def agg_stats_header(s, d):
     t = read(s, d, "trends").where(F.col("as_of") == AS_OF)
-    return serve.header(t.where("not isnan(emergence_score)"), t.where("rank > 15"), works(s, d))
+    return serve.header(t.where("not isnan(emergence_score)"), t.where("rank > 15"), works(s, d, "year"))
 
 
 def _cards(s: SparkSession, d: str) -> DataFrame:
@@ -375,7 +386,7 @@ def agg_citation_coverage(s, d):
 
 
 def agg_cyrillic_share(s, d):
-    return works(s, d).select("doc_id", F.round(quality.cyrillic_share(F.col("title")), 6).alias("share"))
+    return works(s, d, "title").select("doc_id", F.round(quality.cyrillic_share(F.col("title")), 6).alias("share"))
 
 
 def agg_preprint_lag(s, d):
@@ -383,16 +394,16 @@ def agg_preprint_lag(s, d):
 
 
 def agg_text_concat(s, d):
-    return works(s, d).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "doc_id", "title"))), "\n").alias("t")).select("domain", F.sha2("t", 256).alias("digest"))
+    return works(s, d, "domain", "title").groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "doc_id", "title"))), "\n").alias("t")).select("domain", F.sha2("t", 256).alias("digest"))
 
 
 # ---- windows, sorts, top-k
 def win_dedup_first(s, d):
-    return works(s, d).select("doc_id", "year", "harvested_at")
+    return works(s, d, "year", "harvested_at").select("doc_id", "year", "harvested_at")
 
 
 def win_stratified_hash(s, d):
-    return sampling.equal_year_sample(works(s, d), 2022, 2026, 250).select("doc_id", "year")
+    return sampling.equal_year_sample(works(s, d, "year"), 2022, 2026, 250).select("doc_id", "year")
 
 
 def win_pct_rank(s, d):
@@ -438,7 +449,7 @@ def sort_top_docs(s, d):
 
 
 def sort_headlines(s, d):
-    news = works(s, d).where("source = 'gnews'").select("doc_id", text.strip_publisher(F.col("title")).alias("title"), F.coalesce("date", F.lit("")).alias("date"))
+    news = works(s, d, "source", "title", "date").where("source = 'gnews'").select("doc_id", text.strip_publisher(F.col("title")).alias("title"), F.coalesce("date", F.lit("")).alias("date"))
     return news.orderBy(F.desc("date"), "doc_id").limit(300)
 
 
@@ -451,7 +462,7 @@ def topk_cagr(s, d):
 
 
 def topk_ngrams(s, d):
-    return cand.title_terms(works(s, d)).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(40)
+    return cand.title_terms(works(s, d, "title")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(40)
 
 
 # ---- sets, samples
@@ -482,25 +493,25 @@ def dedup_live(s, d):
 
 
 def sample_equal_year_quota(s, d):
-    return sampling.equal_year_sample(works(s, d), 2022, 2026, 997).select("doc_id", "year")
+    return sampling.equal_year_sample(works(s, d, "year"), 2022, 2026, 997).select("doc_id", "year")
 
 
 def sample_first_valid(s, d):
-    return sampling.first_valid(works(s, d), F.col("doi").isNotNull() & F.col("abstract").isNotNull(), ["year", "doc_id"], 20).select("doc_id", "year")
+    return sampling.first_valid(works(s, d, "doi", "abstract", "year"), F.col("doi").isNotNull() & F.col("abstract").isNotNull(), ["year", "doc_id"], 20).select("doc_id", "year")
 
 
 def split_stratified_kfold(s, d):
-    rows = works(s, d).select("doc_id", F.when(F.col("source_type") == "preprint", 1).otherwise(0).alias("label"))
+    rows = works(s, d, "source_type").select("doc_id", F.when(F.col("source_type") == "preprint", 1).otherwise(0).alias("label"))
     return sampling.folds(rows, "doc_id", "label", 5, 7).groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
 # ---- functions
 def fn_tokens(s, d):
-    return works(s, d).select("doc_id", F.array_join(text.tokens(F.col("title")), " ").alias("t"))
+    return works(s, d, "title").select("doc_id", F.array_join(text.tokens(F.col("title")), " ").alias("t"))
 
 
 def fn_ngrams(s, d):
-    return works(s, d).select("doc_id", F.explode(text.ngrams(F.col("title"))).alias("term"))
+    return works(s, d, "title").select("doc_id", F.explode(text.ngrams(F.col("title"))).alias("term"))
 
 
 def fn_lemma(s, d):
@@ -508,27 +519,27 @@ def fn_lemma(s, d):
 
 
 def fn_publisher(s, d):
-    return works(s, d).select("doc_id", series.publisher(F.col("source"), F.col("title"), F.col("url")).alias("publisher"))
+    return works(s, d, "source", "title", "url").select("doc_id", series.publisher(F.col("source"), F.col("title"), F.col("url")).alias("publisher"))
 
 
 def fn_strip_publisher(s, d):
-    return works(s, d).select("doc_id", text.strip_publisher(F.col("title")).alias("t"))
+    return works(s, d, "title").select("doc_id", text.strip_publisher(F.col("title")).alias("t"))
 
 
 def fn_norm_host(s, d):
-    return works(s, d).select("doc_id", text.host_of(F.col("url")).alias("host"))
+    return works(s, d, "url").select("doc_id", text.host_of(F.col("url")).alias("host"))
 
 
 def fn_canonical_url(s, d):
-    return works(s, d).select("doc_id", text.canonical_url(F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("b=2&utm_medium=x&a=1&c=#part"))).alias("url"))
+    return works(s, d, "url").select("doc_id", text.canonical_url(F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("b=2&utm_medium=x&a=1&c=#part"))).alias("url"))
 
 
 def fn_norm_title(s, d):
-    return works(s, d).select("doc_id", text.norm_title(F.col("title")).alias("t"))
+    return works(s, d, "title").select("doc_id", text.norm_title(F.col("title")).alias("t"))
 
 
 def fn_norm_entity(s, d):
-    return works(s, d).select("doc_id", text.norm_entity(F.col("title")).alias("t"))
+    return works(s, d, "title").select("doc_id", text.norm_entity(F.col("title")).alias("t"))
 
 
 def fn_clean_term(s, d):
@@ -536,7 +547,7 @@ def fn_clean_term(s, d):
 
 
 def fn_slug(s, d):
-    return works(s, d).select("doc_id", text.slug(F.col("title")).alias("slug"))
+    return works(s, d, "title").select("doc_id", text.slug(F.col("title")).alias("slug"))
 
 
 def fn_stems4(s, d):
@@ -548,15 +559,15 @@ def fn_hash_ids(s, d):
 
 
 def fn_month_number(s, d):
-    return works(s, d).select("doc_id", shape.month_index(F.substring("date", 1, 7)).alias("m"))
+    return works(s, d, "date").select("doc_id", shape.month_index(F.substring("date", 1, 7)).alias("m"))
 
 
 def fn_month_coalesce(s, d):
-    return works(s, d).select("doc_id", series.month_of(F.col("date"), F.col("year")).alias("month"))
+    return works(s, d, "date", "year").select("doc_id", series.month_of(F.col("date"), F.col("year")).alias("month"))
 
 
 def fn_abstract_rebuild(s, d):
-    w = works(s, d).where("abstract is not null").withColumn("ws", F.split("abstract", " "))
+    w = works(s, d, "abstract").where("abstract is not null").withColumn("ws", F.split("abstract", " "))
     pairs = F.transform("ws", lambda x, i: F.struct(x.alias("w"), i.alias("i")))
     index = F.map_from_entries(F.transform(F.array_distinct("ws"), lambda x: F.struct(x, F.transform(F.filter(F.col("p"), lambda q: q.w == x), lambda q: q.i))))
     return w.withColumn("p", pairs).withColumn("index", index).select("doc_id", (text.abstract_of(F.col("index")) == F.col("abstract")).alias("same"))
@@ -564,7 +575,7 @@ def fn_abstract_rebuild(s, d):
 
 # ---- composites
 def _pool(s: SparkSession, d: str) -> pipeline.Pool:
-    return pipeline.score_index(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), AS_OF)
+    return pipeline.score_index(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), AS_OF, homes=_homes(s, d))
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
@@ -594,7 +605,7 @@ def reject_mature(s, d):
 
 
 def _live(s: SparkSession, d: str) -> pipeline.Pool:
-    return pipeline.score_live(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), LIVE_AS_OF, phrases=tuple(PHRASES))
+    return pipeline.score_live(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), LIVE_AS_OF, phrases=tuple(PHRASES), homes=_homes(s, d))
 
 
 def reject_reason_live(s, d):
@@ -621,16 +632,16 @@ def mmr_topk(s, d):
 
 
 def build_trends(s, d):
-    t, _ = pipeline.index_trends(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), AS_OF, CURRENT_YEAR)
+    t, _ = pipeline.index_trends(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), AS_OF, CURRENT_YEAR, homes=_homes(s, d))
     return contracts.project(t, "trends")
 
 
 def build_live(s, d):
-    return pipeline.live_trends(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), LIVE_AS_OF)[0]
+    return pipeline.live_trends(read(s, d, "works"), read(s, d, "cand_docs"), read(s, d, "candidates"), LIVE_AS_OF, homes=_homes(s, d))[0]
 
 
 def extract_terms(s, d):
-    kept, links, _ = cand.extract_terms(works(s, d), DOMAIN, 20)
+    kept, links, _ = cand.extract_terms(works(s, d, "title", "domain").where(F.col("domain") == DOMAIN), DOMAIN, 2)
     return kept.join(links.groupBy("cand_id").agg(F.count("*").alias("n_links")), "cand_id").select("cand_id", "label", "n_docs", "n_links")
 
 

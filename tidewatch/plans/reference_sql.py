@@ -7,8 +7,18 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-_W = """w AS (SELECT * FROM works WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY harvested_at, year, coalesce(cited_by, -1), doc_type, title, url, coalesce(abstract, ''),
-  coalesce(array_to_string(countries, ','), ''), coalesce(array_to_string(institutions, ','), ''), coalesce(array_to_string(authors, ','), '')) = 1)"""
+# the time of a harvest, whose strings have many forms: day and time as written, then the zone they name or that of their source
+_W = r"""hs AS (SELECT works.*, zone, day_first, regexp_replace(trim(harvested_at, ' ' || chr(9) || chr(10) || chr(160)), '\[.*\]$', '') AS h FROM works LEFT JOIN sources USING (source)),
+hp AS (SELECT *, regexp_extract(h, '[tT ]([0-9]{1,2}):?([0-9]{2})(?::?([0-9]{2}))?(?:[.,][0-9]+)?(?: ?[AaPp][Mm])? ?([zZ]|[A-Z]{3,4}|МСК|[-+][0-9:]{2,6})?$', ['h', 'm', 's', 'z']) AS x FROM hs),
+hd AS (SELECT *, CASE WHEN regexp_matches(h, '^[0-9]{4}-') THEN substr(h, 1, 10)::TIMESTAMP WHEN regexp_matches(h, '^[0-9]{8}T') THEN strptime(substr(h, 1, 8), '%Y%m%d')
+  WHEN regexp_matches(h, '^[0-9]{2}/') THEN CASE WHEN day_first THEN strptime(substr(h, 1, 10), '%d/%m/%Y') ELSE strptime(substr(h, 1, 10), '%m/%d/%Y') END
+  WHEN regexp_matches(h, '^[0-9]{2}\.') THEN strptime(substr(h, 1, 10), '%d.%m.%Y') WHEN regexp_matches(h, '^[A-Z]') THEN strptime(regexp_extract(h, '[0-9]+ [A-Z][a-z]+ [0-9]+'), '%d %b %Y')
+  WHEN regexp_matches(h, '^[0-9]{1,2} ') THEN make_timestamp(regexp_extract(h, ' ([0-9]{4})', 1)::BIGINT, list_position(['янв', 'фев', 'мар', 'апр', 'мая', 'июн', 'июл', 'авг', 'сен', 'окт', 'ноя', 'дек'], substr(regexp_extract(h, '[а-я]+'), 1, 3)), regexp_extract(h, '^[0-9]+')::BIGINT, 0, 0, 0)
+  END + to_seconds(x.h::INTEGER % (CASE WHEN regexp_matches(h, '[AaPp][Mm]$') THEN 12 ELSE 24 END) * 3600 + CASE WHEN regexp_matches(h, '[Pp][Mm]$') THEN 43200 ELSE 0 END + x.m::INTEGER * 60 + coalesce(nullif(x.s, '')::INTEGER, 0)) AS local FROM hp WHERE x.h <> ''),
+ht AS (SELECT hd.* EXCLUDE (zone, day_first, h, x, local), CASE WHEN x.z = '' THEN local::TIMESTAMP AT TIME ZONE zone AT TIME ZONE 'UTC' WHEN regexp_matches(x.z, '^[-+]') THEN local - to_minutes(regexp_extract(x.z, '^([-+][0-9]{2})', 1)::INTEGER * 60 + (substr(x.z, 1, 1) || coalesce(nullif(regexp_extract(x.z, '^...:?([0-9]{2})$', 1), ''), '0'))::INTEGER)
+  ELSE local - to_minutes(coalesce(offset_min, 0)) END AS happened FROM hd LEFT JOIN zone_names ON upper(x.z) = upper(abbr)
+  UNION ALL SELECT hp.* EXCLUDE (zone, day_first, h, x), make_timestamp(substr(h, 1, 10)::BIGINT * 1000000) FROM hp WHERE x.h = ''),
+w AS (SELECT * EXCLUDE (happened) FROM ht WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY happened) = 1)"""
 _L = "l AS (SELECT DISTINCT cand_id, doc_id FROM cand_docs WHERE cand_id IS NOT NULL AND doc_id IS NOT NULL)"
 _J = "j AS (SELECT l.cand_id, w.* FROM l JOIN w USING (doc_id))"
 _WEIGHT = "CASE doc_type WHEN 'model' THEN 1.6 WHEN 'repo' THEN 1.5 WHEN 'preprint' THEN 1.4 WHEN 'article' THEN 1.0 WHEN 'patent' THEN 0.9 WHEN 'report' THEN 0.8 ELSE 1.0 END"
@@ -122,7 +132,7 @@ SQL = {
     "scan_projected_batches": "SELECT count(*) AS n, sum(length(title))::BIGINT AS chars FROM works WHERE length(title) > 60",
     "scan_metadata": "SELECT count(*) AS n_rows FROM counts",
     "scan_json_cache": "SELECT doi AS key, min(lower(url)) AS target FROM works WHERE doi IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lower(url)) = 1",
-    "src_concept": "SELECT lower(trim(c)) AS concept, count(*) AS n, count(DISTINCT domain) AS n_domains FROM (SELECT unnest(concepts) AS c, domain FROM works) WHERE lower(trim(c)) IN ('crop monitoring', 'swarm control', 'fraud detection', 'unheard of') GROUP BY 1",
+    "src_concept": "SELECT lower(trim(c)) AS concept, count(*) AS n, count(DISTINCT domain) AS n_domains FROM (SELECT unnest(concepts) AS c, domain FROM works) WHERE lower(trim(c)) IN (SELECT lower(trim(label)) FROM candidates) GROUP BY 1",
     "src_science_base": _with(_W, _LAB, "s AS (SELECT label, count(*) AS k FROM (SELECT unnest(concepts) AS label FROM w) WHERE label IS NOT NULL GROUP BY 1)") + "SELECT cand_id, k AS science_10y FROM lab LEFT JOIN s USING (label)",
     "upsert_journal": "SELECT domain AS dataset, cand_id AS tbl, as_of AS version, max(n_docs)::BIGINT AS n_rows FROM trends GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY domain, cand_id ORDER BY as_of DESC) = 1",
     "sink_cards_merge": "WITH t AS (SELECT DISTINCT trend_id, as_of FROM trends) SELECT trend_id, CASE WHEN as_of % 2 = 0 THEN 'new' ELSE 'old' END AS made FROM t WHERE as_of % 2 = 0 OR as_of <= 2023",
@@ -156,7 +166,7 @@ FROM (SELECT cand_id, regexp_replace(trim(lower(label)), '\s+', ' ', 'g') AS t F
     "join_selected": _with(_W, _quota(300)) + "SELECT doc_id, w.year, title FROM w JOIN q USING (doc_id)",
     "join_incoming_accepted": "WITH " + _NGRAM + " SELECT term, doc_id FROM ng WHERE term IN (SELECT term FROM ng GROUP BY 1 HAVING count(*) >= 20)",
     "check_left_join": _with(_L) + "SELECT cand_id, n_docs, coalesce(n, 0) AS n FROM (SELECT cand_id, max(n_docs) AS n_docs FROM candidates GROUP BY 1) LEFT JOIN (SELECT cand_id, count(*) AS n FROM l GROUP BY 1) USING (cand_id) WHERE n_docs <> coalesce(n, 0)",
-    "anti_unknown_fk": "SELECT doc_id FROM documents WHERE work_id IS NOT NULL AND work_id NOT IN (SELECT doc_id FROM cand_docs WHERE doc_id IS NOT NULL)",
+    "anti_unknown_fk": "SELECT doc_id FROM documents WHERE work_id IS NOT NULL AND work_id NOT IN (SELECT doc_id FROM cand_docs JOIN candidates USING (cand_id) WHERE kind = 'cluster' AND doc_id IS NOT NULL)",
     "anti_merge": "SELECT DISTINCT cand_id FROM candidates WHERE cand_id NOT IN (SELECT cand_id FROM trends)",
     "left_defaults": _with(_W, _L, _J, _SPREAD, _LAB) + "SELECT cand_id, coalesce(n_countries, 0) AS n_countries FROM lab LEFT JOIN sp USING (cand_id)",
     "unnest_lateral": _with(_W) + "SELECT doc_id, unnest(countries) AS country FROM w",
@@ -252,7 +262,7 @@ WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, -2) WHEN w LIKE '%ss' TH
     "emergence_score_live": _LIVE + f""", rk AS (SELECT *, {_rank("-age")} AS a, {_rank("round(growth, 9)")} AS g, {_rank("round(accel, 9)")} AS c, {_rank("round(ln(burst + 0.01), 9)")} AS b, {_rank("n_domains")} AS s5 FROM lr WHERE reason IS NULL)
 SELECT cand_id, round(a * 0.20::DOUBLE + g * 0.32::DOUBLE + c * 0.23::DOUBLE + b * 0.15::DOUBLE + s5 * 0.10::DOUBLE, 4) AS es, round_even(a, 3) AS c_novelty, round_even(g, 3) AS c_growth FROM rk""",
     "stage_confidence": _POOL + "SELECT cand_id, CASE WHEN maturity_pct >= 0.9::DOUBLE THEN 'scaling' WHEN age <= 3 THEN 'emerging' WHEN age <= 6 THEN 'early_growth' ELSE 'scaling' END AS stage, CASE WHEN counts_recent >= 200 AND n_countries >= 15 THEN CASE WHEN homonym THEN 'medium' ELSE 'high' END WHEN counts_recent >= 50 AND n_countries >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM sc",
-    "extract_terms": "WITH " + _NGRAM + r", f AS (SELECT term, count(*) AS n FROM ng GROUP BY 1 HAVING count(*) >= 20) SELECT concat('t:artificial-intelligence:', substr(sha256(concat('artificial-intelligence', chr(0), term)), 1, 24)) AS cand_id, term AS label, n AS n_docs, n AS n_links FROM f WHERE NOT regexp_matches(term, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)$') AND regexp_matches(term, '\b(neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b')",
+    "extract_terms": "WITH " + _NGRAM + r", f AS (SELECT term, count(*) AS n FROM ng JOIN w USING (doc_id) WHERE domain = 'artificial-intelligence' GROUP BY 1 HAVING count(*) >= 2) SELECT concat('t:artificial-intelligence:', substr(sha256(concat('artificial-intelligence', chr(0), term)), 1, 24)) AS cand_id, term AS label, n AS n_docs, n AS n_links FROM f WHERE NOT regexp_matches(term, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)$') AND regexp_matches(term, '\b(neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b')",
     "cluster_candidates": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings WHERE label >= 0), m AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS v FROM m) SELECT e.label, vec_id, round(greatest(0.0, least(1.0, sum(x * v) / sqrt(sum(x * x)))), 6) AS weight FROM e JOIN c USING (label, pos) GROUP BY e.label, vec_id",
     "validate_index": """SELECT 'duplicate candidate' AS rule, count(*) AS violations FROM (SELECT 1 FROM candidates GROUP BY cand_id HAVING count(*) > 1) UNION ALL SELECT 'duplicate link', count(*) FROM (SELECT 1 FROM cand_docs GROUP BY cand_id, doc_id HAVING count(*) > 1)
 UNION ALL SELECT 'link without candidate', count(*) FROM cand_docs WHERE cand_id NOT IN (SELECT cand_id FROM candidates) UNION ALL SELECT 'link without document', count(*) FROM cand_docs WHERE doc_id NOT IN (SELECT doc_id FROM works)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import abstract_of, host_of, suffixes
+from tidewatch.runtime import lookup_join
 
 # fixed values: trust and type of sources by domain
 RULES = {
@@ -70,7 +71,8 @@ def rules_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFram
 def with_trust(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     """df with host, rule, trust_level and source_type of the longest rule whose domain is the host or a suffix of it."""
     hosts = df.select(host_of(F.col(url)).alias("host")).where("host is not null").distinct()
-    hit = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("rule")).join(F.broadcast(rules), "rule")  # a rule table is a short list
+    hit = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("rule"))
+    hit = lookup_join(hit, rules, ["rule"], F.col("host"))
     best = hit.groupBy("host").agg(F.max_by(F.struct("rule", "trust_level", "source_type"), F.length("rule")).alias("r")).select("host", "r.*")
     rest = df.drop("rule", "trust_level", "source_type").withColumn("host", host_of(F.col(url)))
     return rest.join(best, "host", "left").withColumn("trust_level", F.coalesce("trust_level", F.lit("unknown")))
