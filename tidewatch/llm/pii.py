@@ -1,17 +1,19 @@
 """Problem 10: personal data in free text, found and replaced by typed placeholders.
 
-Method: a semi-Markov conditional random field. Proposals with several boundaries and types stand for the segments of
-bounded length; features look at a whole segment (its grammar, its digits, the lexicon of given names) and at what stands
-next to it; dynamic programming over each cluster of overlapping proposals chooses boundaries and types jointly, with plain
-text scoring zero. Weights come from maximum likelihood on sentences of ``pii_training``.
-"""
+Method: a semi-Markov conditional random field. A text is cut into tokens; every span of tokens up to the longest of each
+kind is a segment that may be chosen, whatever it looks like. Its score is the sum of weights of what its tokens are, what
+stands at and around its ends, how many digits, words, initials it holds and the order of its token classes. Dynamic
+programming chooses boundaries and kinds jointly, with plain text scoring zero. Weights come from maximum likelihood on the
+sentences of ``pii_training``; a list of given names is a feature, not a condition.
+
+Segments of negative score stand in no best choice, so after all are scored the programme runs over the others only; an
+upper bound of the counts' weights spares the exact score of most."""
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,116 +23,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.names import latin
+from tidewatch.llm.pii_training import HAN_FAMILIES
 
 KINDS = ("email", "phone", "identity", "address", "name")
-#: Characters a segment spans at most, by kind.
-LONGEST = {"email": 160, "phone": 32, "identity": 32, "address": 120, "name": 90}
+#: Tokens that a segment of each kind spans at most: words, digit runs, single signs and Chinese characters; blanks are none.
+LONGEST = {"email": 26, "phone": 18, "identity": 14, "address": 30, "name": 10}
+#: Tokens that are scored at once; bounds the memory of a worker. A longer text is scored whole.
+CHUNK = 200_000
+#: Tokens to the left that a segment's score looks at; so many breaks part two texts.
+REACH = 6
+#: Tokens of the training texts that a feature must occur in to have a weight.
+LEAST = 3
 
 Span = tuple[int, int, str]
-Proposal = tuple[int, int, str, tuple[str, ...]]  # start, end, kind, features
-
-_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁІЇЄҐ"
-_L = "A-Za-zÀ-ɏЀ-ӿ"  # letters of words with spaces between them; Chinese may stand right beside them
-_W = rf"[{_UP}][{_L}]*(?:[’'][{_L}]{{2,}})?(?:[-‐][{_UP}][{_L}]*)*"
-_I = rf"[{_UP}]\."
-_TOWN = rf"(?!(?:Tel|Fax|Phone|Passport|SSN|NI|DNI|NIE|NIF|CPF|PESEL|Personalausweis|Reisepass|Steuer|СНИЛС|ИНН|РНОКПП|Паспорт)\b)(?:(?:New|San|Santa|Saint|St|Bad|Los|Las|Nowy|Nowa|Novi) )?[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)*"
-
-# ---- email
-_AT = r"(?:[ \t]?[@＠][ \t]?|[ \t]?[\[({<][ \t]?(?:at|AT|собака)[ \t]?[\])}>][ \t]?)"
-_DOT = r"(?:\.|[ \t]?[\[({][ \t]?(?:dot|DOT|точка)[ \t]?[\])}][ \t]?|[ \t]+(?:dot|DOT)[ \t]+)"
-_EMAIL = re.compile(rf"(?<![A-Za-z0-9_.+\-%/])(?P<user>[A-Za-z0-9][A-Za-z0-9_.+\-%]*?)(?P<at>{_AT})(?P<host>[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,24}})(?![A-Za-z0-9_@])")
-_EMAIL_WORDS = re.compile(r"(?i)(?<![a-z0-9_.+\-%/@])(?P<user>[a-z0-9][a-z0-9_.+\-%]*)(?P<at> at )(?P<host>[a-z0-9][a-z0-9\-]*(?: dot [a-z0-9\-]+)* dot [a-z]{2,24})(?![a-z0-9_@])")
-
-# ---- phone
-_DIGITS = re.compile(r"(?<![A-Za-zÀ-ɏЀ-ӿ\d_.,@/\-#+])(?:\+|\(\+?|)\d[\d()./  ‑–\-]{4,30}\d(?![A-Za-zÀ-ɏЀ-ӿ\d_@])(?!\.\d)")
-_PHONE_CUE = re.compile(r"(?<![A-Za-zА-Яа-яІі])(?:tel|telephone|phone|fax|call(?: me)?|ring(?: me)?|text|dial|mobile|cell|тел|телефону?|звоните по телефону|номером|llame al|ligue para|chiamare il|appelez le|au|unter|pod|拨打|电话|致电|факс)[.:=]?\s*(?:no|nr|№|number)?[.:]?\s*$", re.I)
-_DAY = re.compile(r"(?<!\d)(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)")
-_PHONE_FORMS = [(n, re.compile(p)) for n, p in (
-    ("iso", r"\d{4}-\d\d-\d\d"), ("ssn", r"\d{3}[ -]\d\d[ -]\d{4}"), ("bare", r"\d+"), ("plus", r"\(?\+\d{1,3}[ \-.(].*|\+\d{9,14}"), ("zeros", r"00[1-9]\d{0,2}[ \-.(].*|00[1-9]\d{9,12}"),
-    ("area", r"(?:[18] ?)?\(\d{2,5}\)[ \-.]?\d[\d \-.]+"), ("threes", r"(?:1[ \-.])?\d{3}[ \-.]\d{3}[ \-.]\d{3,4}"), ("eight", r"8[ \-.]\d{3}[ \-.]\d{3}[ \-.]\d\d[ \-.]\d\d"),
-    ("twos", r"0\d(?:[ \-.]\d\d){4}"), ("trunk", r"0\d{2,4}[ \-.]\d[\d \-.]+\d"), ("groups", r".*"),
-)]
-
-# ---- identity
-_CODE = re.compile(rf"(?<![A-Za-z0-9\-.@/+_#])(?:[{_UP}]{{1,5}}(?=[ \-]?\d)[ \-]?)?[{_UP}\d]*\d[{_UP}\d]*(?:[ \-./][{_UP}\d]+)*(?![A-Za-z0-9@_])")
-_IDENTITY_CUE = re.compile(
-    r"(?<![A-Za-zА-Яа-яІі.])(?:ssn|social security(?: number)?|passport|national id|national insurance(?: number)?|ni number|tax (?:number|id)|driv(?:ing|er'?s?) licen[cs]e|identity card|id card|снилс|паспорт(?: серии)?|инн(?: физлица)?|рнокпп|іпн|pesel|nr dowodu|dow[oó]d(?: osobisty)?|nip|cpf|nif|dni|nie|rg|cartão de cidadão|"
-    r"num[ée]ro de sécurité sociale|carte d[’']identité|carta d[’']identità|codice fiscale|steuer-id|personalausweis|reisepass|passeport|pasaporte|passaporto|paszport(?:u)?|护照号码|护照号|护照|身份证号码|身份证号|身份证)"
-    r"\s*(?:[:：]|№|#|no\.?|nr\.?|n\.?º|n\.|number|номер|серия|серии)*\s*(?:[:：]|№)?\s*$",
-    re.I,
-)
-_ID_HINT = re.compile(r"ssn|socia|passp|passe|pasap|nation|number|tax|licen|card|снилс|паспорт|инн|рнокпп|іпн|pesel|dow|nip|cpf|nif|dni|nie|rg|cart|codice|steuer|ausweis|reisep|护照|身份证|№|n\.", re.I)
-_FOREIGN_CUE = re.compile(r"(?<![A-Za-zА-Яа-я])(?:order|grant|serial|issn|isbn|timestamp|seed|version|theorem|track|ticket|invoice|room|bytes|uuid|commit|build|part|lot|batch|заказ|грант|договор)\s*(?:no\.?|nr\.?|№|number|[#=:(])*\s*$", re.I)
-
-_FIVE = re.compile(r"\d(?:[A-Z ./()\-‑–\u00a0]*\d){4}")  # five digits near each other, as every number has
-
-# ---- address
-_EN_STREET = rf"(?:(?:N|S|E|W)\. )?{_W} (?:Street|Str|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Court|Square|Close|Terrace|Boulevard|Blvd)\b\.?"
-_EN_FLAT = r"(?:Flat|Apartment|Apt\.?|Unit|Suite) \d{1,5}[A-Za-z]?"
-_LINK = r"(?:d[eou]s?|della|dei|del|delle|degli|da|das|dos|la|los|las|el|du|des|de l[’'])"
-_ADDRESS = [(n, re.compile(p)) for n, p in (
-    ("en", rf"(?<![\w\-])(?P<a>{_EN_FLAT}, )?\d{{1,5}}[A-Za-z]? {_EN_STREET}(?P<b>, {_EN_FLAT})?(?P<c>, {_TOWN}(?P<d> (?:[A-Z]{{2}} )?\d{{5}}(?!\d)| [A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}})?)?"),
-    ("de", rf"(?<![\w\-])[{_UP}][^\W\d_]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm)(?: | )\d{{1,4}}(?: ?[a-z]\b)?(?P<c>, (?:D-)?\d{{5}}(?: {_TOWN})?)?"),
-    ("fr", rf"(?<![\w\-])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|place|quai|impasse|chemin|allée|cours)(?: {_LINK}| d[eu]s? la)* ?{_W}(?: {_W})*(?P<c>, \d{{5}}(?: {_TOWN})?)?"),
-    ("es", rf"(?<![\w\-])(?:Calle|C/|Avenida|Avda\.|Av\.|Plaza|Paseo|Camino|Carretera)(?: {_LINK})* {_W}(?: {_W})*,? (?:n\.?º ?)?\d{{1,4}}(?:, (?:piso )?\d+\.?º(?: ?[A-Z])?)?(?P<c>, \d{{5}}(?: {_TOWN})?)?"),
-    ("pt", rf"(?<![\w\-])(?:Rua|R\.|Av\.|Avenida|Travessa|Largo|Praça|Alameda|Estrada)(?: {_LINK})* {_W}(?: {_W})*,? (?:n\.?º ?)?\d{{1,4}}(?:, (?:apto\.?|ap\.) \d+)?(?P<c>, \d{{3,5}}-\d{{3}}(?: {_TOWN})?)?"),
-    ("it", rf"(?<![\w\-])(?:[Vv]ia|[Pp]iazza|[Vv]iale|[Cc]orso|[Vv]icolo|[Ll]argo)(?: {_LINK})* {_W}(?: {_W})*,? (?:n\.? ?)?\d{{1,4}}(?: ?/ ?[A-Za-z\d]+)?(?P<c>(?:,| [-–]) \d{{5}}(?: {_TOWN})?)?"),
-    ("pl", rf"(?<![\w\-])(?:(?:ul|al|pl|os)\. )?{_W}(?: {_W})? \d{{1,4}}(?:/\d{{1,4}}| m\. ?\d{{1,4}})?(?P<c>, \d\d-\d{{3}}(?: {_TOWN})?)"),
-    ("pl-", rf"(?<![\w\-])(?:ul|al|pl|os)\. {_W}(?: {_W})? \d{{1,4}}(?:/\d{{1,4}}| m\. ?\d{{1,4}})?"),
-    ("ru", rf"(?<![\w\-])(?P<a>(?:(?:г|м)\. ?)?{_TOWN}, |\d{{6}}, )?(?:ул|вул|пр|пер|просп|бул)\. ?{_TOWN}, (?:(?:д|дом|буд)\.? ?)?\d{{1,4}}[а-я]?(?P<b>, (?:кв|оф)\. ?\d+)?(?P<c>, (?:(?:г|м)\. ?)?{_TOWN})?"),
-    ("ua", rf"(?<![\w\-])(?P<a>(?:(?:г|м)\. ?)?{_TOWN}, |\d{{5,6}}, )?(?:вулиця|улица|проспект|провулок|переулок) {_TOWN}, (?:(?:д|дом|буд)\.? ?)?\d{{1,4}}(?P<b>, (?:кв|оф)\. ?\d+)?(?P<c>, (?:(?:г|м)\. ?)?{_TOWN})?"),
-    ("ru2", rf"(?<![\w\-])(?P<a>\d{{5,6}}, |(?:(?:г|м)\. ?)?{_TOWN}, )?[А-ЯІЇЄ][а-яіїє]+ (?:ул|вул|пр|пер)\., (?:(?:д|дом|буд)\.? ?)?\d{{1,4}}(?P<b>, (?:кв|оф)\. ?\d+)?(?P<c>, (?:(?:г|м)\. ?)?{_TOWN})?"),
-    ("zh", r"(?P<a>[一-鿿]{2,4}(?:市|区|县))?(?P<s>[一-鿿]{2,4}(?:路|街|巷|道|大道))\d{1,5}号(?:\d{1,5}(?:室|单元|栋|楼|号楼))*"),
-)]
-# what every address of a form holds; patterns are tried around these words only
-_ADDRESS_KEYS = {
-    "en": ("Street", " Str", " St", " Road", " Rd", " Avenue", " Ave", " Lane", " Ln", " Drive", " Court", " Square", " Close", " Terrace", " Boulevard", " Blvd"), "de": ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm"),
-    "fr": ("rue ", "avenue ", "av. ", "boulevard ", "bd ", "place ", "quai ", "impasse ", "chemin ", "allée ", "cours "), "es": ("Calle", "C/", "Avenida", "Avda.", "Av.", "Plaza", "Paseo", "Camino", "Carretera"), "pt": ("Rua ", "R. ", "Av. ", "Avenida", "Travessa", "Largo", "Praça", "Alameda", "Estrada"),
-    "it": ("via ", "Via ", "iazza ", "iale ", "orso ", "icolo ", "argo "), "pl": (), "pl-": ("ul. ", "al. ", "pl. ", "os. "), "ru": ("ул.", "пр.", "пер.", "просп.", "бул."), "ua": ("вулиця", "улица", "проспект", "провулок", "переулок"), "ru2": (" ул.,", " вул.,", " пр.,", " пер.,"), "zh": ("号",),
-}
-_POSTCODE_PL = re.compile(r", \d\d-\d{3}(?!\d)")
-
-
-def _windows(text: str, keys: tuple[str, ...]) -> list[tuple[int, int]]:
-    """Stretches of the text as long as an address around the keys; all of a short text that holds one."""
-    spots = []
-    for k in keys or ("",):
-        if not k:
-            spots += [m.start() for m in _POSTCODE_PL.finditer(text)]
-            continue
-        at = text.find(k)
-        while at >= 0:
-            spots.append(at)
-            at = text.find(k, at + len(k))
-    reach, out = LONGEST["address"] + 40, []
-    for at in sorted(spots):
-        if out and at - reach <= out[-1][1]:
-            out[-1] = (out[-1][0], at + reach)
-        else:
-            out.append((max(0, at - reach), at + reach))
-    return out
-
 
-_ZH_LEAD = re.compile(r"^(?:地址|位于|在|到|至|寄往|住|是|于|址)+")
-
-# ---- name
-_P = r"(?:v[ao]n de[nr]?|v[ao]n|de la|de los|del|den|der|de|di|da|dos|do|das|ter|ten|bin|ibn|al|el|la|le|af|av|zu|zur)"  # particles of family names
-_RUN = re.compile(rf"(?<![{_L}\d_@.\-/])(?:{_I}|{_W})(?:(?:,[ \u00a0]|[ \u00a0]|(?<=\.))(?:{_P}[ \u00a0](?={_W})|)(?:{_I}|{_W}))+")
-_PART = re.compile(rf"{_I}|{_W}")
-_NAME_SHAPE = re.compile(r"GI{0,2}p?[GW]|WG|[GW],?I{1,2}|I{1,2}p?[GW]|[GW],GI{0,2}|G,WI{0,2}|(?:G[GW]|WG)I{1,2}|GI{0,2}p?[GW][GW]|G[GW]p?[GW]")
-_PARTICLE_BEFORE = re.compile(rf"(?<![{_L}])(?:{_P}|Van|Von|De) $")
-_AFTER_NAME = re.compile(r"^(?:[’']s)?[ -](?:theorem|lemma|conjecture|lander|robot|chip|bridge|dataset|data set|station|street|road|lane|avenue|valley|campus|district|plant|trial|protocol|model|prize|award|array|telescope|probe|rover|satellite|sensor|engine|algorithm|method|test|institute|university|laborator|systems|center|centre)", re.I)
-# fixed values: capitalised words that open sentences or name things, never families
-_COMMON = set(
-    "the a an this that these those in on at of to for from by with and or but if as we our he she it they there here both either thanks according contact correspondence inventors reviewer reviewers named after since today yesterday next last each every some no not yes dear hello hi re cc "
-    "dr prof mr mrs ms sir madam herr frau monsieur madame señor señora pan pani data open read order call text ship filed see note docs table fig figure section chapter version page phone fax mail email "
-    "street st road rd avenue lane flat suite apt unit north south east west monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
-    "university institute laboratory academy center centre systems department company inc ltd corp bank city river lake mount bay port new old great grand "
-    "по об автор авторы отзыв контакты контакти участник учасник заявку дякуємо адрес адреса от и в на с за для однако коротко показано результаты тел ул вул г м д кв kontakt contacto contato contatto texte texto testo le la les el los las der die das il lo i o os as un une una ein eine wir nous nos".split()
+_TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+|\d+|[ \t ]+|\s+|.", re.DOTALL)
+# fixed values: words of streets, particles of family names, and capitalised words that open sentences or name days and months
+STREETS = set("street road avenue lane drive way court place square close terrace boulevard crescent parkway grove gardens row hill st rd ave ln dr blvd rue allée quai impasse chemin cours bd av calle avenida avda plaza paseo camino carretera rua travessa largo praça alameda estrada via viale piazza corso vicolo ul al os pl ulica ул улица пр проспект пер просп бул вул вулиця пров бульвар переулок 路 街 道 巷 号".split())
+LOW_STREETS = set("rue via viale piazza corso vicolo largo calle avenida rua ul al os avenue boulevard place quai impasse chemin allée cours bd av".split())
+PARTS = set("apt apto apartment flat unit suite floor room кв оф офис д дом буд будинок г м пос piso int interno esc p.o box 室 栋 单元 楼 市 区 县".split())
+_STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|allee|platz|ring|ufer|damm|straat|laan|gracht|plein)$")
+PARTICLES = set("van von de der den des del della di da do dos das du la le el al bin ibn ter ten zu zur af".split())
+COMMON = set(
+    "the a an this that these those in on at of to for from by with and or but if as we our he she it they there here both either thanks contact since each every some no not yes dear hello hi re cc dr prof mr mrs ms sir madam herr frau monsieur madame señor señora pan pani new old north south east west great "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december university institute laboratory academy center centre department company bank city river lake mount bay port "
+    "und die der das ein eine ist le les un une et el los una y o os um uma il lo i w z na и в на по от для с за не".split()
 )
-
-
-@lru_cache(100_000)
+_SIGNS = ".,-'@/:;()[]<>+#_=\"*&%°№‑–—|{}!?«»“”„、，。：；（）＠＋$\\~"
+CLASSES = {c: i for i, c in enumerate(["break", "line", "I", "C", "U", "w", "a", "G", "GU", "g", "K", "p", "S", "Sa", "s", "A", "at", "dot", "H", "Hs", *(f"D{n}" for n in range(1, 13)), "sign", *_SIGNS])}
+N_CLASS = len(CLASSES)
+_BREAK, _LINE, _SIGN = CLASSES["break"], CLASSES["line"], CLASSES["sign"]
+#: Classes as the coarse order of a segment sees them.
+_COARSE = np.array([{"U": CLASSES["C"], "GU": CLASSES["G"], "g": CLASSES["w"], "a": CLASSES["w"], "Hs": CLASSES["H"]}.get(c, CLASSES["D1"] if c[0] == "D" and c[1:].isdigit() else i) for c, i in CLASSES.items()])
+_SAME_SIGN = {"’": "'", "ʼ": "'", "`": "'"}
+
+ROLES = ("in", "start", "prev1", "prev2", "bag", "end", "next1", "next2")
+PAIRS = ("in", "enter", "leave", "first", "last")
+TRIPLES, N_TRIPLE = ("enter", "leave", "before", "after"), 1 << 14
+#: What is counted in a segment of each kind, with the highest count told apart.
+COUNTED = {"email": {"at": 2, "dot": 5, "gap": 6}, "phone": {"digit": 18, "run": 8, "gap": 6}, "identity": {"digit": 20, "run": 6, "letter": 8}, "address": {"run": 6, "street": 2, "cap": 7, "comma": 5}, "name": {"cap": 5, "given": 3, "initial": 4, "han": 4}}
+_COUNTERS = ("at", "dot", "gap", "digit", "run", "letter", "street", "cap", "comma", "given", "initial", "han")
+
+
+@lru_cache(200_000)
 def _lat(word: str) -> str:
     return latin(word)
 
@@ -152,248 +87,502 @@ class Lexicon:
         return w in self.words or (not word.isascii() and self._loose(w) in self.loose)
 
 
-def _edge(text: str, at: int) -> str:
-    if not 0 <= at < len(text) or text[at] in "\n\r":
-        return "line"
-    c = text[at]
-    return "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else c if c in "#@.-_/,;:)(=" else "mark"
-
-
-def _before(text: str, start: int, n: int = 44) -> str:
-    return text[max(0, start - n) : start]
-
-
-def _emails(text: str) -> Iterator[Proposal]:
-    for m in [*_EMAIL.finditer(text), *(_EMAIL_WORDS.finditer(text) if " dot " in text.lower() else ())]:
-        user, at, host = m["user"], m["at"], m["host"]
-        word_at = at.strip().lower() == "at"
-        dots = "plain" if re.fullmatch(r"[\w.\-]+", host) else "dot"
-        features = [f"at:{'word' if word_at else 'sign' if '@' in at or '＠' in at else 'box'}", f"host:{dots}", f"both:{word_at}{dots}"]
-        if word_at and " " in host and not re.search(r"[\[({]", host) and not re.search(r"(?i)\bdot\b", host):
-            features.append("loose")
-        yield m.start(), m.end(), "email", (*features, f"user:{'.' if user.endswith('.') else 'ok'}", f"before:{_edge(text, m.start() - 1)}")
-
-
-def _phones(text: str) -> Iterator[Proposal]:
-    for m in _DIGITS.finditer(text):
-        s, e = m.span()
-        ends = [e]
-        body = m[0]
-        # a phone number may stop at a wide gap
-        ends += [s + g.start() for g in re.finditer(r"[ ]{2,}|\. |/", body) if g.start() >= 6]
-        begins = [s]
-        if body[0] == "(" and body.count("(") != body.count(")"):
-            begins = [s + 1]
-        left = _before(text, s)
-        cue = "phone" if _PHONE_CUE.search(left) else "foreign" if _FOREIGN_CUE.search(left) else "identity" if _IDENTITY_CUE.search(left) else "none"
-        for b in begins:
-            for x in ends:
-                t = text[b:x].rstrip(" .-(/")
-                n = sum(c.isdigit() for c in t)
-                if not 7 <= n <= 15 or t.count("(") != t.count(")") or _DAY.search(t):
-                    continue
-                form = next(k for k, p in _PHONE_FORMS if p.fullmatch(t))
-                lengths = [len(g) for g in re.findall(r"\d+", t)]
-                yield b, b + len(t), "phone", (
-                    f"form:{form}", f"cue:{cue}", f"form:{form},cue:{cue}", f"digits:{n if 9 <= n <= 12 else 'few' if n < 9 else 'many'}", f"bare11:{form == 'bare' and n == 11 and t[0] in '178'}",
-                    f"before:{_edge(text, b - 1)}", f"edges:{_edge(text, b - 1)},{_edge(text, b + len(t))}", f"groups:{min(len(lengths), 6)}", f"whole:{x == e}", f"group1:{lengths[0]}",
-                )
-
-
-def _identities(text: str) -> Iterator[Proposal]:
-    for m in _CODE.finditer(text):
-        s, e = m.span()
-        body = m[0]
-        if sum(c.isdigit() for c in body) < 5:
-            continue
-        opening = re.match(rf"[{_UP}]+[ \-](?=\d)", body)
-        for b in {s, s + opening.end()} if opening else {s}:  # the letters before may be the number's or its name
-            yield from _identity_from(text, b, e)
-
-
-def _identity_from(text: str, s: int, e: int) -> Iterator[Proposal]:
-    body, left = text[s:e], _before(text, s)
-    cue = "identity" if _ID_HINT.search(left) and _IDENTITY_CUE.search(left) else "foreign" if _FOREIGN_CUE.search(left) else "phone" if _PHONE_CUE.search(left) else "none"
-    if cue != "identity" and not re.fullmatch(r"\d{3}-\d{2}-\d{4}|000-\d{3}-\d{3} \d{2}|000\.\d{3}\.\d{3}-\d{2}", body):
-        return
-    cuts = [len(body)] + [g.start() for g in re.finditer(r"[ ./]", body) if sum(c.isdigit() for c in body[: g.start()]) >= 5]
-    for x in cuts:
-        t = body[:x].rstrip(" .-/")
-        n = sum(c.isdigit() for c in t)
-        if len(t) > LONGEST["identity"]:
-            continue
-        shape = re.sub(r"[^\W\d_]+", "A", re.sub(r"\d+", "9", t))
-        yield s, s + len(t), "identity", (f"cue:{cue}", f"digits:{min(n, 14)}", f"whole:{x == len(body)}", f"shape:{shape[:12]}", f"before:{_edge(text, s - 1)}", f"letters:{any(c.isalpha() for c in t)}")
-
-
-def _addresses(text: str) -> Iterator[Proposal]:
-    for name, pattern in _ADDRESS:
-        for m in (m for a, z in _windows(text, _ADDRESS_KEYS[name]) for m in pattern.finditer(text, a, min(z, len(text)))):
-            s, e = m.span()
-            if name == "zh":
-                lead = _ZH_LEAD.match(m[0])
-                s += lead.end() if lead else 0
-            groups = m.groupdict()
-            starts, stops = {s}, {e}
-            if groups.get("a") and name != "zh":
-                starts.add(m.end("a"))
-            for g in "bcd":
-                if groups.get(g):
-                    stops.add(m.start(g))
-            for b in starts:
-                for x in {y - (text[y - 1] == ".") for y in stops}:
-                    if x - b > LONGEST["address"]:
-                        continue
-                    yield b, x, "address", (f"form:{name}", f"head:{b == s}", f"tail:{x >= e - 1}", f"town:{bool(groups.get('c')) and x > m.start('c')}", f"before:{_edge(text, b - 1)}", f"after:{_edge(text, x)}")
-
-
-def _names(text: str, lexicon: Lexicon) -> Iterator[Proposal]:
-    for run in _RUN.finditer(text):
-        parts = [(p.start() + run.start(), p.end() + run.start(), p[0]) for p in _PART.finditer(run[0])]
-        kinds = ["I" if len(p[2]) == 2 and p[2][1] == "." else "G" if lexicon.has(p[2]) else "C" if p[2].lower() in _COMMON else "W" for p in parts]
-        gaps = [text[parts[i][1] : parts[i + 1][0]] for i in range(len(parts) - 1)]
-        commas = [g.startswith(",") for g in gaps]
-        particles = [len(g) > 2 for g in gaps]
-        for i in range(len(parts)):
-            for j in range(i + 1, min(len(parts), i + 4)):
-                shape = kinds[i]
-                for k in range(i + 1, j + 1):
-                    shape += ("," if commas[k - 1] else "p" if particles[k - 1] else "") + kinds[k]
-                if not _NAME_SHAPE.fullmatch(shape) or ("G" not in shape and "I" not in shape):
-                    continue
-                if shape in ("WI", "WII") and parts[i][2][0] < "Ѐ":
-                    continue  # a Latin family stands before bare initials only with a comma
-                b, e = parts[i][0], parts[j][1]
-                if shape[0] == "W" and "," in shape and (lead := _PARTICLE_BEFORE.search(text, max(0, b - 12), b)):
-                    yield from _one_name(text, lead.start(), e, "p" + shape, parts, kinds, commas, i, j)
-                yield from _one_name(text, b, e, shape, parts, kinds, commas, i, j)
-
-
-def _one_name(text: str, b: int, e: int, shape: str, parts: list, kinds: list[str], commas: list[bool], i: int, j: int) -> Iterator[Proposal]:
-    if e - b > LONGEST["name"]:
-        return
-    words = [parts[k][2] for k in range(i, j + 1) if kinds[k] != "I"]
-    upper = all(w.isupper() for w in words) and len(words[0]) > 1
-    mixed = len({w.isupper() for w in words}) > 1
-    cyrillic = any("Ѐ" <= c <= "ӿ" for c in words[0] + words[-1])
-    after = text[e : e + 24]
-    yield b, e, "name", (
-        f"shape:{shape}", f"shape:{shape},{'cyr' if cyrillic else 'lat'}", f"upper:{upper}", f"mixed:{mixed}", f"after:{'thing' if _AFTER_NAME.match(after) else _edge(text, e)}",
-        f"digit:{bool(re.match(r'-[0-9]', after))}", f"before:{_edge(text, b - 1)}", f"left:{kinds[i - 1] + (',' if commas[i - 1] else '') if i else 'none'}",
-        f"right:{(',' if commas[j] else '') + kinds[j + 1] if j + 1 < len(parts) else 'none'}", f"short:{min(len(w) for w in words) < 3}", f"particle:{bool(_PARTICLE_BEFORE.search(text, max(0, b - 12), b))}",
-    )
-
-
-def proposals(text: str, lexicon: Lexicon) -> list[Proposal]:
-    """All proposals of a text, by start."""
-    out: list[Proposal] = []
-    if any(k in text for k in ("@", "＠", "at]", "at)", "at}", "at>", "at ", "AT]", "AT)", "AT}", "AT>", "AT ", "собака")):
-        out += _emails(text)
-    if _FIVE.search(text):
-        out += _phones(text)
-        out += _identities(text)
-    out += _addresses(text)
-    out += _names(text, lexicon)
-    unique = {(p[0], p[1], p[2]): p for p in out}
-    return sorted(unique.values(), key=lambda p: (p[0], p[1], p[2]))
-
-
-def clusters(found: list[Proposal]) -> Iterator[list[Proposal]]:
-    """Runs of overlapping proposals; the field factors over them."""
-    part: list[Proposal] = []
-    end = -1
-    for p in found:
-        if part and p[0] >= end:
-            yield part
-            part = []
-        part.append(p)
-        end = p[1] if len(part) == 1 else max(end, p[1])
-    if part:
-        yield part
+def describe(token: str, lexicon: Lexicon) -> tuple[int, list[str], list[int]]:
+    """(class, features, counters) of a token that is no blank."""
+    c = token[0]
+    low = token.lower()
+    counts = dict.fromkeys(_COUNTERS, 0)
+    if c.isspace():
+        return _LINE, ["line"], list(counts.values())
+    if c.isdigit() and token.isdecimal():
+        n = min(len(token), 12)
+        counts["digit"], counts["run"] = len(token), 1
+        return CLASSES[f"D{n}"], [f"D{n}", "digits", *([f"lead:{n}{'0' if c == '0' else ''}"] if n not in (4, 5) else []), *([f"year:{token[:2]}"] if len(token) == 4 and token[:2] in ("19", "20") else []), *([f"v:{token}"] if n < 3 else [])], list(counts.values())
+    if "㐀" <= c <= "鿿":
+        kind = "Hs" if c in HAN_FAMILIES else "H"
+        counts["han"], counts["street"] = 1, int(c in STREETS)
+        return CLASSES[kind], [kind, f"w:{c}"], list(counts.values())
+    if not (c.isalpha() or token.isalpha()):
+        sign = _SAME_SIGN.get(c, c)
+        kind = CLASSES.get(sign, _SIGN) if sign in _SIGNS else _SIGN
+        counts.update({"at": int(c in "@＠"), "dot": int(c == "."), "comma": int(c in ",，")})
+        return kind, [f"sign:{sign}", "signs"], list(counts.values())
+    upper = c.isupper()
+    street = low in STREETS and (upper or c > "ɐ" or low in LOW_STREETS) or bool(len(low) > 4 and _STREET_END.search(low))
+    given = len(token) > 1 and lexicon.has(token)
+    if low in ("at", "собака", "dot", "точка"):
+        kind = "at" if low in ("at", "собака") else "dot"
+    elif street:
+        kind = "Sa" if low in ("st", "rd", "ave", "ln", "dr", "blvd", "av", "avda", "bd", "str", "ул", "пр", "просп", "пер", "бул", "вул", "пров", "ul", "al", "os", "pl") else "S" if upper or low in ("via", "viale", "piazza", "corso", "vicolo", "largo", "calle", "avenida", "rua", "ul", "al", "os") or c > "ɐ" else "s"
+    elif low in PARTICLES and not token.isupper():
+        kind = "p"
+    elif low in PARTS and (upper or not token.isascii() or len(token) == 1 or low in ("apt", "apto", "piso", "int")):
+        kind = "A"
+    elif low in COMMON and upper:
+        kind = "K"
+    elif given:
+        kind = "GU" if token.isupper() else "G" if upper else "g"
+    elif len(token) == 1:
+        kind = "I" if upper else "a"
+    else:
+        kind = "U" if token.isupper() else "C" if upper else "w"
+    script = "cyr" if "Ѐ" <= c <= "ӿ" else "lat"
+    features = [kind, f"{kind}:{script}", f"w:{low[:24]}", f"len:{kind}{min(len(low), 9)}"]
+    if len(low) > 3:
+        features += [f"s3:{low[-3:]}", f"s2:{low[-2:]}", f"p3:{low[:3]}"]
+    counts.update({"at": int(low in ("at", "собака")), "dot": int(low in ("dot", "точка")), "letter": min(len(token), 8), "street": int(street), "cap": int(upper and len(token) > 1), "given": int(given and upper), "initial": int(len(token) == 1 and upper)})
+    return CLASSES[kind], features, list(counts.values())
+
+
+# whole segments of a known grammar: a feature of the segment, which the weights may outvote
+_AT, _DOT = r"(?: ?[@＠] ?| ?[\[({<] ?(?:at|AT|@|собака) ?[\])}>] ?| (?:at|AT|собака) )", r"(?:\.| ?[\[({] ?(?:dot|DOT|\.|точка) ?[\])}] ?| (?:dot|DOT|точка) )"
+_GRAMMAR = {
+    "email": [re.compile(r"(?<![\w.+@-])[A-Za-z0-9](?:[\w.+-]{0,60}\w)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@-])"), re.compile(rf"(?<![\w.+@-])[A-Za-z0-9](?:[\w.+-]{{0,60}}\w)?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@-])")],
+    "phone": [re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-])")],
+}
+_HINTS = {"email": re.compile(r"[@＠]|[ \[({<](?:at|AT|собака)[ \])}>]"), "phone": re.compile(r"\+\d")}
+
+
+def grammar(text: str, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(kind, grammar from 1, first token, tokens) of the segments that a grammar reads whole."""
+    out = []
+    for k, kind in enumerate(KINDS):
+        if kind in _GRAMMAR and _HINTS[kind].search(text):
+            for n, pattern in enumerate(_GRAMMAR[kind], 1):
+                for m in pattern.finditer(text):
+                    i, j = np.searchsorted(starts, m.start()), np.searchsorted(ends, m.end())
+                    if j < len(ends) and starts[i] == m.start() and ends[j] == m.end() and j - i < LONGEST[kind]:
+                        out.append((k, n, int(i), int(j - i + 1)))
+    return out
+
+
+def cut(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(tokens without blanks, their starts, their ends, 0 no blank before, 1 one, 2 more; segments of a grammar)."""
+    parts = _TOKEN.findall(text)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    blank = np.fromiter((p[0] in " \t " for p in parts), bool, len(parts))
+    keep = np.flatnonzero(~blank)
+    starts = ends - np.fromiter(map(len, parts), np.int64, len(parts))
+    gap = np.zeros(len(keep), np.int64)
+    before = keep[keep > 0] - 1
+    size = np.where(blank[before], np.minimum(ends[before] - starts[before], 2), 0)
+    gap[keep > 0] = size
+    starts, ends = starts[keep], ends[keep]
+    return [parts[i] for i in keep], starts, ends, gap, grammar(text, starts, ends)
+
+
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _orders(classes: np.ndarray, gaps: np.ndarray, start: np.ndarray, length: np.ndarray, coarse: bool) -> np.ndarray:
+    """A hash of the classes and gaps of each segment."""
+    c = (_COARSE[classes] if coarse else classes).astype(np.uint64)
+    code = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for m in range(int(length.max()) if len(length) else 0):
+            on = np.flatnonzero(length > m)
+            at = start[on] + m
+            step = c[at] * np.uint64(3) + (gaps[at].astype(np.uint64) if m else np.uint64(0)) + np.uint64(1)
+            code[on] = (code[on] ^ step) * _P
+            code[on] ^= code[on] >> np.uint64(29)
+        return code * _Q + length.astype(np.uint64)
+
+
+def _triples(classes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """A hash of the coarse classes of each token and its neighbours and of the blanks between them."""
+    c = np.concatenate([[0], _COARSE[classes], [0]]).astype(np.uint64)
+    g = np.append(gaps, 0).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        code = (((c[:-2] * np.uint64(3) + g[:-1]) * np.uint64(N_CLASS) + c[1:-1]) * np.uint64(3) + g[1:]) * np.uint64(N_CLASS) + c[2:]
+        return ((code * _P) >> np.uint64(50)).astype(np.int64)
 
 
 class SegmentField:
-    """Weights of (kind, feature); 'bias' of a kind is in every segment of it."""
-
-    def __init__(self, lexicon: Lexicon, weights: dict[str, float] | None = None):
-        self.lexicon, self.weights = lexicon, weights if weights is not None else {}
-
-    def names_of(self, p: Proposal) -> list[str]:
-        return [f"{p[2]}|bias", *(f"{p[2]}|{f}" for f in p[3])]
-
-    def score(self, p: Proposal) -> float:
-        w = self.weights
-        return sum(w.get(f, 0.0) for f in self.names_of(p))
-
-    def best(self, part: list[Proposal]) -> list[Span]:
-        """The highest-scoring choice of segments that don't overlap."""
-        part = sorted(part, key=lambda p: p[1])
-        ends = [p[1] for p in part]
-        value, keep = [0.0], [None]
-        for i, p in enumerate(part):
-            k = bisect_right(ends, p[0], 0, i)
-            take = value[k] + self.score(p)
+    """The weights, how they are fitted, and the best choice of segments of a text."""
+
+    def __init__(self, lexicon: Lexicon, longest: dict[str, int] | None = None):
+        self.lexicon, self.longest = lexicon, longest or LONGEST
+        self.features: dict[str, int] = {"": 0}  # row 0 weighs nothing
+        self.growing = True
+        self.orders: list[dict[int, int]] = [{}, {}]  # fine and coarse
+        self.tables: dict[str, np.ndarray] = {}
+        self._seen: dict[str, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self._seen.clear()
+        self._class, self._feats, self._counts, self._scores = [_BREAK], [[0]], [[0] * len(_COUNTERS)], None
+
+    def __getstate__(self):
+        state = dict(self.__dict__)
+        state.pop("_order_cache", None)
+        state.pop("marginals", None)
+        return state | {"_seen": {}, "_class": [_BREAK], "_feats": [[0]], "_counts": [[0] * len(_COUNTERS)], "_scores": None}
+
+    # ---- tokens
+    def _ids(self, tokens: list[str]) -> np.ndarray:
+        seen = self._seen
+        for t in set(tokens).difference(seen):
+            kind, names, counts = describe(t, self.lexicon)
+            if self.growing:
+                rows = [self.features.setdefault(n, len(self.features)) for n in names]
+            else:
+                rows = [self.features[n] for n in names if n in self.features]
+            seen[t] = len(self._class)
+            self._class.append(kind)
+            self._feats.append(rows)
+            self._counts.append(counts)
+        return np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
+
+    def _role_scores(self) -> np.ndarray:
+        """(token, role, kind) of all tokens met so far."""
+        have = 0 if self._scores is None else len(self._scores)
+        if have < len(self._class):
+            w = self.tables["token"]
+            new = np.zeros((len(self._class) - have, len(ROLES), len(KINDS)))
+            for i, rows in enumerate(self._feats[have:]):
+                if rows and rows != [0]:
+                    new[i] = w[:, rows].sum(1)
+            self._scores = new if self._scores is None else np.concatenate([self._scores, new])
+        return self._scores
+
+    # ---- all segments of a run of texts
+    def _ends(self, ids: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, classes): the score of tokens i..j as kind k without length, counts and order is a[i, k] + b[j, k]."""
+        n = len(ids)
+        cls = np.array(self._class)[ids]
+        scores = self._role_scores()
+        shifted = lambda x, by: np.concatenate([np.zeros_like(x[:by]), x[: n - by]]) if n > by else np.zeros_like(x)
+        ahead = lambda x, by: np.concatenate([x[by:], np.zeros_like(x[:by])]) if n > by else np.zeros_like(x)
+        role = lambda r: scores[ids, ROLES.index(r)]
+        pair = np.empty(n, np.int64)  # of a token and the one before it
+        pair[0] = cls[0]
+        pair[1:] = (cls[:-1] * 3 + gaps[1:]) * N_CLASS + cls[1:]
+        following = np.append(pair[1:], 0)
+        p = {name: self.tables["pair"][i] for i, name in enumerate(PAIRS)}
+        triple = _triples(cls, gaps)
+        t = self.tables["triple"]
+        bag = role("bag")
+        start = role("start") + shifted(role("prev1"), 1) + shifted(role("prev2"), 2) + p["enter"][pair] + p["first"][following]
+        for by in range(3, REACH + 1):
+            start += shifted(bag, by)
+        start += t[0][triple] + shifted(t[2][triple], 1)
+        end = role("end") + ahead(role("next1"), 1) + ahead(role("next2"), 2) + p["leave"][following] + p["last"][pair]
+        end += t[1][triple] + ahead(t[3][triple], 1)
+        inside = role("in")
+        inside[cls == _BREAK] = -1e4
+        both = np.cumsum(inside, 0)
+        pairs = np.cumsum(p["in"][pair], 0)
+        return start - (both - inside) - pairs, end + both + pairs, cls
+
+    def _spans(self, ids: np.ndarray, gaps: np.ndarray, read: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
+        """(start, length, kind, score) of all segments that score more than nothing."""
+        n = len(ids)
+        a, b, cls = self._ends(ids, gaps)
+        sums = np.concatenate([np.zeros((1, len(_COUNTERS)), np.int64), np.cumsum(np.array(self._counts)[ids], 0)])
+        spaces = np.concatenate([[0], np.cumsum(gaps > 0)])
+        found = []
+        for k, kind in enumerate(KINDS):
+            bound = self.tables[f"bound:{kind}"]
+            ak, bk = np.ascontiguousarray(a[:, k]), np.ascontiguousarray(b[:, k])
+            parts = []
+            for length in range(1, min(self.longest[kind], n) + 1):
+                s = ak[: n - length + 1] + bk[length - 1 :]
+                at = np.flatnonzero(s > -bound[length])
+                if len(at):
+                    parts.append((at, np.full(len(at), length), s[at]))
+            if not parts:
+                continue
+            i, length, s = (np.concatenate(x) for x in zip(*parts))
+            s = s + self._span_scores(k, i, length, cls, gaps, sums, spaces, read)[0]
+            good = s > 0
+            found.append((i[good], length[good], np.full(int(good.sum()), k), s[good]))
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _order_rows(self, which: int, i: np.ndarray, length: np.ndarray, cls: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        keys, values = self._order_arrays(which)
+        if not len(keys):
+            return np.zeros(len(i), np.int64)
+        code = _orders(cls, gaps, i, length, bool(which))
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        return np.where(keys[at] == code, values[at], 0)
+
+    def _span_scores(self, k: int, i: np.ndarray, length: np.ndarray, cls, gaps, sums, spaces, read, orders: list[np.ndarray] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(score, rows) of length, counts and order of the segments; rows name the places of the tables."""
+        kind = KINDS[k]
+        rows = {f"len:{kind}": length}
+        for name, most in COUNTED[kind].items():
+            value = spaces[i + length] - spaces[i + 1] if name == "gap" else sums[i + length, _COUNTERS.index(name)] - sums[i, _COUNTERS.index(name)]
+            rows[f"{name}:{kind}"] = np.minimum(value, most)
+        rows[f"grammar:{kind}"] = np.zeros(len(i), np.int64)
+        if mine := [(at * 64 + size, which) for kind_of, which, at, size in read if kind_of == k]:
+            codes, which = (np.array(x) for x in zip(*sorted(mine)))
+            at = np.minimum(np.searchsorted(codes, i * 64 + length), len(codes) - 1)
+            rows[f"grammar:{kind}"] = np.where(codes[at] == i * 64 + length, which[at], 0)
+        for which in (0, 1):
+            rows[f"order{which}:{kind}"] = orders[which] if orders else self._order_rows(which, i, length, cls, gaps)
+        return sum(self.tables[name][at] for name, at in rows.items()), rows
+
+    def _order_arrays(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        cache = self.__dict__.setdefault("_order_cache", {})
+        known = self.orders[which]
+        if which not in cache or len(cache[which][0]) != len(known):
+            keys = np.array(sorted(known), np.uint64)
+            cache[which] = (keys, np.array([known[int(x)] for x in keys], np.int64))
+        return cache[which]
+
+    def _bounds(self) -> None:
+        for kind in KINDS:
+            rest = sum(self.tables[f"{c}:{kind}"].max() for c in (*COUNTED[kind], "grammar", "order0", "order1"))
+            self.tables[f"bound:{kind}"] = self.tables[f"len:{kind}"] + rest
+
+    # ---- the best choice
+    @staticmethod
+    def best(start: Sequence[int], stop: Sequence[int], score: Sequence[float]) -> list[int]:
+        """Indices of the segments [start, stop) that don't overlap and score most together."""
+        order = sorted(range(len(start)), key=lambda i: (stop[i], start[i]))
+        ends = [stop[i] for i in order]
+        value, keep = [0.0], [-1]
+        for n, i in enumerate(order):
+            k = bisect_right(ends, start[i], 0, n)
+            take = value[k] + score[i]
             if take > value[-1]:
                 value.append(take)
-                keep.append((k, p))
+                keep.append(k)
             else:
                 value.append(value[-1])
-                keep.append(None)
-        out, i = [], len(part)
-        while i:
-            if keep[i] is None:
-                i -= 1
+                keep.append(-1)
+        out, n = [], len(order)
+        while n:
+            if keep[n] < 0:
+                n -= 1
             else:
-                k, p = keep[i]
-                out.append((p[0], p[1], p[2]))
-                i = k
+                out.append(order[n - 1])
+                n = keep[n]
         return out[::-1]
 
-    def marginals(self, part: list[Proposal]) -> tuple[float, np.ndarray]:
-        """log Z and the probability of each segment of part (ordered by end)."""
-        s = [self.score(p) for p in part]
-        points = sorted({0, *(p[0] for p in part), *(p[1] for p in part)})
-        at = {x: i for i, x in enumerate(points)}
-        n = len(points)
-        f, b = np.full(n, -np.inf), np.full(n, -np.inf)
-        f[0] = b[-1] = 0.0
-        by_end: dict[int, list[int]] = {}
-        by_start: dict[int, list[int]] = {}
-        for i, p in enumerate(part):
-            by_end.setdefault(at[p[1]], []).append(i)
-            by_start.setdefault(at[p[0]], []).append(i)
-        for x in range(1, n):
-            f[x] = np.logaddexp.reduce([f[x - 1], *(f[at[part[i][0]]] + s[i] for i in by_end.get(x, ()))])
-        for x in range(n - 2, -1, -1):
-            b[x] = np.logaddexp.reduce([b[x + 1], *(b[at[part[i][1]]] + s[i] for i in by_start.get(x, ()))])
-        z = f[-1]
-        return z, np.array([math.exp(f[at[p[0]]] + s[i] + b[at[p[1]]] - z) for i, p in enumerate(part)])
-
-    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 8, rate: float = 0.5, l2: float = 1e-4) -> SegmentField:
-        """Maximum likelihood with AdaGrad steps, in the order given."""
+    def find_all(self, texts: Iterable[str]) -> Iterator[list[Span]]:
+        """(start, end, kind) of the personal data of each text, in order; texts are read whole."""
+        waiting, size = [], 0
+        for t in texts:
+            waiting.append(cut(t))
+            size += len(waiting[-1][0]) + 1
+            if size >= CHUNK:
+                yield from self._find(waiting)
+                waiting, size = [], 0
+        yield from self._find(waiting)
+
+    def find(self, text: str) -> list[Span]:
+        return next(self.find_all([text]))
+
+    def _find(self, texts: list[tuple]) -> list[list[Span]]:
+        if not texts:
+            return []
+        if len(self._class) > 400_000:
+            self._reset()
+        breaks = np.zeros(REACH, np.int64)
+        ids, gaps, begin = [breaks], [breaks], []
+        at = REACH
+        read = []
+        for tokens, _, _, gap, found in texts:
+            begin.append(at)
+            read += [(k, n, at + i, size) for k, n, i, size in found]
+            ids += [self._ids(tokens), breaks]
+            gaps += [gap, breaks]
+            at += len(tokens) + REACH
+        i, length, k, s = self._spans(np.concatenate(ids), np.concatenate(gaps), read)
+        chosen = self.best(i.tolist(), (i + length).tolist(), s.tolist())
+        doc = np.searchsorted(np.array(begin), i, "right") - 1
+        out: list[list[Span]] = [[] for _ in texts]
+        for x in chosen:
+            d = int(doc[x])
+            first = int(i[x]) - begin[d]
+            out[d].append((int(texts[d][1][first]), int(texts[d][2][first + int(length[x]) - 1]), KINDS[int(k[x])]))
+        return out
+
+    # ---- fitting
+    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0.4, l2: float = 3e-4, batch: int = 200, drop: float = 0.25) -> SegmentField:
+        """Maximum likelihood by AdaGrad over batches of texts of like length, in a fixed order.
+
+        In each batch a share ``drop`` of the rows of the large tables is left out, so that no single word or order decides; the
+        weights are the mean of those after the last three rounds."""
+        cutted = [(cut(t), gold) for t, gold in examples]
         data = []
-        for text, gold in examples:
-            truth = set(gold)
-            for part in clusters(proposals(text, self.lexicon)):
-                data.append((part, np.array([float((p[0], p[1], p[2]) in truth) for p in part])))
-        square: dict[str, float] = {}
-        for _ in range(rounds):
-            for part, truth in data:
-                _, p = self.marginals(part)
-                step: dict[str, float] = {}
-                for i, d in enumerate(truth - p):
-                    if abs(d) > 1e-4:
-                        for name in self.names_of(part[i]):
-                            step[name] = step.get(name, 0.0) + d
-                for name, g in step.items():
-                    g -= l2 * self.weights.get(name, 0.0)
-                    square[name] = square.get(name, 1e-3) + g * g
-                    self.weights[name] = self.weights.get(name, 0.0) + rate * g / math.sqrt(square[name])
+        for (tokens, starts, ends, gap, found), gold in cutted:
+            ids = self._ids(tokens)
+            first, last = {int(x): n for n, x in enumerate(starts)}, {int(x): n for n, x in enumerate(ends)}
+            truth = [(KINDS.index(k), first[a], last[b] - first[a] + 1) for a, b, k in gold if a in first and b in last and last[b] - first[a] < self.longest[k]]
+            data.append((ids, gap, truth, found))
+        self.growing = False
+        seen = np.bincount(np.concatenate([ids for ids, *_ in data]), minlength=len(self._class))
+        often = np.zeros(len(self.features), np.int64)
+        for n, rows in zip(seen, self._feats):
+            often[rows] += n
+        new = np.where(often >= LEAST, np.cumsum(often >= LEAST), 0)  # rare features tell nothing about other texts
+        self.features = {name: int(new[row]) for name, row in self.features.items() if new[row]}
+        self._feats = [[int(new[row]) for row in rows if new[row]] for rows in self._feats]
+        cls_of = np.array(self._class)
+        for ids, gap, truth, _ in data:  # the orders of marked segments
+            for _, i, n in truth:
+                for which in (0, 1):
+                    code = int(_orders(cls_of[ids], gap, np.array([i]), np.array([n]), bool(which))[0])
+                    self.orders[which].setdefault(code, len(self.orders[which]) + 1)
+        t = self.tables
+        t["token"] = np.zeros((len(ROLES), len(self.features) + 1, len(KINDS)))
+        t["pair"] = np.zeros((len(PAIRS), N_CLASS * 3 * N_CLASS, len(KINDS)))
+        t["triple"] = np.zeros((len(TRIPLES), N_TRIPLE, len(KINDS)))
+        for kind in KINDS:
+            t[f"len:{kind}"] = np.full(self.longest[kind] + 1, -3.0)
+            for c, most in COUNTED[kind].items():
+                t[f"{c}:{kind}"] = np.zeros(most + 1)
+            t[f"grammar:{kind}"] = np.zeros(len(_GRAMMAR.get(kind, ())) + 1)
+            for which in (0, 1):
+                t[f"order{which}:{kind}"] = np.zeros(len(self.orders[which]) + 1)
+        square = {name: np.full_like(x, 1e-2) for name, x in t.items()}
+        order = sorted(range(len(data)), key=lambda x: len(data[x][0]))
+        batches = [order[i : i + batch] for i in range(0, len(order), batch)]
+        rng, kept = np.random.default_rng(7), [{} for _ in batches]
+        mean: dict[str, np.ndarray] = {}
+        for turn in range(rounds):
+            for n in rng.permutation(len(batches)):
+                held = {}
+                for name in t:
+                    if name in ("token", "triple") or name.startswith("order"):
+                        out = rng.random(t[name].shape[-2] if t[name].ndim > 1 else len(t[name])) < drop
+                        held[name] = (out, t[name][..., out, :].copy() if t[name].ndim > 1 else t[name][out])
+                        t[name][(..., out, slice(None)) if t[name].ndim > 1 else out] = 0.0
+                grads = self.gradient([data[x] for x in batches[n]], kept[n])[1]
+                for name, g in grads.items():
+                    g -= l2 * len(batches[n]) * t[name]
+                    if name in held:
+                        out, was = held[name]
+                        where = (..., out, slice(None)) if g.ndim > 1 else out
+                        g[where] = 0.0
+                        t[name][where] = was
+                    square[name] += g * g
+                    t[name] += rate * g / np.sqrt(square[name])
+            if turn >= rounds - 3:
+                mean = {name: x.copy() + mean.get(name, 0.0) for name, x in t.items()}
+        t.update({name: x / min(rounds, 3) for name, x in mean.items()})
+        for name in ("token", "triple", *(f"order{w}:{k}" for w in (0, 1) for k in KINDS)):
+            t[name] *= 1 - drop
+        t.update({name: x.astype(np.float32) for name, x in t.items()})
+        self._bounds()
+        self._reset()
         return self
 
-    def find(self, text: str) -> list[Span]:
-        """(start, end, kind) of the personal data of a text, in order."""
-        return [span for part in clusters(proposals(text, self.lexicon)) for span in self.best(part)]
+    def gradient(self, texts: list[tuple], kept: dict | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Log likelihood of marked texts [(token ids, gaps, [(kind, start, length)], segments of a grammar)] and its gradient by table.
+
+        kept holds between rounds which segments of these texts have a known order."""
+        kept = {} if kept is None else kept
+        width = max(len(x[0]) for x in texts) + REACH
+        rows = len(texts)
+        ids, gaps = np.zeros((rows, width), np.int64), np.zeros((rows, width), np.int64)
+        read = []
+        for r, (i, g, _, found) in enumerate(texts):
+            read += [(k, n, REACH + r * width + at, size) for k, n, at, size in found]
+            ids[r, : len(i)], gaps[r, : len(g)] = i, g
+        flat, flat_gaps = np.concatenate([[0] * REACH, ids.ravel()]), np.concatenate([[0] * REACH, gaps.ravel()])
+        self._scores = None
+        used, back = np.unique(flat, return_inverse=True)
+        feats = np.zeros((len(used), max(1, *(len(self._feats[u]) for u in used))), np.int64)
+        for n, u in enumerate(used):
+            feats[n, : len(self._feats[u])] = self._feats[u]
+        self._scores = np.zeros((len(self._class), len(ROLES), len(KINDS)))
+        self._scores[used] = self.tables["token"][:, feats].sum(2).transpose(1, 0, 2)
+        a, b, cls = self._ends(flat, flat_gaps)
+        counts = np.array(self._counts)[flat]
+        sums = np.concatenate([np.zeros((1, len(_COUNTERS)), np.int64), np.cumsum(counts, 0)])
+        spaces = np.concatenate([[0], np.cumsum(flat_gaps > 0)])
+        real = cls != _BREAK
+        run = np.concatenate([[0], np.cumsum(~real)])
+        segs = []
+        for k, kind in enumerate(KINDS):
+            for length in range(1, min(self.longest[kind], width) + 1):
+                at = np.flatnonzero(real[: len(flat) - length + 1] & (run[length:] == run[: len(run) - length]))
+                segs.append((at, np.full(len(at), length), np.full(len(at), k)))
+        at, length, kind = (np.concatenate(x) for x in zip(*segs))
+        score = a[at, kind] + b[at + length - 1, kind]
+        where = []
+        for k in range(len(KINDS)):
+            mine = np.flatnonzero(kind == k)
+            if k not in kept:
+                found = [self._order_rows(which, at[mine], length[mine], cls, flat_gaps) for which in (0, 1)]
+                kept[k] = [(np.flatnonzero(x).astype(np.int32), x[x > 0].astype(np.int32)) for x in found]
+            orders = []
+            for to, value in kept[k]:
+                orders.append(np.zeros(len(mine), np.int64))
+                orders[-1][to] = value
+            extra, names = self._span_scores(k, at[mine], length[mine], cls, flat_gaps, sums, spaces, read, orders)
+            score[mine] += extra
+            where.append((mine, names))
+        # forward and backward over the places of all texts at once
+        row, place = (at - REACH) // width, (at - REACH) % width
+        stop = place + length
+        forward, backward = np.full((rows, width + 1), -np.inf), np.full((rows, width + 1), -np.inf)
+        forward[:, 0], backward[:, width] = 0.0, 0.0
+        by_stop, by_start = np.argsort(stop, kind="stable"), np.argsort(place, kind="stable")
+        cuts_stop, cuts_start = np.searchsorted(stop[by_stop], np.arange(width + 2)), np.searchsorted(place[by_start], np.arange(width + 2))
+        for x in range(1, width + 1):
+            mine = by_stop[cuts_stop[x] : cuts_stop[x + 1]]
+            forward[:, x] = _logsum(rows, forward[:, x - 1], row[mine], forward[row[mine], place[mine]] + score[mine])
+        for x in range(width - 1, -1, -1):
+            mine = by_start[cuts_start[x] : cuts_start[x + 1]]
+            backward[:, x] = _logsum(rows, backward[:, x + 1], row[mine], backward[row[mine], stop[mine]] + score[mine])
+        total = forward[:, width]
+        p = np.exp(forward[row, place] + score + backward[row, stop] - total[row])
+        self.marginals = (row, place, length, kind, p)
+        likelihood = -total.sum()
+        key = (row * (width + 1) + place) * 64 + length
+        key = key * 8 + kind
+        sorter = np.argsort(key)
+        residual = -p
+        for r, (_, _, truth, _) in enumerate(texts):
+            for k, i, n in truth:
+                x = sorter[np.searchsorted(key, ((r * (width + 1) + i) * 64 + n) * 8 + k, sorter=sorter)]
+                residual[x] += 1
+                likelihood += score[x]
+        # from segments to tokens
+        n, kinds = len(flat), len(KINDS)
+        cell = lambda place: np.bincount(place * kinds + kind, residual, n * kinds).reshape(n, kinds)
+        begins, finishes = cell(at), cell(at + length - 1)
+        leaves = np.concatenate([np.zeros((1, kinds)), finishes[:-1]])
+        inside = np.cumsum(begins - leaves, 0)
+        grads = {name: np.zeros_like(x) for name, x in self.tables.items() if not name.startswith("bound")}
+        shift = lambda x, by: np.concatenate([x[by:], np.zeros_like(x[:by])])
+        roles = {"in": inside, "start": begins, "prev1": shift(begins, 1), "prev2": shift(begins, 2), "bag": sum(shift(begins, d) for d in range(3, REACH + 1)), "end": finishes, "next1": np.concatenate([np.zeros((1, kinds)), finishes[:-1]]), "next2": np.concatenate([np.zeros((2, kinds)), finishes[:-2]])}
+        for i, name in enumerate(ROLES):
+            per = np.zeros((len(used), kinds))
+            np.add.at(per, back, roles[name])
+            for f in range(feats.shape[1]):
+                np.add.at(grads["token"][i], feats[:, f], per)
+            grads["token"][i, 0] = 0
+        pair = np.empty(n, np.int64)
+        pair[0] = cls[0]
+        pair[1:] = (cls[:-1] * 3 + flat_gaps[1:]) * N_CLASS + cls[1:]
+        following = np.append(pair[1:], 0)
+        for i, (g, to) in enumerate(((inside - begins, pair), (begins, pair), (finishes, following), (begins, following), (finishes, pair))):
+            np.add.at(grads["pair"][i], to, g)
+        triple = _triples(cls, flat_gaps)
+        for i, g in enumerate((begins, finishes, shift(begins, 1), leaves)):
+            np.add.at(grads["triple"][i], triple, g)
+        for mine, names in where:
+            for name, to in names.items():
+                grads[name] += np.bincount(to, residual[mine], len(grads[name]))
+        return float(likelihood), grads
+
+
+def _logsum(rows: int, base: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """log(exp(base) + sum of exp(value) by row)."""
+    top = base.copy()
+    np.maximum.at(top, row, value)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    total = np.exp(base - safe) + np.bincount(row, np.exp(value - safe[row]), rows)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(total)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -418,7 +607,8 @@ def find_personal(df: DataFrame, model: SegmentField, key: str = "doc_id", text:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(k, what, s, e) for k, t in zip(f["key"].tolist(), f["text"].tolist()) if t for s, e, what in model.find(t)]
+            f = f[f["text"].notna()]
+            out = [(k, what, s, e) for k, spans in zip(f["key"].tolist(), model.find_all(f["text"].tolist())) for s, e, what in spans]
             yield pd.DataFrame(out, columns=schema.names)
 
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(run, schema).withColumnRenamed("key", key)
@@ -429,6 +619,8 @@ def mask_personal(df: DataFrame, model: SegmentField, text: str = "text") -> Dat
 
     @F.pandas_udf(T.StringType())
     def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else masked(t, model.find(t)))
+        known = [t for t in texts if t is not None]
+        done = iter([masked(t, spans) for t, spans in zip(known, model.find_all(known))])
+        return pd.Series([None if t is None else next(done) for t in texts], dtype=object)
 
     return df.withColumn(text, mask(F.col(f"`{text}`").cast("string")))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import names, pii, pii_training
 from tidewatch.runtime import read
 
 
+@lru_cache(2)
+def fitted(words: tuple[str, ...]) -> pii.SegmentField:
+    """The field, fitted on the fixed number of made sentences; once a process for one list of given names."""
+    return pii.SegmentField(pii.Lexicon(words)).train(pii_training.examples(words))
+
+
 def field_of(spark: SparkSession, d: str) -> pii.SegmentField:
-    """The field, fitted on the fixed number of made sentences with the given names of the table nicknames."""
-    rows = read(spark, d, "nicknames").select("nick", "given").limit(names.NICKNAMES).collect()
-    given = sorted({r.given for r in rows if r.given})
-    lexicon = pii.Lexicon([*given, *(r.nick for r in rows if r.nick), *pii_training.CYRILLIC])
-    return pii.SegmentField(lexicon).train(pii_training.examples(given))
+    """The field with the given names, full and short, of the table nicknames, which is a short list: longer ones are an error."""
+    rows = read(spark, d, "nicknames").select("nick", "given").limit(names.NICKNAMES + 1).collect()
+    if len(rows) > names.NICKNAMES:
+        raise ValueError(f"the table of nicknames has more than {names.NICKNAMES} rows")
+    return fitted(tuple(sorted({x for r in rows for x in r if x})))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
