@@ -1,6 +1,9 @@
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tests.conftest import DATA
@@ -38,6 +41,21 @@ def test_frequencies_equal_brute_force(spark, monkeypatch):
     assert all(x.mark == ("rare" if x.records < 2 else "common" if x.records / 4 > 0.5 else None) for x in got.values())
 
 
+def test_block_arrays_don_t_slow_down_with_ranges():
+    def took(ranges):
+        rid = np.sort(np.random.default_rng(1).integers(0, ranges, 40_000)).astype(np.int32)
+        f = pd.DataFrame({"range_id": rid, "slot": np.random.default_rng(2).integers(0, frequency.RANGE, len(rid)), "n": 2, "present": 1})
+        began = time.perf_counter()
+        out = pd.concat(frequency.block_arrays(iter([f.iloc[:11_111], f.iloc[11_111:]])))
+        spent = time.perf_counter() - began
+        assert sum(x.sum() for x in out["occurrences"]) == 80_000 and sum(x.sum() for x in out["records"]) == 40_000
+        assert out["range_id"].nunique() == len(np.unique(rid)) and len(out) <= len(np.unique(rid)) + 1
+        return spent
+
+    took(14)
+    assert took(10_000) < 1.5  # 10,000 arrays are handed on instead of 14
+
+
 def test_frequencies_of_nothing(spark):
     assert frequency.term_frequencies(spark.createDataFrame([], "doc_id string, term string, n int")).count() == 0
 

@@ -20,8 +20,8 @@ from tidewatch.runtime import lookup_join, materialise
 
 #: Identifiers of one range; a range's two arrays take 16 bytes an identifier.
 RANGE = 16_384
-#: Ranges that one block holds before it hands on its arrays.
-OPEN_RANGES = 64
+#: Parts that the rows of one range are spread over, so that a term which holds a third of all rows meets as many tasks.
+PARTS = 16
 
 ARRAYS = T.StructType([
     T.StructField("range_id", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType())),
@@ -58,38 +58,45 @@ def dictionary(spellings: DataFrame) -> DataFrame:
 
 
 def block_arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count arrays of one block. Each row is one (record, identifier), so presence is a plain count."""
-    open_: dict[int, np.ndarray] = {}
-
-    def flush() -> pd.DataFrame:
-        out = []
-        for r, a in sorted(open_.items()):
-            at = np.flatnonzero(a[0])
-            out.append((r, at.astype(np.int32), a[0][at], a[1][at]))
-        open_.clear()
-        return pd.DataFrame(out, columns=["range_id", "slots", "occurrences", "records"])
+    """Count arrays of one block, whose rows come ordered by range_id: one range's arrays are open at a time.
+
+    Each row is one (record, identifier), so presence is a plain count. The arrays are used again for the next
+    range, cleared where they were filled, so the cost of a row doesn't grow with the number of ranges."""
+    now, top, acc = None, 0, np.zeros((2, RANGE), np.int64)
+    ranges, slots, occurrences, records = [], [], [], []
+
+    def close() -> None:
+        nonlocal top
+        if now is not None:
+            at = np.flatnonzero(acc[0, :top])
+            ranges.append(now)
+            slots.append(at.astype(np.int32))
+            occurrences.append(acc[0][at])
+            records.append(acc[1][at])
+            acc[:, at] = 0
+        top = 0
 
     for f in frames:
         rid, slot, n, rec = (f[c].to_numpy() for c in ("range_id", "slot", "n", "present"))
-        order = np.argsort(rid, kind="stable")
-        rid, slot, n, rec = rid[order], slot[order], n[order], rec[order]
-        cuts = np.flatnonzero(np.diff(rid)) + 1
-        for part in np.split(np.arange(len(rid)), cuts):
-            if not len(part):
+        cuts = [0, *(np.flatnonzero(np.diff(rid)) + 1).tolist(), len(rid)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
                 continue
-            r, top = int(rid[part[0]]), int(slot[part].max()) + 1
-            a = open_.get(r)
-            if a is None or a.shape[1] < top:
-                bigger = np.zeros((2, max(RANGE, top)), np.int64)
-                if a is not None:
-                    bigger[:, : a.shape[1]] = a
-                a = open_[r] = bigger
-            np.add.at(a[0], slot[part], n[part])
-            np.add.at(a[1], slot[part], rec[part])
-            if len(open_) >= OPEN_RANGES:
-                yield flush()
-    if open_:
-        yield flush()
+            if rid[a] != now:
+                close()
+                now = int(rid[a])
+            part = slot[a:b]
+            top = max(top, int(part.max()) + 1)
+            if top > acc.shape[1]:
+                acc = np.pad(acc, ((0, 0), (0, max(RANGE, top - acc.shape[1]))))
+            np.add.at(acc[0], part, n[a:b])
+            np.add.at(acc[1], part, rec[a:b])
+        if ranges:
+            yield pd.DataFrame({"range_id": ranges, "slots": slots, "occurrences": occurrences, "records": records})
+            ranges, slots, occurrences, records = [], [], [], []
+    close()
+    if ranges:
+        yield pd.DataFrame({"range_id": ranges, "slots": slots, "occurrences": occurrences, "records": records})
 
 
 def sum_arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,9 +134,11 @@ def term_frequencies(df: DataFrame, record: str = "doc_id", term: str = "term",
     occurring = rows.where("n > 0 and spelling is not null")
     table = dictionary(occurring.select("spelling").distinct())
     encoded = lookup_join(occurring, table.select("spelling", "range_id", "slot"), ["spelling"], F.coalesce(F.col("record"), F.lit("")))
-    # one row a (record, identifier): partial sums are made before the shuffle, and neither a hot term nor a hot record meets one task
-    pairs = encoded.groupBy("record", "range_id", "slot").agg(F.sum("n").alias("n")).select("range_id", "slot", "n", F.col("record").isNotNull().cast("long").alias("present"))
-    blocks = pairs.mapInPandas(block_arrays, ARRAYS)
+    # a block is a range and a part of the records: rows of one (record, identifier) meet there, and those of a range lie together
+    part = F.pmod(F.xxhash64("record"), F.lit(PARTS)).cast("int")
+    spread = encoded.withColumn("part", part).repartition("range_id", "part")
+    pairs = spread.groupBy("range_id", "part", "record", "slot").agg(F.sum("n").alias("n")).select("range_id", "slot", "n", F.col("record").isNotNull().cast("long").alias("present"))
+    blocks = pairs.sortWithinPartitions("range_id").mapInPandas(block_arrays, ARRAYS)
     totals = blocks.repartition("range_id").sortWithinPartitions("range_id").mapInPandas(sum_arrays, TOTALS)
     names = table.select("term", "range_id", "slot").distinct()
     share = F.col("records") / F.lit(max(total, 1))

@@ -1,19 +1,21 @@
 """Problem 2: the N highest-scoring items of every group.
 
-Method: sorted runs (every partition ordered by group and score, cut to N items a group), stored bucketed by group in the
-shuffle, merged by a loser tree that seeks to the next group after N outputs.
+Method: sorted runs (every partition ordered by group and score, cut to N items a group), stored, bucketed by group in
+the shuffle, merged by a loser tree that seeks to the next group after N outputs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.runtime import parallelism
+from tidewatch.runtime import materialise, parallelism
 
 #: Rows of runs that one merging task should hold.
 BUCKET_ROWS = 100_000
@@ -68,10 +70,7 @@ class LoserTree:
         """Every run that stands in the group jumps behind it."""
         while (top := self.top()) is not None and top[0] == group:
             r = self.tree[0]
-            run, i = self.runs[r], self.at[r]
-            while i < len(run) and run[i][0] == group:
-                i += 1
-            self.at[r] = i
+            self.at[r] = bisect_right(self.runs[r], group, self.at[r], key=itemgetter(0))
             self._settle(r)
 
 
@@ -133,8 +132,8 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame
     best = rows.groupBy("grp", "item").agg(F.max("score").alias("score")).select("grp", "score", "item")
     # the shuffle of the aggregation spreads a hot group by item; each of its partitions is one sorted run
     runs = best.sortWithinPartitions("grp", F.desc("score"), "item").withColumn("run", F.spark_partition_id())
-    runs = runs.mapInPandas(_cut_runs(n), RUN)
-    buckets = max(parallelism(df.sparkSession), -(-df.count() // BUCKET_ROWS))
+    runs = materialise(runs.mapInPandas(_cut_runs(n), RUN), "runs")
+    buckets = max(parallelism(df.sparkSession), -(-runs.count() // BUCKET_ROWS))  # a count of file footers
     stored = runs.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
     return stored.sortWithinPartitions("bucket", "run", "grp", F.desc("score"), "item").mapInPandas(_merge(n), PLACED)
 
