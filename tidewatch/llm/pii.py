@@ -140,15 +140,16 @@ _GRAMMAR = {
     "email": [re.compile(r"(?<![\w.+@-])[A-Za-z0-9](?:[\w.+-]{0,60}\w)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@-])"), re.compile(rf"(?<![\w.+@-])[A-Za-z0-9](?:[\w.+-]{{0,60}}\w)?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@-])")],
     "phone": [re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-])")],
 }
-_HINTS = {"email": re.compile(r"[@＠]|[ \[({<](?:at|AT|собака)[ \])}>]"), "phone": re.compile(r"\+\d")}
+# what a text that a grammar reads holds at least
+_HINTS = {"email": [re.compile(r"\w@\w"), re.compile(r"＠| @|@ |[\[({<] ?(?:at|AT|@|собака) ?[\])}>]|(?= (?:at|AT|собака) )(?=.{1,200} (?:dot|DOT|точка) )")], "phone": [re.compile(r"\+\d")]}
 
 
 def grammar(text: str, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(kind, grammar from 1, first token, tokens) of the segments that a grammar reads whole."""
     out = []
     for k, kind in enumerate(KINDS):
-        if kind in _GRAMMAR and _HINTS[kind].search(text):
-            for n, pattern in enumerate(_GRAMMAR[kind], 1):
+        for n, (pattern, hint) in enumerate(zip(_GRAMMAR.get(kind, ()), _HINTS.get(kind, ())), 1):
+            if hint.search(text):
                 for m in pattern.finditer(text):
                     i, j = np.searchsorted(starts, m.start()), np.searchsorted(ends, m.end())
                     if j < len(ends) and starts[i] == m.start() and ends[j] == m.end() and j - i < LONGEST[kind]:
@@ -156,17 +157,30 @@ def grammar(text: str, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int,
     return out
 
 
+class _Blanks(dict):
+    """Whether a token is a blank, by the token."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = token[0] in " \t\u00a0"
+        return self[token]
+
+
+_blank = _Blanks()
+
+
 def cut(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
     """(tokens without blanks, their starts, their ends, 0 no blank before, 1 one, 2 more; segments of a grammar)."""
     parts = _TOKEN.findall(text)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    blank = np.fromiter((p[0] in " \t " for p in parts), bool, len(parts))
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(size)
+    blank = np.fromiter(map(_blank.__getitem__, parts), bool, len(parts))
     keep = np.flatnonzero(~blank)
-    starts = ends - np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = ends - size
     gap = np.zeros(len(keep), np.int64)
     before = keep[keep > 0] - 1
-    size = np.where(blank[before], np.minimum(ends[before] - starts[before], 2), 0)
-    gap[keep > 0] = size
+    gap[keep > 0] = np.where(blank[before], np.minimum(size[before], 2), 0)
     starts, ends = starts[keep], ends[keep]
     return [parts[i] for i in keep], starts, ends, gap, grammar(text, starts, ends)
 
