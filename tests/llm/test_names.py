@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 
+from tests.conftest import DATA
 from tidewatch.llm import names
 
 NICKS = [("Bob", "Robert"), ("Lena", "Helena"), ("Lena", "Yelena"), ("Kolya", "Nikolai"), ("Winnie", "Winifred"), ("Tom", "Thomas"), ("Katya", "Ekaterina"), ("Liz", "Elizabeth"), ("Jenny", "Jennifer")]
@@ -79,3 +80,29 @@ def test_block_size_changes_no_link(spark):
         rows = [("author", f"R. {h}", k, h, ["robert"], [], "", ["r"]) for h, k in heads]
         got = [(r.head, r.target) for r in names.head_targets(spark.createDataFrame(rows, names.PARSED)).collect()]
         assert ("zimotulink", "zamotelink") in got, n
+
+
+def test_blocks_lose_no_link_against_all_pairs(spark):
+    """Every head of sf0.01 follows the same head as if all heads of a refinement were compared."""
+    from pyspark.sql import functions as F
+
+    works = spark.read.parquet(f"{DATA}/sf0.01/works.parquet")
+    rows = works.select(F.lit("author").alias("kind"), F.explode("authors").alias("name")).unionByName(works.select(F.lit("institution").alias("kind"), F.explode("institutions").alias("name")))
+    counted = rows.where("trim(name) <> ''").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    people = names.parsed(counted, names.GivenNames.load(spark.read.parquet(f"{DATA}/sf0.01/nicknames.parquet"))).where("head <> ''").cache()
+    got = {(r.kind, r.r, r.head): r.target for r in names.head_targets(people).collect()}
+    often, heads = {}, {}
+    for r in people.select("kind", "head", "n", F.explode("refine").alias("r")).collect():
+        often[r.kind, r.head] = often.get((r.kind, r.head), 0) + r.n
+        heads.setdefault((r.kind, r.r), set()).add(r["head"])
+    want = {}
+    for (kind, r), some in heads.items():
+        for head, target, ratio, m in names._follow([(h, often[kind, h], 0) for h in some]):
+            want[kind, r, head] = max(want.get((kind, r, head), (0.0, 0, "")), (ratio, m, target))
+    assert len(want) > 50 and sum(got.get(k) == v[2] for k, v in want.items()) >= 0.99 * len(want)
+
+
+def test_chains_of_any_length_end_at_one_head(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "f")]
+    targets = spark.createDataFrame([("author", "r", h, t) for h, t in links], "kind string, r string, head string, target string")
+    assert {(r["head"], r.target) for r in names._ends_of(targets).collect()} == {(h, "f") for h, _ in links}

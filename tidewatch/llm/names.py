@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.runtime import materialise
+from tidewatch.runtime import SALTS, materialise, parallelism
 
 #: Letters of an indexed suffix, least ratio of two heads that are one, heads of a block before it is compared in pieces.
 SUFFIX, RATIO, BLOCK_HEADS = 3, 0.8, 300
@@ -36,7 +36,7 @@ KINDS = {
     "university": "univ u uni universitat universite universidad universita universidade uniwersytet universitet universytet",
     "academy": "acad akademie academie academia akademia akademiya", "science": "sci sciences", "national": "natl nat'l nat", "laboratory": "lab laboratories labs",
     "robotics": "robot", "institute": "inst institut instituto istituto", "technology": "technol tech technologies", "medical": "med", "center": "ctr centre centers cntr",
-    "systems": "sys system", "college": "coll", "hospital": "hosp", "research": "res", "school": "sch",
+    "systems": "sys system", "college": "coll", "hospital": "hosp krankenhaus hopital ospedale szpital", "polytechnic": "polytech politecnico politechnika", "foundation": "fdn fondation fondazione stiftung", "agency": "agence agencia agenzia", "ministry": "min ministere ministerio", "observatory": "obs observatoire observatorio", "museum": "mus musee museo", "clinic": "klinik clinique clinica", "society": "soc societe sociedad gesellschaft", "association": "assoc asociacion", "research": "res", "school": "sch",
 }
 KIND_OF = {form: kind for kind, forms in KINDS.items() for form in (kind, *forms.split())}
 LEGAL = set("inc incorporated ltd limited corp corporation gmbh llc co company plc ag sa".split())
@@ -275,13 +275,34 @@ def head_targets(people: DataFrame) -> DataFrame:
 
     def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         got = _follow(list(zip(f["head"].tolist(), f["n"].tolist(), f["piece"].tolist())))
-        return pd.DataFrame([(key[0], key[1], *g) for g in got], columns=["kind", "r", "head", "target", "ratio", "m"])
+        return pd.DataFrame([(*key[1:3], *g) for g in got], columns=["kind", "r", "head", "target", "ratio", "m"])
 
-    pairs = blocks.groupBy("kind", "r", "block", "cell").applyInPandas(compare, schema)
+    # as many parts as were asked for: small blocks must not be put together in one task, their cost is their pairs
+    parts = 4 * parallelism(people.sparkSession)
+    spread = blocks.withColumn("part", F.pmod(F.xxhash64("kind", "r", "block", "cell"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    pairs = spread.groupBy("part", "kind", "r", "block", "cell").applyInPandas(compare, schema)
     best = F.max_by("target", F.struct("ratio", "m", F.col("target")))
     return pairs.groupBy("kind", "r", "head").agg(best.alias("target"))
 
 
+def _ends_of(targets: DataFrame) -> DataFrame:
+    """(kind, r, head, target) with every target at the end of its chain. Along a chain heads are at least MORE times as
+    frequent as the one before, so the rounds, each of which doubles the steps, are few."""
+    while True:
+        on = targets.select("kind", "r", F.col("head").alias("target"), F.col("target").alias("next"))
+        moved = materialise(targets.join(on, ["kind", "r", "target"], "left"), "chains")
+        if moved.where("next is not null").isEmpty():
+            return targets
+        targets = moved.select("kind", "r", "head", F.coalesce("next", "target").alias("target"))
+
+
+def _meet(rows: DataFrame, others: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """Join of two tables that may both hold many rows of one key: rows lie in SALTS parts, others stand in each."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = others.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def link_names(df: DataFrame, columns: dict[str, str], nicknames: DataFrame) -> DataFrame:
     """(kind, name, entity) for every distinct string of the array columns; columns: array column -> author or institution.
 
@@ -295,8 +316,7 @@ def link_names(df: DataFrame, columns: dict[str, str], nicknames: DataFrame) ->
     names = df.select(F.explode(F.concat(*lists)).alias("x")).select("x.*").where("name is not null and trim(name) <> ''").groupBy("kind", "name").agg(F.count("*").alias("n"))
     people = materialise(parsed(names, GivenNames.load(nicknames)), "names").where("head <> ''")
     targets = materialise(head_targets(people), "targets")
-    again = targets.alias("a").join(targets.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.target") == F.col("b.head")), "left")
-    final = again.select("a.kind", "a.r", "a.head", F.coalesce("b.target", "a.target").alias("target"))
+    final = _ends_of(targets)
     each = people.select("*", F.explode("refine").alias("r"))  # an ambiguous initial follows one head under each reading
     headed = each.join(final, ["kind", "r", "head"], "left").withColumn("root", F.coalesce("target", "head"))
     headed = materialise(headed.drop("target"), "headed")
@@ -307,7 +327,7 @@ def link_names(df: DataFrame, columns: dict[str, str], nicknames: DataFrame) ->
     fits = (F.array_contains("given", F.col("person")) | F.exists("prefixes", lambda p: F.col("person").startswith(p))) & (
         (F.col("middle") == "") | (F.size("middles") == 0) | F.array_contains("middles", F.col("middle"))
     )
-    options = vague.join(people_of.drop("n"), ["kind", "root", "r"]).where(fits)
+    options = _meet(vague, people_of.drop("n"), ["kind", "root", "r"], F.col("name")).where(fits)
     agreed = F.col("middle").isin("") == F.lit(False)
     options = options.withColumn("strong", (agreed & F.array_contains("middles", F.col("middle"))).cast("int"))
     best = Window.partitionBy("kind", "name")
@@ -328,5 +348,6 @@ def link_names(df: DataFrame, columns: dict[str, str], nicknames: DataFrame) ->
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """Each pair of strings of one entity, name_a < name_b."""
-    a, b = linked.alias("a"), linked.select("entity", F.col("name").alias("name_b")).alias("b")
-    return a.join(b, "entity").where(F.col("name") < F.col("name_b")).select("kind", F.col("name").alias("name_a"), "name_b").distinct()
+    rows = linked.select("kind", "entity", F.col("name").alias("name_a"))
+    pairs = _meet(rows, linked.select("entity", F.col("name").alias("name_b")), ["entity"], F.col("name_a"))
+    return pairs.where(F.col("name_a") < F.col("name_b")).select("kind", "name_a", "name_b").distinct()
