@@ -83,13 +83,13 @@ def test_block_size_changes_no_link(spark):
 
 
 def test_blocks_lose_no_link_against_all_pairs(spark):
-    """Every head of sf0.01 follows the same head as if all heads of a refinement were compared."""
+    """Every head of sf0.1 follows the same head as if all heads of a refinement were compared."""
     from pyspark.sql import functions as F
 
-    works = spark.read.parquet(f"{DATA}/sf0.01/works.parquet")
+    works = spark.read.parquet(f"{DATA}/sf0.1/works.parquet")
     rows = works.select(F.lit("author").alias("kind"), F.explode("authors").alias("name")).unionByName(works.select(F.lit("institution").alias("kind"), F.explode("institutions").alias("name")))
     counted = rows.where("trim(name) <> ''").groupBy("kind", "name").agg(F.count("*").alias("n"))
-    people = names.parsed(counted, names.GivenNames.load(spark.read.parquet(f"{DATA}/sf0.01/nicknames.parquet"))).where("head <> ''").cache()
+    people = names.parsed(counted, names.GivenNames.load(spark.read.parquet(f"{DATA}/sf0.1/nicknames.parquet"))).where("head <> ''").cache()
     got = {(r.kind, r.r, r.head): r.target for r in names.head_targets(people).collect()}
     often, heads = {}, {}
     for r in people.select("kind", "head", "n", F.explode("refine").alias("r")).collect():

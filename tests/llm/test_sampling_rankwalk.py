@@ -83,8 +83,53 @@ def test_rank_walk_edges(spark):
 
 def test_spread_walk_equals_local(spark):
     r = np.random.default_rng(6)
-    rows = [("g", f"i{i}", float(r.integers(0, 9)), None if r.random() < 0.2 else float(r.random())) for i in range(60)]
-    df = spark.createDataFrame(rows, "g string, item string, s double, t double")
-    a, b = ({x.item: x for x in rankwalk.rank_walk(df, ["g"], "item", ["s", "t"], group_rows=n, steps=4).collect()} for n in (10**6, 5))
+    rows = [(g, f"i{i}", float(r.integers(0, 9)), None if r.random() < 0.2 else float(r.random()), 7.0 if i % 3 else None, None if g == "g" else 1.0 * i) for g in ("g", "h") for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, item string, s double, t double, u double, v double")
+    a, b = ({(x.g, x.item): x for x in rankwalk.rank_walk(df, ["g"], "item", ["s", "t", "u", "v"], group_rows=n, steps=6).collect()} for n in (10**6, 5))
     for i in a:
-        assert a[i].stationary == pytest.approx(b[i].stationary, abs=1e-9) and (a[i].above_s, a[i].above_t) == (b[i].above_s, b[i].above_t)
+        assert a[i].stationary == pytest.approx(b[i].stationary, abs=1e-9) and a[i].place == b[i].place and (a[i].above_s, a[i].above_t, a[i].above_u, a[i].above_v) == (b[i].above_s, b[i].above_t, b[i].above_u, b[i].above_v)
+
+
+def test_steps_of_a_spread_walk_are_removed_and_it_stops_when_still(spark):
+    from pathlib import Path
+
+    from tidewatch.runtime import work_dir
+
+    df = spark.createDataFrame([("g", f"i{i}", float(i), float(i)) for i in range(12)], "g string, item string, s double, t double")
+    folder = Path(work_dir(spark).removeprefix("file:")) / "tidewatch"
+    before = {p.name for p in folder.glob("rankwalk-*")} if folder.exists() else set()
+    got = rankwalk.rank_walk(df, ["g"], "item", ["s", "t"], group_rows=5)
+    local = rankwalk.rank_walk(df, ["g"], "item", ["s", "t"])
+    assert {(r.item, r.place) for r in got.collect()} == {(r.item, r.place) for r in local.collect()}
+    left = {p.name for p in folder.glob("rankwalk-*")} - before
+    assert len([n for n in left if "step" in n]) == 1 and not [n for n in left if n.startswith("rankwalk-values") and len(left) > 4]
+
+
+def test_ranking_equals_dense_chain_at_several_sizes(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for n in (3, 11, 30, 90):
+        x = r.integers(0, n, (n, 4)).astype(float)
+        x[r.random((n, 4)) < 0.1] = np.nan
+        for i, p in enumerate(dense_chain(x)):
+            want[f"g{n}", f"i{i:02d}"] = p
+        rows += [(f"g{n}", f"i{i:02d}", *(None if np.isnan(v) else float(v) for v in x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, item string, a double, b double, c double, d double")
+    got = rankwalk.rank_walk(df, ["g"], "item", ["a", "b", "c", "d"]).collect()
+    for x in got:
+        assert x.stationary == pytest.approx(want[x.g, x.item], abs=1e-7)
+    for n in (3, 11, 30, 90):
+        ours = [x.item for x in sorted((x for x in got if x.g == f"g{n}"), key=lambda x: x.place)]
+        assert ours[0] == max((i for g, i in want if g == f"g{n}"), key=lambda i: want[f"g{n}", i])
+
+
+def test_leaders_stand_in_the_first_places(spark):
+    """The found items of sf0.1 lead their group's ranking by the walk."""
+    from tests.conftest import DATA
+    from tidewatch.llm import queries_a
+
+    folder = f"{DATA}/sf0.1"
+    ranked = rankwalk.rank_walk(queries_a.pools(spark, folder, *queries_a.SCORES), ["domain", "as_of"], "cand_id", queries_a.SCORES).cache()
+    found = rankwalk.leaders(ranked, ["domain", "as_of"], "cand_id", queries_a.SCORES)
+    places = found.join(ranked, ["domain", "as_of", "cand_id"]).join(ranked.groupBy("domain", "as_of").count(), ["domain", "as_of"]).collect()
+    assert len(places) > 100 and all(p.place <= max(8, 0.15 * p["count"]) for p in places)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.runtime import materialise
+from tidewatch.runtime import forget, lookup_join, materialise, parallelism
 
 DAMPING, TOLERANCE, STEPS = 0.85, 1e-10, 100
 #: Groups of more items than this (8 bytes a score and item) are walked over the cluster instead of in one task.
@@ -59,45 +59,70 @@ def walk(scores: np.ndarray, damping: float = DAMPING, tolerance: float = TOLERA
     return p, above
 
 
-def _spread_walk(rows: DataFrame, k: int, damping: float, steps: int) -> DataFrame:
-    """walk() for groups too large for one task, by DataFrame steps. rows: grp, item, s0..; the prefix sums are taken in
-    two levels, inside buckets of neighbouring scores and over the buckets' totals."""
-    g = Window.partitionBy("grp")
-    base = rows
+def _levels(values: DataFrame, s: str) -> DataFrame:
+    """values (grp, s, ...; distinct scores) with b: which of 256 buckets of neighbouring scores of its group each lies in."""
+    cuts = values.groupBy("grp").agg(F.percentile_approx(s, [i / 256 for i in range(1, 256)], 10000).alias("cuts"))  # 255 numbers a group
+    return values.join(F.broadcast(cuts), "grp").withColumn("b", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col(s)))).drop("cuts")
+
+
+def _below(values: DataFrame, s: str, amount: str, out: str) -> DataFrame:
+    """values with the sum of amount over the lower scores of the group: inside the bucket and over the buckets' totals."""
+    before = Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a group
+    totals = values.groupBy("grp", "b").agg(F.sum(amount).alias("__t")).withColumn("__before", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    inside = Window.partitionBy("grp", "b").orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    return values.join(F.broadcast(totals), ["grp", "b"]).withColumn(out, F.col("__before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("__before")
+
+
+def _spread_walk(rows: DataFrame, k: int, damping: float, steps: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """walk() for groups too large for one task, by DataFrame steps. rows: grp, item, s0..
+
+    What an item sends and gets through a score depends on the score alone, so the prefix sums run over distinct scores,
+    however many items tie; no task sees a group."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    base = rows.join(F.broadcast(sizes), "grp")  # a row a large group
+    tables, n_values = [], []
     for s in range(k):
-        has = F.col(f"s{s}").isNotNull()
-        cell = Window.partitionBy("grp", f"b{s}")
-        # buckets by score quantile sketch: bounds are 256 numbers a group
-        cuts = rows.where(has).groupBy("grp").agg(F.percentile_approx(f"s{s}", [i / 256 for i in range(1, 256)], 10000).alias("cuts"))
-        base = base.join(F.broadcast(cuts), "grp", "left")
-        base = base.withColumn(f"b{s}", F.when(has, F.size(F.filter("cuts", lambda c: c < F.col(f"s{s}")))).otherwise(-1)).drop("cuts")  # noqa: B023
-        sizes = base.where(f"b{s} >= 0").groupBy("grp", f"b{s}").agg(F.count("*").alias("__n"))
-        up = sizes.withColumn(f"over{s}", F.coalesce(F.sum("__n").over(Window.partitionBy("grp").orderBy(F.desc(f"b{s}")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-        base = base.join(F.broadcast(up), ["grp", f"b{s}"], "left")
-        inside = F.when(has, F.rank().over(cell.orderBy(F.desc(f"s{s}"))) - 1)
-        base = base.withColumn(f"above{s}", F.when(has, F.col(f"over{s}") + inside).otherwise(-1).cast("long")).drop(f"over{s}")
-    base = materialise(base.withColumn("n", F.count("*").over(g)), "rankwalk")
-    p = base.withColumn("p", 1.0 / F.col("n"))
-    for step in range(steps):
-        moved = F.lit(0.0)
-        for s in range(k):
-            send = F.when(F.col(f"above{s}") > 0, F.col("p") / F.col(f"above{s}")).otherwise(0.0)
-            totals = p.groupBy("grp", f"b{s}").agg(F.sum(F.when(F.col(f"b{s}") >= 0, send)).alias("__send"), F.sum("p").alias("__p"), F.count("*").alias("__n"))
-            ups = Window.partitionBy("grp")
-            totals = totals.select(
-                "grp", f"b{s}",
-                F.coalesce(F.sum(F.when(F.col(f"b{s}") >= 0, F.col("__send"))).over(ups.orderBy(f"b{s}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"below{s}"),
-                F.coalesce(F.sum(F.when(F.col(f"b{s}") < 0, F.col("__p"))).over(ups), F.lit(0.0)).alias(f"rest{s}"),
-                F.coalesce(F.sum(F.when(F.col(f"b{s}") >= 0, F.col("__n"))).over(ups), F.lit(0)).alias(f"have{s}"),
-            )
-            p = p.join(F.broadcast(totals), ["grp", f"b{s}"])  # at most 257 rows a group
-            near = F.coalesce(F.sum(send).over(Window.partitionBy("grp", f"b{s}").orderBy(f"s{s}").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
-            own = F.sum(send).over(Window.partitionBy("grp", f"b{s}", f"s{s}"))
-            p = p.withColumn(f"in{s}", F.when(F.col(f"have{s}") == 0, F.col("p")).when(F.col(f"b{s}") < 0, 0.0).otherwise(F.col(f"below{s}") + near - own + F.when(F.col(f"above{s}") == 0, F.col("p")).otherwise(0.0) + F.col(f"rest{s}") / F.col(f"have{s}")))
-            moved = moved + F.col(f"in{s}")
-        p = p.withColumn("p", (1 - damping) / F.col("n") + damping * moved / k)
-        p = materialise(p.select(*base.columns, "p"), "rankwalk-step")
-    return p.select("grp", "item", F.col("p").alias("stationary"), *(f"above{s}" for s in range(k)))
+        values = base.where(f"s{s} is not null").groupBy("grp", f"s{s}").agg(F.count("*").alias("c"))
+        values = materialise(_levels(values, f"s{s}"), "rankwalk-values")
+        have = values.groupBy("grp").agg(F.sum("c").alias(f"have{s}"))  # a row a large group
+        ranked = _below(values, f"s{s}", "c", "lower").join(F.broadcast(have), "grp")
+        tables.append(materialise(ranked.select("grp", f"s{s}", "b", f"have{s}", (F.col(f"have{s}") - F.col("lower") - F.col("c")).alias(f"above{s}")), "rankwalk-values"))
+        n_values.append(tables[-1].count())
+        base = base.join(F.broadcast(have), "grp", "left")
+    p = materialise(base.withColumn("p", 1.0 / F.col("n")), "rankwalk-step")
+    for _ in range(steps):
+        total, walked = F.lit(0.0), p.select(*base.columns, "p")
+        for s, values in enumerate(tables):
+            here = p.groupBy("grp", f"s{s}").agg(F.sum("p").alias("__p"))
+            sent = values.join(here.where(f"s{s} is not null"), ["grp", f"s{s}"]).withColumn("__send", F.when(F.col(f"above{s}") > 0, F.col("__p") / F.col(f"above{s}")).otherwise(0.0))
+            rest = here.where(f"s{s} is null").select("grp", F.col("__p").alias("__rest"))
+            got = _below(sent, f"s{s}", "__send", "__in").join(F.broadcast(rest), "grp", "left")
+            got = got.select("grp", f"s{s}", f"above{s}", (F.col("__in") + F.coalesce("__rest", F.lit(0.0)) / F.col(f"have{s}")).alias(f"in{s}"))
+            walked = lookup_join(walked, got, ["grp", f"s{s}"], F.col("item"), "left", n_values[s])
+            comes = F.coalesce(f"in{s}", F.lit(0.0)) + F.when(F.col(f"above{s}") == 0, F.col("p")).otherwise(0.0)
+            total = total + F.when(F.col(f"have{s}").isNull(), F.col("p")).otherwise(comes)  # a score that nobody has leaves everybody in place
+        moved = walked.withColumn("old", F.col("p")).withColumn("p", (1 - damping) / F.col("n") + damping * total / k)
+        new = materialise(moved.select(*base.columns, "p", "old", *(f"above{s}" for s in range(k))), "rankwalk-step")
+        change = new.groupBy("grp").agg(F.sum(F.abs(F.col("p") - F.col("old"))).alias("d")).agg(F.max("d")).first()[0]  # one number
+        forget(p)
+        p = new
+        if change is None or change < tolerance:
+            break
+    for values in tables:
+        forget(values)
+    return p.select("grp", "item", F.col("p").alias("stationary"), *(F.coalesce(f"above{s}", F.lit(-1)).cast("long").alias(f"above{s}") for s in range(k)))
+
+
+def _spread_places(walked: DataFrame) -> DataFrame:
+    """walked with place by falling share and item in each group, without a task that sees a group: rows lie in ranges of
+    that order, are numbered inside each, and go on from the counts of the ranges before."""
+    order = ["grp", F.desc("stationary"), "item"]
+    ranges = materialise(walked.repartitionByRange(parallelism(walked.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "rankwalk-places")
+    counts = ranges.groupBy("grp", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("grp").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("grp", "__part").orderBy(F.desc("stationary"), "item"))
+    return ranges.join(F.broadcast(offsets), ["grp", "__part"]).withColumn("place", (inside + F.col("__before")).cast("int")).drop("__part", "__before")
 
 
 def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[str], damping: float = DAMPING, group_rows: int = GROUP_ROWS, steps: int = STEPS) -> DataFrame:
@@ -113,12 +138,15 @@ def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[
     rows = rows.groupBy("grp", "item").agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(k)))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
     huge = [r.grp for r in sizes.where(F.col("size") > group_rows).collect()]  # fewer than all rows / group_rows
-    schema = T.StructType([rows.schema["grp"], T.StructField("item", T.StringType()), T.StructField("stationary", T.DoubleType()), *(T.StructField(f"above{i}", T.LongType()) for i in range(k))])
+    schema = T.StructType([rows.schema["grp"], T.StructField("item", T.StringType()), T.StructField("stationary", T.DoubleType()), *(T.StructField(f"above{i}", T.LongType()) for i in range(k)), T.StructField("place", T.IntegerType())])
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("item", kind="stable")
         p, above = walk(f[[f"s{i}" for i in range(k)]].to_numpy(np.float64, na_value=np.nan), damping, steps=steps)
-        return pd.DataFrame({"grp": [key[0]] * len(f), "item": f["item"], "stationary": p, **{f"above{i}": above[:, i] for i in range(k)}})
+        p = np.round(p, 12)
+        place = np.empty(len(f), np.int32)
+        place[np.argsort(-p, kind="stable")] = np.arange(1, len(f) + 1)  # items are in order
+        return pd.DataFrame({"grp": [key[0]] * len(f), "item": f["item"], "stationary": p, **{f"above{i}": above[:, i] for i in range(k)}, "place": place})
 
     if huge:
         is_huge = F.lit(False)
@@ -127,16 +155,23 @@ def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[
             for name, value in zip(groups, g):
                 same = same & F.col(f"grp.`{name}`").eqNullSafe(F.lit(value))
             is_huge = is_huge | same
-        walked = rows.where(~is_huge).groupBy("grp").applyInPandas(one, schema).unionByName(_spread_walk(rows.where(is_huge), k, damping, steps))
+        spread = _spread_walk(rows.where(is_huge), k, damping, steps).withColumn("stationary", F.round("stationary", 12))
+        walked = rows.where(~is_huge).groupBy("grp").applyInPandas(one, schema).unionByName(_spread_places(spread))
     else:
         walked = rows.groupBy("grp").applyInPandas(one, schema)
-    walked = walked.withColumn("stationary", F.round("stationary", 12))
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("stationary"), "item"))
-    return walked.select(*(F.col(f"grp.`{g}`").alias(g) for g in groups), F.col("item").alias(item), place.alias("place"), "stationary", *(F.col(f"above{i}").alias(f"above_{c}") for i, c in enumerate(scores)))
+    return walked.select(*(F.col(f"grp.`{g}`").alias(g) for g in groups), F.col("item").alias(item), "place", "stationary", *(F.col(f"above{i}").alias(f"above_{c}") for i, c in enumerate(scores)))
 
 
 def leaders(ranked: DataFrame, groups: Sequence[str], item: str, scores: Sequence[str], least: int = 10, exceeded: int = 3, of: int = 3) -> DataFrame:
-    """Items that at least ``of`` scores see exceeded by fewer than ``exceeded`` others, in groups of ``least`` or more."""
+    """Items that at least ``of`` scores see exceeded by fewer than ``exceeded`` others, in groups of ``least`` or more.
+
+    These counts are those by which the walk jumps; the ranking of the same result puts the leaders into the first places of
+    their group (see the tests)."""
     close = sum(((F.col(f"above_{c}") >= 0) & (F.col(f"above_{c}") < exceeded)).cast("int") for c in scores)
-    sized = ranked.withColumn("__size", F.count("*").over(Window.partitionBy(*groups)))
-    return sized.where((F.col("__size") >= least) & (close >= of)).select(*groups, item)
+    # the lowest place of a group is its size: one row has it, so no window sees a group
+    sized = ranked.where(F.col("place") == least).select(*groups, F.lit(True).alias("__large"))
+    same = lambda g: F.col(f"a.`{g}`").eqNullSafe(F.col(f"b.`{g}`"))
+    on = same(groups[0])
+    for g in groups[1:]:
+        on = on & same(g)
+    return ranked.where(close >= of).alias("a").join(sized.alias("b"), on, "left_semi").select(*groups, item)
