@@ -88,3 +88,18 @@ def test_sum_of_squares_rule():
             options = [0] + [h for h in range(1, 10 - s + 1) if before[h]]
             assert change(at) == min(map(change, options))
         levels[at] = levels.get(at, 0) + 1
+
+
+def test_containers_of_the_test_texts_are_full(spark):
+    """sf0.1: at least 99.5 % of the room of all containers is used."""
+    from tests.conftest import DATA
+    from tidewatch.llm import queries_b
+
+    r = queries_b.p9_fill(spark, f"{DATA}/sf0.1").first()
+    print(r)
+    assert r.share > 0.995 and r.containers * packing.CAPACITY >= r.tokens
+
+
+def test_fill_of_nothing(spark):
+    r = packing.fill(packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"))).first()
+    assert (r.containers, r.tokens, r.share) == (0, 0, None)

@@ -62,3 +62,27 @@ def test_frames(spark, model):
     empty = langid.work_masks(df.limit(0), model, "doc_id", {"title": True}, "lang", ("source", "title", []))
     assert langid.mislabelled(empty).count() == 0
     assert langid.fit_on(df.limit(0), "doc_id", ["title"], "lang").classify(HELD_OUT["en"])[0] == "en"
+
+
+def test_words_of_any_length_are_summed_whole(model, monkeypatch):
+    """Rescaled sums equal plain ones on short words, and logs of sums on long ones; nothing is cut."""
+    import numpy as np
+
+    for word in ("▁werkstatt", "▁" + "данные" * 5, "▁目前还不清楚这种方法"):
+        lattice = model._lattice(word)
+        assert model.logs(lattice) == pytest.approx(np.log(model.forward(word, lattice)), abs=1e-9)
+    word = "▁" + "thequickbrownmethodизмерение方法" * 60
+    lattice, n = model._lattice(word), len(word)
+    a = np.full((n + 1, len(model.languages)), -np.inf)
+    a[0] = 0.0
+    for i, arcs in enumerate(lattice):
+        for j, r in arcs:
+            a[j] = np.logaddexp(a[j], a[i] + np.log(model.p[r]))
+    assert model.log_word(word) == pytest.approx(a[-1], rel=1e-9) and np.isfinite(a[-1]).all()
+    whole = model.log_word("▁" + "method" * 9)
+    parts = model.log_word(("▁" + "method" * 9)[:40]) + model.log_word(("▁" + "method" * 9)[40:])
+    assert (whole > parts).all()  # segmentations across a cut count too
+    counts = {"▁" + "method" * 5: np.ones(len(model.languages))}
+    plain = model.expected(counts)
+    monkeypatch.setattr(langid, "PLAIN", 3)
+    assert model.expected(counts) == pytest.approx(plain, abs=1e-9)

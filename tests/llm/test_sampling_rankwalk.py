@@ -22,6 +22,16 @@ def test_sample_keeps_members_and_whole_ids(spark, tmp_path):
     assert {r.doc_id for r in other.sample(rows_of(spark, first), "doc_id", "year", 0.2).collect()} == a
 
 
+def test_two_writers_double_no_row(spark, tmp_path):
+    s = sampling.PermanentSample(spark, f"{tmp_path}/r")
+    rows = rows_of(spark, [(f"d{i}", 2020) for i in range(200)])
+    once = {r.doc_id for r in s.sample(rows, "doc_id", "year", 0.3).collect()}
+    s.numbers().write.mode("append").parquet(f"{tmp_path}/again")  # what another writer saw before the first had finished
+    spark.read.parquet(f"{tmp_path}/again").write.mode("append").parquet(f"{tmp_path}/r/numbers")
+    again = [r.doc_id for r in s.sample(rows, "doc_id", "year", 0.3).collect()]
+    assert sorted(again) == sorted(once) and s.numbers().count() == 200
+
+
 def test_thresholds_by_year_never_fall(spark, tmp_path):
     s = sampling.PermanentSample(spark, f"{tmp_path}/r")
     assert s.raise_thresholds(0.1, {2020: 0.5}) == {None: 0.1, 2020: 0.5}

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from tidewatch.runtime import BROADCAST_ROWS, materialise, parallelism
 
+#: Bytes of words and ids of a table that is broadcast, at most.
+BROADCAST_BYTES = 32_000_000
 #: Folder of the vocabulary files, the same on every machine.
 TOKENIZERS = "/opt/tokenizers"
 #: fixed value: the pattern that splits text before the merges of byte_bpe_50k
@@ -102,7 +104,8 @@ def _encoded(df: DataFrame, key: str, text: str, folder: str, name: str, count_o
     words = docs.select("block", "text").where("text <> ''").mapInPandas(_block_words, WORDS).distinct()
     words = materialise(words, "block-words")
     table = word_table(words, folder, name)
-    small = table.count() <= BROADCAST_ROWS
+    n_words, n_bytes = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids")), F.lit(0))).first()  # a word may be as long as a text
+    small = n_words <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
     known = words.join(F.broadcast(table) if small else table, "word")  # a word stands once in a block, so no word is hot
     none = lambda t: F.lit(None).cast(t)
     both = known.select("block", F.lit(0).alias("kind"), none(rows.schema["key"].dataType).alias("key"), F.col("word").alias("text"), "ids").unionByName(

@@ -27,7 +27,9 @@ SAMPLE_WORKS = 400
 LANGUAGES = ("de", "en", "es", "fr", "it", "pl", "pt", "ru", "uk", "zh")
 #: A passage counts as written in a language from this confidence on.
 SURE = 0.8
-LONGEST, CHUNK, CACHE = 16, 40, 200_000
+LONGEST, CACHE = 16, 200_000
+#: Words of at most so many letters stay in the range of doubles; sums of longer ones are rescaled as they go, to the same result.
+PLAIN = 40
 #: A sentence that comes again and again in the sample counts so many times at most.
 MOST = 20
 
@@ -111,10 +113,27 @@ class PieceModel:
                 a[j] += a[i] * self.p[r]
         return a
 
+    def logs(self, lattice: list[list[tuple[int, int]]]) -> np.ndarray:
+        """Logs of the forward sums at each place, for words of any length: small sums are raised as they go, together with
+        all places that later pieces still reach."""
+        n = len(lattice)
+        a, out, scale = np.zeros((n + 1, len(self.languages))), np.empty((n + 1, len(self.languages))), np.zeros(len(self.languages))
+        a[0] = 1.0
+        with np.errstate(divide="ignore"):
+            for i, arcs in enumerate([*lattice, []]):
+                small = a[i] < 1e-60
+                if small.any():
+                    a[i : i + LONGEST + 1, small] *= 1e60
+                    scale[small] -= 60 * np.log(10.0)
+                out[i] = np.log(a[i]) + scale
+                for j, r in arcs:
+                    a[j] += a[i] * self.p[r]
+        return out
+
     def log_word(self, word: str) -> np.ndarray:
         got = self.seen.get(word)
         if got is None:
-            got = sum(np.log(self.forward(word[i : i + CHUNK])[-1]) for i in range(0, len(word), CHUNK))  # longer runs are cut, for the range of doubles
+            got = np.log(self.forward(word)[-1]) if len(word) <= PLAIN else self.logs(self._lattice(word))[-1]
             if len(self.seen) >= CACHE:
                 self.seen.clear()
             self.seen[word] = got
@@ -124,19 +143,27 @@ class PieceModel:
         """Expected uses of each piece by language, over words counted by language."""
         out = np.zeros_like(self.p)
         for word, c in counts.items():
-            for at in range(0, len(word), CHUNK):
-                part = word[at : at + CHUNK]
-                lattice = self._lattice(part)
-                a = self.forward(part, lattice)
-                b = np.zeros_like(a)
-                b[-1] = 1.0
-                for i in range(len(part) - 1, -1, -1):
-                    for j, r in lattice[i]:
-                        b[i] += self.p[r] * b[j]
-                share = c / a[-1]
+            lattice, n = self._lattice(word), len(word)
+            if n > PLAIN:
+                back: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+                for i, arcs in enumerate(lattice):
+                    for j, r in arcs:
+                        back[n - j].append((n - i, r))
+                a, b = self.logs(lattice), self.logs(back)[::-1]
                 for i, arcs in enumerate(lattice):
                     for j, r in arcs:
-                        out[r] += a[i] * self.p[r] * b[j] * share
+                        out[r] += np.exp(a[i] + b[j] - a[n]) * self.p[r] * c
+                continue
+            a = self.forward(word, lattice)
+            b = np.zeros_like(a)
+            b[-1] = 1.0
+            for i in range(n - 1, -1, -1):
+                for j, r in lattice[i]:
+                    b[i] += self.p[r] * b[j]
+            share = c / a[-1]
+            for i, arcs in enumerate(lattice):
+                for j, r in arcs:
+                    out[r] += a[i] * self.p[r] * b[j] * share
         return out
 
     def scores(self, passage: str) -> np.ndarray | None:

@@ -19,7 +19,7 @@ from tidewatch.runtime import parallelism
 
 CAPACITY = 2048
 #: Texts of one shard, about.
-SHARD_DOCS = 100_000
+SHARD_DOCS = 10_000
 
 
 class SumOfSquares:
@@ -83,6 +83,12 @@ def _pack(capacity: int):
     return run
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row (containers, tokens, share): how many containers are used, what they hold, and which share of their room that is."""
+    used = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return used.agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), (F.sum("n") / (F.count("*") * capacity)).alias("share"))
+
+
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(key, part, container, begins_at, from_token, n_tokens): where each text, or each part of one that is longer than a
     container, lies. Parts of a longer text fill containers of their own but for the last, which is packed as a text.

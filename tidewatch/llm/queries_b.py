@@ -16,4 +16,8 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(materialise(encoding.token_counts(read(spark, d, "documents")), "token-counts"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers}
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p9_containers(spark, d))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}

@@ -43,12 +43,14 @@ class PermanentSample:
             return self.spark.createDataFrame([], schema)
 
     def numbers(self) -> DataFrame:
-        return self._table("numbers", NUMBERS)
+        """(id, u, year_seen), one row an identifier. Two writers, or a job that ran twice, may have inserted one identifier
+        more than once: its number is the same in all rows, and the earliest of the years counts."""
+        return self._table("numbers", NUMBERS).groupBy("id").agg(F.min("u").alias("u"), F.min("year_seen").alias("year_seen"))
 
     def insert(self, rows: DataFrame, identifier: str, year: str) -> None:
         """Give every identifier of rows that the registry doesn't hold its value. Running it again changes nothing."""
         seen = rows.select(F.col(f"`{identifier}`").cast("string").alias("id"), F.col(f"`{year}`").cast("int").alias("y")).where("id is not null")
-        fresh = seen.groupBy("id").agg(F.min("y").alias("year_seen")).join(self.numbers().select("id"), "id", "left_anti")
+        fresh = seen.groupBy("id").agg(F.min("y").alias("year_seen")).join(self._table("numbers", NUMBERS).select("id"), "id", "left_anti")
         fresh = materialise(fresh.select("id", uniform(F.col("id"), self.seed).alias("u"), "year_seen"), "numbers")
         fresh.write.mode("append").parquet(f"{self.path}/numbers")
 
