@@ -54,3 +54,8 @@ def test_frames(spark, rules):
     assert rows == {("a", "date", "2024-03-04"), (None, "date", "2024-01-05")}
     assert normalise_instants(df, "doc_id", ["date", "harvested_at"], "source", rules).count() == 5
     assert changed_instants(df.limit(0), "doc_id", ["date"], "source", rules).count() == 0
+
+
+def test_values_of_any_length_are_read(rules):
+    wide = "2024-03-10" + " " * 90 + "12:30:00" + " " * 70 + "+01:00"
+    assert list(convert(pd.Series([wide, "x" * 200_000, "1 " * 50_000, "2024-03-10T10:00:00." + "7" * 120 + "Z"]), pd.Series(["utc"] * 4), rules)) == ["2024-03-10T11:30:00Z", None, None, "2024-03-10T10:00:00Z"]

@@ -294,16 +294,19 @@ def convert(values: pd.Series, sources: pd.Series, rules: Rules) -> pd.Series:
             v, region = v[: m.start()], m[1]
         texts.append(v)
         regions.append(region)
-        if v and len(v) <= 64:  # no form is longer
+        if v:
             groups.setdefault(mask_of(v, rules.names), []).append(i)
     out = np.full(len(texts), None, object)
     src = list(sources)
     for mask, rows in groups.items():
-        if mask not in rules.plans:
+        plan = rules.plans.get(mask, ...)
+        if plan is ...:
             if len(rules.plans) > 100_000:  # masks of garbage; compiled again when met again
                 rules.plans.clear()
-            rules.plans[mask] = compile_mask(mask)
-        if plan := rules.plans[mask]:
+            plan = compile_mask(mask)
+            if len(mask) <= 256:
+                rules.plans[mask] = plan
+        if plan:
             out[rows] = _run(plan, [texts[i] for i in rows], [src[i] for i in rows], [regions[i] for i in rows], rules)
     return pd.Series(out, dtype=object)
 

@@ -160,11 +160,11 @@ def abstract_of(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x.w), " ")
 
 
-# fixed values: words that mark a technology, an event, a disease, an entity
-TECHNOLOGY = r"\b(?:neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b"
-EVENT = r"\b(?:pandemic|epidemic|war)\b"
-DISEASE = r"\b(?:covid(?:-19)?|cancer|diabetes|alzheimer\w*|disease\w*)\b"
-ENTITY = r"\b(?:united states|united kingdom|china|russia|university|organization)\b"
+# fixed values: words that mark a technology, an event, a disease, an entity, English and Russian
+TECHNOLOGY = r"\b(?:neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*|кибербезопасност\w*|криптограф\w*|шифрован\w*|нейрон\w*|нейросет\w*|квантов\w*|вычислен\w*|алгоритм\w*|робот\w*|сенсор\w*|полупроводник\w*|фотон\w*|редактирован\w* геном\w*|генн\w* терап\w*|вакцин\w*|иммунотерап\w*|секвенирован\w*)\b"
+EVENT = r"\b(?:pandemic|epidemic|war|пандеми\w*|эпидеми\w*)\b"
+DISEASE = r"\b(?:covid(?:-19)?|cancer|diabetes|alzheimer\w*|disease\w*|рак|диабет\w*|болезн\w*)\b"
+ENTITY = r"\b(?:united states|united kingdom|china|russia|university|organization|росси\w*|китай\w*|университет\w*|организаци\w*)\b"
 TERMINAL = "neural artificial convolutional recurrent".split()
 
 

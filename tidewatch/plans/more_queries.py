@@ -16,6 +16,9 @@ from tidewatch.streaming import events
 FEATURES = ["c_novelty", "c_growth", "c_accel", "c_burst", "c_diffusion", "maturity_pct", "n_docs", "n_countries"]
 
 
+EXTRA_MIN_DOCS, EXTRA_TERMS = 2, ("swarm control", "fraud detection", "edge inference")
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
     return events.source(s, f"{d}/events.parquet")
 
@@ -72,11 +75,20 @@ def cluster_docs(s, d):
 
 
 def extract_live(s, d):
-    return entities.extract_live(works(s, d, "title", "source"), DOMAIN)[0].select("cand_id", "key", "label")
+    found = entities.extract_live(works(s, d, "title", "source"), DOMAIN, EXTRA_MIN_DOCS, EXTRA_TERMS)[0]
+    return found.select("cand_id", "kind", "key", "label", F.array_join(F.array_sort("aliases"), "|").alias("aliases"), "n_docs")
 
 
 def evidence_rescan(s, d):
-    return entities.extract_live(works(s, d, "title", "source"), DOMAIN)[1]
+    return entities.extract_live(works(s, d, "title", "source"), DOMAIN, EXTRA_MIN_DOCS, EXTRA_TERMS)[1]
+
+
+def pred_live_technology(s, d):
+    return works(s, d, "title").select("doc_id", entities.live_technology_reason(F.col("title")).alias("reason"))
+
+
+def fn_noun_label(s, d):
+    return works(s, d, "title").select("doc_id", F.explode(F.regexp_extract_all("title", F.lit(entities.NOUN), F.lit(0))).alias("surface")).select("doc_id", "surface", entities.noun_label(F.col("surface")).alias("label")).distinct()
 
 
 def pred_gibberish(s, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidewatch.functions.text import DISEASE, ENTITY, EVENT, TECHNOLOGY
+from tidewatch.operators.entities import CATALOGUE
+
 
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
@@ -103,6 +106,16 @@ _LIVE = _with(
     f"""lr AS (SELECT *, CASE WHEN {_TOPIC} THEN 'the topic of the query' WHEN len(ws) > 1 AND (ws[1] IN {_HEADWORDS} OR ws[-1] IN {_HEADWORDS}) THEN 'headline fragment' WHEN counts_recent < 2 THEN 'single mention' WHEN age > 24 THEN 'too old' WHEN n_domains < 2 THEN 'one publisher'
   WHEN ts < 0.34 THEN 'indicator sources only' WHEN age >= 18 AND growth <= 0.03 THEN 'plateau' END AS reason FROM (SELECT mcomp.*, label, domain, n_domains, ts, {_WORDS} AS ws FROM mcomp JOIN lab USING (cand_id) JOIN dm USING (cand_id) JOIN tr USING (cand_id)))""",
 )
+
+
+def _marker(words: str) -> str:
+    """A list of marker words, for a dialect whose word borders and classes know ASCII only."""
+    return words.replace(r"\b(?:", r"(^|[^\p{L}\p{N}_])(").replace(r")\b", r")($|[^\p{L}\p{N}_])").replace(r"\w*", r"[\p{L}\p{N}_]*")
+
+
+_REASON = rf"""CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(^|[^\p{{L}}\p{{N}}-])(neural|artificial|convolutional|recurrent)[^\p{{L}}\p{{N}}]*$') THEN 'terminal modifier' WHEN regexp_matches(t, '{_marker(TECHNOLOGY)}') THEN NULL
+WHEN regexp_matches(t, '{_marker(EVENT)}') THEN 'event' WHEN regexp_matches(t, '{_marker(DISEASE)}') THEN 'disease' WHEN regexp_matches(t, '{_marker(ENTITY)}') THEN 'entity' ELSE 'no technology marker' END"""
+_CATALOGUE = ", ".join(f"'{name}'" for name in CATALOGUE)
 _REF = "ref AS (SELECT label FROM (SELECT unnest(concepts) AS label FROM works) WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) >= 5)"
 _NORM = "regexp_replace(trim(replace(lower({}), '-', ' ')), 's+$', '')"
 _BT = "bt AS (SELECT cand_id, coalesce(max(n) FILTER (WHERE year = 2024), 0) AS a, max(n) FILTER (WHERE year > 2024) AS p FROM yc GROUP BY 1)"
@@ -149,10 +162,9 @@ SQL = {
     "pred_invalid_rows": "SELECT count(*) AS n FROM works WHERE domain IS DISTINCT FROM 'artificial-intelligence' OR year > 2024 OR doi IS NULL",
     "pred_fragment": _with(_LAB) + f"SELECT cand_id, {_FRAG} AS fragment FROM (SELECT *, {_WORDS} AS ws FROM lab)",
     "pred_headline_fragment": _with(_W) + f"SELECT doc_id, len(ws) > 1 AND (ws[1] IN {_HEADWORDS} OR ws[-1] IN {_HEADWORDS}) AS piece FROM (SELECT doc_id, {_WORDS.replace('label', 'title')} AS ws FROM w)",
-    "pred_technology": _with(_LAB) + r"""SELECT cand_id, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)[^\p{L}\p{N}]*$') THEN 'terminal modifier'
-WHEN regexp_matches(t, '\b(neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b') THEN NULL
-WHEN regexp_matches(t, '\b(pandemic|epidemic|war)\b') THEN 'event' WHEN regexp_matches(t, '\b(covid(-19)?|cancer|diabetes|alzheimer\w*|disease\w*)\b') THEN 'disease' WHEN regexp_matches(t, '\b(united states|united kingdom|china|russia|university|organization)\b') THEN 'entity' ELSE 'no technology marker' END AS reason
-FROM (SELECT cand_id, regexp_replace(trim(lower(label)), '\s+', ' ', 'g') AS t FROM lab)""",
+    "pred_technology": _with(_LAB) + f"SELECT cand_id, {_REASON} AS reason FROM (SELECT cand_id, regexp_replace(trim(lower(label)), '\\s+', ' ', 'g') AS t FROM lab)",
+    "pred_live_technology": _with(_W) + f"SELECT doc_id, CASE WHEN title IN ({_CATALOGUE}) THEN NULL ELSE {_REASON} END AS reason FROM (SELECT doc_id, title, regexp_replace(trim(lower(title)), '\\s+', ' ', 'g') AS t FROM w)",
+    "pred_topic_match": _with(_W) + f"SELECT doc_id FROM (SELECT doc_id, {_TOK.format('title')} AS ws FROM w) WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' crop monitoring ') OR contains(' ' || array_to_string(ws, ' ') || ' ', ' quantum sensing methods ') OR (list_contains(ws, 'crop') AND list_contains(ws, 'monitoring')) OR len(list_intersect(ws, ['quantum', 'sensing', 'methods'])) >= 2",
     "pred_query_topic": _with(_LAB) + f"SELECT cand_id, {_TOPIC} AS topic FROM lab",
     "pred_public_url": _with(_W) + r"SELECT doc_id, regexp_matches(lower(url), '^https?://[a-z0-9-]+(\.[a-z0-9-]+)+(/|$)') AND NOT regexp_matches(lower(url), '^https?://([^/]*\.)?(local|internal|localdomain|home|lan)(/|$)') AS public FROM w",
     "pred_phrases": "SELECT DISTINCT cand_id, coalesce(len(aliases) BETWEEN 1 AND 3 AND len(list_filter(aliases, lambda a: regexp_full_match(a, '[\\x20-\\x7e]{1,200}') AND regexp_matches(a, '[A-Za-z]'))) = len(aliases), false) AS valid FROM candidates",
@@ -262,7 +274,7 @@ WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, -2) WHEN w LIKE '%ss' TH
     "emergence_score_live": _LIVE + f""", rk AS (SELECT *, {_rank("-age")} AS a, {_rank("round(growth, 9)")} AS g, {_rank("round(accel, 9)")} AS c, {_rank("round(ln(burst + 0.01), 9)")} AS b, {_rank("n_domains")} AS s5 FROM lr WHERE reason IS NULL)
 SELECT cand_id, round(a * 0.20::DOUBLE + g * 0.32::DOUBLE + c * 0.23::DOUBLE + b * 0.15::DOUBLE + s5 * 0.10::DOUBLE, 4) AS es, round_even(a, 3) AS c_novelty, round_even(g, 3) AS c_growth FROM rk""",
     "stage_confidence": _POOL + "SELECT cand_id, CASE WHEN maturity_pct >= 0.9::DOUBLE THEN 'scaling' WHEN age <= 3 THEN 'emerging' WHEN age <= 6 THEN 'early_growth' ELSE 'scaling' END AS stage, CASE WHEN counts_recent >= 200 AND n_countries >= 15 THEN CASE WHEN homonym THEN 'medium' ELSE 'high' END WHEN counts_recent >= 50 AND n_countries >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM sc",
-    "extract_terms": "WITH " + _NGRAM + r", f AS (SELECT term, count(*) AS n FROM ng JOIN w USING (doc_id) WHERE domain = 'artificial-intelligence' GROUP BY 1 HAVING count(*) >= 2) SELECT concat('t:artificial-intelligence:', substr(sha256(concat('artificial-intelligence', chr(0), term)), 1, 24)) AS cand_id, term AS label, n AS n_docs, n AS n_links FROM f WHERE NOT regexp_matches(term, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)$') AND regexp_matches(term, '\b(neural|networks?|computing|quantum|algorithms?|learning|robotics?|transformers?|semiconductors?|sensors?|photonic\w*|nanotech\w*|bioprint\w*|crispr|immunotherap\w*|vaccin\w*|sequencing|gene editing|genome editing|gene therapy|drug delivery|cybersecurity|cyber[- ]security|encryption|cryptograph\w*)\b')",
+    "extract_terms": "WITH " + _NGRAM + r", f AS (SELECT term, count(*) AS n FROM ng JOIN w USING (doc_id) WHERE domain = 'artificial-intelligence' GROUP BY 1 HAVING count(*) >= 2) SELECT concat('t:artificial-intelligence:', substr(sha256(concat('artificial-intelligence', chr(0), term)), 1, 24)) AS cand_id, term AS label, n AS n_docs, n AS n_links FROM f WHERE NOT regexp_matches(term, '(^|[^\p{L}\p{N}-])(neural|artificial|convolutional|recurrent)$') AND regexp_matches(term, '" + _marker(TECHNOLOGY) + "')",
     "cluster_candidates": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings WHERE label >= 0), m AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS v FROM m) SELECT e.label, vec_id, round(greatest(0.0, least(1.0, sum(x * v) / sqrt(sum(x * x)))), 6) AS weight FROM e JOIN c USING (label, pos) GROUP BY e.label, vec_id",
     "validate_index": """SELECT 'duplicate candidate' AS rule, count(*) AS violations FROM (SELECT 1 FROM candidates GROUP BY cand_id HAVING count(*) > 1) UNION ALL SELECT 'duplicate link', count(*) FROM (SELECT 1 FROM cand_docs GROUP BY cand_id, doc_id HAVING count(*) > 1)
 UNION ALL SELECT 'link without candidate', count(*) FROM cand_docs WHERE cand_id NOT IN (SELECT cand_id FROM candidates) UNION ALL SELECT 'link without document', count(*) FROM cand_docs WHERE doc_id NOT IN (SELECT doc_id FROM works)
