@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 from collections.abc import Callable
 
 import pandas as pd
@@ -102,6 +101,11 @@ def host_idna(urls: pd.Series) -> pd.Series:
     return urls.map(one)
 
 
+def norm_host(url: Column) -> Column:
+    """host_of, and for hosts with letters beyond ASCII their IDNA form; no ASCII URL leaves the JVM."""
+    return F.coalesce(host_of(url), host_idna(F.when(url.rlike(r"[^\x00-\x7f]"), url)))
+
+
 def suffixes(host: Column) -> Column:
     """a.b.c -> [a.b.c, b.c, c]: for an equi-join with rules by domain."""
     return let(F.split(host, r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p) - i + 1), ".")))
@@ -123,14 +127,6 @@ def is_public_url(url: Column) -> Column:
     return url.rlike(r"(?i)^https?://") & host.contains(".") & ~host.rlike(r"^(localhost|.*\.(local|internal|localdomain|home|lan))$") & ~host.rlike(r"^(10|127|0|169\.254|192\.168|172\.(1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\.")
 
 
-def public_ip(host: str) -> bool:
-    """For single values on the driver."""
-    try:
-        return ipaddress.ip_address(host).is_global
-    except ValueError:
-        return True
-
-
 def clean_term(term: Column, business: tuple[str, ...] = ("market", "funding", "startup", "company", "industry", "report", "news", "business")) -> Column:
     """Trimmed, lower, single spaces; null unless 1..4 words, 4 letters or more and no business word."""
     t = F.regexp_replace(F.trim(F.lower(term)), r"\s+", " ")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions.text import hash_id, let, ngrams, technology_reason, tokens
+from tidewatch.runtime import lookup_join, materialise
 
 
 def title_terms(works: DataFrame) -> DataFrame:
@@ -21,10 +22,11 @@ def doc_frequency(terms: DataFrame, min_docs: int = 20) -> DataFrame:
 
 def extract_terms(works: DataFrame, domain: str, min_docs: int = 20, technology: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, links, rejected): frequent n-grams that the lexical filter accepts, their documents, and why others fell."""
-    terms = title_terms(works)
+    terms = materialise(title_terms(works), "title-terms")
     frequent = doc_frequency(terms, min_docs).withColumn("reason", technology_reason(F.col("term"), technology) if technology else technology_reason(F.col("term")))
     kept = frequent.where("reason is null").select(hash_id("t", F.lit(domain), F.col("term")).alias("cand_id"), F.col("term").alias("label"), "n_docs")
-    links = terms.join(kept, terms["term"] == kept["label"]).select("cand_id", "doc_id")
+    kept = materialise(kept, "kept-terms")
+    links = lookup_join(terms, kept.select("cand_id", F.col("label").alias("term")), ["term"], F.col("doc_id")).select("cand_id", "doc_id")
     return kept, links, frequent.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -63,7 +65,7 @@ def cluster_links(vectors: DataFrame, centroids: DataFrame, key: str = "vec_id",
 def evidence(mentions: DataFrame, min_docs: int = 2) -> DataFrame:
     """mentions (key, doc_id, surface) -> (key, label, aliases, n_docs): label is the smallest surface."""
     g = mentions.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.array_sort(F.collect_set("surface")).alias("s"))
-    return g.where(F.col("n_docs") >= min_docs).select("key", F.get("s", F.lit(0)).alias("label"), F.slice("s", 2, 1_000_000).alias("aliases"), "n_docs")
+    return g.where(F.col("n_docs") >= min_docs).select("key", F.get("s", F.lit(0)).alias("label"), F.slice("s", F.lit(2), F.size("s")).alias("aliases"), "n_docs")
 
 
 def term_matches(works: DataFrame, terms: DataFrame) -> DataFrame:
@@ -100,13 +102,19 @@ def integrity(candidates: DataFrame, cand_docs: DataFrame, works: DataFrame) ->
 def rising_terms(works: DataFrame, cutoff: int, recent: int, min_recent: int, top: int) -> DataFrame:
     """(term, recent, old, lift): n-grams frequent in the last ``recent`` years and rare before, by lift x ln(1 + recent).
 
-    A term that stands inside a better one falls; that walk sees the best ten times ``top`` terms."""
+    A term that stands inside a better one falls. The walk sees the best terms, and twice as many again until ``top`` of them
+    stand; what it sees is as long as the families of the best terms, not as the table."""
     terms = works.where(F.col("year") <= cutoff).select("year", F.explode(ngrams(F.col("title"))).alias("term"))
     counts = terms.groupBy("term").agg(F.count_if(F.col("year") > cutoff - recent).alias("recent"), F.count_if(F.col("year") <= cutoff - recent).alias("old")).where(F.col("recent") >= min_recent)
-    scored = counts.withColumn("lift", (F.col("recent") + 1) / (F.col("old") + 1)).withColumn("v", F.round(F.col("lift") * F.log1p("recent"), 9))
-    best = scored.orderBy(F.desc("v"), "term").limit(10 * top)
-    place = F.row_number().over(Window.orderBy(F.desc("v"), "term"))  # over ten times top rows
-    ranked = best.withColumn("place", place)
-    better = ranked.select(F.col("term").alias("t2"), F.col("place").alias("p2"))
-    inside = ranked.join(F.broadcast(better), (F.col("p2") < F.col("place")) & F.col("t2").contains(F.col("term")) & (F.col("t2") != F.col("term")), "left_anti")
-    return inside.orderBy("place").limit(top).select("term", "recent", "old", F.bround("lift", 2).alias("lift"))
+    scored = materialise(counts.withColumn("lift", (F.col("recent") + 1) / (F.col("old") + 1)).withColumn("v", F.round(F.col("lift") * F.log1p("recent"), 9)), "rising")
+    size, total = 10 * top, scored.count()
+    while True:
+        best = scored.orderBy(F.desc("v"), "term").limit(size)
+        place = F.row_number().over(Window.orderBy(F.desc("v"), "term"))  # over the best terms only
+        ranked = materialise(best.withColumn("place", place), "rising-best")
+        better = ranked.select(F.col("term").alias("t2"), F.col("place").alias("p2"))
+        inside = ranked.join(F.broadcast(better), (F.col("p2") < F.col("place")) & F.col("t2").contains(F.col("term")) & (F.col("t2") != F.col("term")), "left_anti")
+        kept = materialise(inside.orderBy("place").limit(top).select("term", "recent", "old", F.bround("lift", 2).alias("lift")), "rising-kept")
+        if size >= total or kept.count() == top:
+            return kept
+        size *= 2

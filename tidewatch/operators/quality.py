@@ -27,10 +27,11 @@ def norm_label(label: Column) -> Column:
 def precision_at_k(ranked: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """One row (k, hits, precision): labels of the first k places that contain a reference label or stand in one.
 
-    k labels meet the reference list; both are short, so the reference is broadcast."""
+    The k labels are sent to the reference, which may grow, never the reverse."""
     top = ranked.where(F.col("place") <= k).select("place", norm_label(F.col("label")).alias("a"))
     ref = reference.select(norm_label(F.col("label")).alias("b")).where("b <> ''").distinct()
-    hit = top.join(F.broadcast(ref), F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), "left_semi").select("place", F.lit(1).alias("hit"))
+    few = top.limit(k)
+    hit = ref.join(F.broadcast(few), F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))).select("place").distinct().withColumn("hit", F.lit(1))
     both = top.join(hit, "place", "left").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
     return both.select(F.lit(k).alias("k"), "hits", F.when(F.col("n") > 0, F.round(F.col("hits") / F.nullif(F.col("n"), F.lit(0)), 4)).otherwise(0.0).alias("precision"))
 
@@ -70,11 +71,15 @@ def baseline(counts: DataFrame, as_of: int, k: int, kind: str) -> DataFrame:
 
 def report(trends: DataFrame, growth: float = 1.2, mainstream: float = 0.9) -> DataFrame:
     """One row: number of trends, share grown, share mainstream, upper median of lead times. trends: bt_growth_x, maturity_pct, lead."""
-    leads = F.array_sort(F.collect_list("lead"))
+    # the median from how often each lead occurs: as many rows as there are different numbers of years
+    many = trends.where("lead is not null").groupBy("lead").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("lead"))
+    ranked = many.withColumn("upto", upto).crossJoin(F.broadcast(many.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))))
+    median = ranked.where(F.col("upto") >= F.floor(F.col("all") / 2) + 1).agg(F.min("lead").alias("median_lead"))
     return trends.agg(
         F.count("*").alias("n_trends"), F.round(F.avg(F.when(F.col("bt_growth_x").isNotNull(), (F.col("bt_growth_x") > growth).cast("double"))), 4).alias("share_grown"),
-        F.round(F.avg((F.col("maturity_pct") >= mainstream).cast("double")), 4).alias("share_mainstream"), F.try_element_at(leads, (F.floor(F.size(leads) / 2) + 1).cast("int")).alias("median_lead"),
-    )
+        F.round(F.avg((F.col("maturity_pct") >= mainstream).cast("double")), 4).alias("share_mainstream"),
+    ).crossJoin(F.broadcast(median))
 
 
 def citations(cards: DataFrame) -> DataFrame:

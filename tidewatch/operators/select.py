@@ -12,21 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POOL_ROWS = 200_000
-SINGULAR = set("analysis bus gas lens series bias physics mathematics statistics genesis basis corpus".split())
-
-
-def _lemma(word: str) -> str:
-    w = word.lower()
-    if w in SINGULAR or len(w) <= 3 or w.endswith("ss"):
-        return w
-    if w.endswith("ies") and len(w) > 4:
-        return w[:-3] + "y"
-    for tail in ("ses", "xes", "zes", "ches", "shes"):
-        if w.endswith(tail):
-            return w[:-2]
-    return w.removesuffix("s")
+from tidewatch.functions.text import lemma
+from tidewatch.runtime import lookup_join
 
+POOL_ROWS = 200_000
 
 def _check(f: pd.DataFrame) -> None:
     if len(f) > POOL_ROWS:
@@ -47,8 +36,8 @@ def dedup_lexical(rows: DataFrame, groups: Sequence[str] = (), jaccard: float =
         kept: list[dict] = []
         by_word: dict[str, list[int]] = {}
         out = []
-        for cand, label, n in zip(f["cand_id"], f["label"], f["n_docs"]):
-            words = {_lemma(w) for w in (label or "").split()}
+        for cand, label, lemmas, n in zip(f["cand_id"], f["label"], f["__words"], f["n_docs"]):
+            words = set(lemmas)
             into = None
             for i in sorted({i for w in words for i in by_word.get(w, ())}):
                 other = kept[i]
@@ -68,6 +57,8 @@ def dedup_lexical(rows: DataFrame, groups: Sequence[str] = (), jaccard: float =
             out.append((row, into))
         return pd.DataFrame([(*key, r["cand_id"], r["label"], None if into is None else into["cand_id"], r["merged"] if into is None else []) for r, into in out], columns=schema.names)
 
+    split = F.filter(F.split(F.coalesce("label", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = rows.withColumn("__words", F.array_distinct(F.transform(split, lemma)))
     return (rows.groupBy(*groups) if groups else rows.groupBy(F.lit(1).alias("__all"))).applyInPandas(walk if groups else (lambda key, f: walk((), f)), schema)
 
 
@@ -117,11 +108,12 @@ def dedup_live(rows: DataFrame, keys: Sequence[str] = ("url_key", "title_key"),
 
     single = rows
     for c in keys:
-        n = rows.groupBy(c).agg(F.count("*").alias(f"__n_{c}"))
-        single = single.join(n, single[c].eqNullSafe(n[c]), "left").drop(n[c])
+        # only keys that several rows have move on; rows without a key meet nobody
+        n = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"__n_{c}")).where(F.col(f"__n_{c}") > 1)
+        single = lookup_join(single, n, [c], F.col(order[-1]), "left")
     alone = F.lit(True)
     for c in keys:
-        alone = alone & (F.col(c).isNull() | (F.col(f"__n_{c}") == 1))
+        alone = alone & F.col(f"__n_{c}").isNull()
     drop = [f"__n_{c}" for c in keys]
     free = single.where(alone).drop(*drop).select(*names)
     tied = single.where(~alone).drop(*drop).select(*names)

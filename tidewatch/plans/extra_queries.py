@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import candidates, series, shape
 from tidewatch.plans import cards, pipeline
-from tidewatch.plans.reference_queries import AS_OF, LIVE_AS_OF, counts, joined, labels, works
+from tidewatch.plans.reference_queries import AS_OF, LIVE_AS_OF, counts, joined, labels, month_counts, works
 from tidewatch.plans.reference_sql import _LAB, _MC, _MCOMP, _NGRAM, _POOL, _W, _J, _L, _with
 from tidewatch.runtime import read
 
 
 def pred_plateau(s, d):
-    c = shape.components_monthly(series.month_counts(joined(s, d, "year", "date", "doc_type")), LIVE_AS_OF)
+    c = shape.components_monthly(month_counts(s, d), LIVE_AS_OF)
     return c.select("cand_id", ((F.col("age") >= 18) & (F.col("growth") <= 0.03)).alias("plateau"))
 
 

@@ -130,7 +130,9 @@ def agg_cube(s, d):
 
 
 def dedup_titles(s, d):
-    return select.dedup_lexical(works(s, d, "domain", "source", "title", "year").where(f"domain = '{DOMAIN}' and source = 'gnews'").select("doc_id", F.col("title").alias("label"), F.col("year").cast("double").alias("es"), F.lit(None).cast("long").alias("n_docs")).withColumnRenamed("doc_id", "cand_id")).select("cand_id", "merged_into")
+    news = works(s, d, "domain", "source", "title", "year").where("source = 'gnews'")
+    rows = news.select("domain", F.col("doc_id").alias("cand_id"), F.col("title").alias("label"), F.col("year").cast("double").alias("es"), F.lit(None).cast("long").alias("n_docs"))
+    return select.dedup_lexical(rows, ["domain"]).select("domain", "cand_id", "merged_into")
 
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and f.__code__.co_argcount == 2]

@@ -42,6 +42,10 @@ def counts(s: SparkSession, d: str) -> DataFrame:
     return materialise(series.year_counts(joined(s, d, "year", "doc_type")), "year-counts")
 
 
+def month_counts(s: SparkSession, d: str) -> DataFrame:
+    return materialise(series.month_counts(joined(s, d, "year", "date", "doc_type")), "month-counts")
+
+
 def labels(s: SparkSession, d: str) -> DataFrame:
     return pipeline.labels_of(read(s, d, "candidates"))
 
@@ -394,7 +398,10 @@ def agg_preprint_lag(s, d):
 
 
 def agg_text_concat(s, d):
-    return works(s, d, "domain", "title").groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "doc_id", "title"))), "\n").alias("t")).select("domain", F.sha2("t", 256).alias("digest"))
+    """The text of each domain as its lines, kept exploded: how many, how long joined, and a digest that no order changes."""
+    line = F.concat_ws(" ", "doc_id", "title")
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return works(s, d, "domain", "title").groupBy("domain").agg(F.count("*").alias("lines"), (F.sum(F.length(line) + 1) - 1).alias("chars"), F.sum(part).cast("string").alias("digest"))
 
 
 # ---- windows, sorts, top-k
@@ -527,7 +534,7 @@ def fn_strip_publisher(s, d):
 
 
 def fn_norm_host(s, d):
-    return works(s, d, "url").select("doc_id", text.host_of(F.col("url")).alias("host"))
+    return works(s, d, "url").select("doc_id", text.norm_host(F.col("url")).alias("host"))
 
 
 def fn_canonical_url(s, d):
@@ -588,7 +595,7 @@ def components_yearly(s, d):
 
 
 def components_monthly(s, d):
-    c = shape.components_monthly(series.month_counts(joined(s, d, "year", "date", "doc_type")), LIVE_AS_OF)
+    c = shape.components_monthly(month_counts(s, d), LIVE_AS_OF)
     return c.select("cand_id", "first_mention", "takeoff_year", "age", F.round("growth", 6).alias("growth"), F.round("accel", 6).alias("accel"), F.round("burst", 6).alias("burst"), "counts_recent", "active_months", F.array_join("counts", ",").alias("counts"))
 
 
@@ -673,5 +680,5 @@ def api_methodology(s, d):
     return serve.methodology(s)
 
 
-NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and f.__code__.co_argcount == 2 and n not in ("works", "joined", "counts", "labels")]
+NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and f.__code__.co_argcount == 2 and n not in ("works", "joined", "counts", "month_counts", "labels")]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -223,7 +223,7 @@ SELECT label, round(max(score), 6) AS best, count(*) AS n FROM (SELECT * FROM s
     "agg_citation_coverage": _with(_ONE) + "SELECT trend_id, CASE WHEN len(top_doc_ids) > 0 THEN 'problem' ELSE '' END AS first, '' AS second, CASE WHEN len(top_doc_ids) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS coverage FROM t1",
     "agg_cyrillic_share": _with(_W) + r"SELECT doc_id, CASE WHEN a > 0 THEN round(b / a, 6) END AS share FROM (SELECT doc_id, len(regexp_extract_all(title, '\p{L}')) AS a, len(regexp_extract_all(title, '[\x{400}-\x{4FF}]')) AS b FROM w)",
     "agg_preprint_lag": _with(_W, _L, _J, "n AS (SELECT cand_id, doc_type, year, count(*) AS n FROM j WHERE doc_type IN ('article', 'preprint') AND year <= 2026 GROUP BY 1, 2, 3)", "p AS (SELECT *, max(n) OVER (PARTITION BY cand_id, doc_type) AS peak FROM n)") + "SELECT cand_id, min(year) FILTER (WHERE doc_type = 'article') - min(year) FILTER (WHERE doc_type = 'preprint') AS lag FROM p WHERE n >= greatest(10.0::DOUBLE, 0.1::DOUBLE * peak) GROUP BY 1",
-    "agg_text_concat": _with(_W) + "SELECT domain, sha256(array_to_string(list(concat(doc_id, ' ', title) ORDER BY concat(doc_id, ' ', title)), chr(10))) AS digest FROM w GROUP BY 1",
+    "agg_text_concat": _with(_W) + "SELECT domain, count(*) AS lines, sum(length(concat(doc_id, ' ', title)) + 1)::BIGINT - 1 AS chars, sum(('0x' || substr(sha256(concat(doc_id, ' ', title)), 1, 12))::BIGINT)::VARCHAR AS digest FROM w GROUP BY 1",
     "win_dedup_first": _with(_W) + "SELECT doc_id, year, harvested_at FROM w",
     "win_stratified_hash": _with(_W, _quota(250)) + "SELECT * FROM q",
     "win_pct_rank": f"SELECT cand_id, round({_rank('n_docs')}, 9) AS r FROM (SELECT cand_id, max(n_docs) AS n_docs FROM candidates GROUP BY 1)",
