@@ -36,13 +36,15 @@ def stream_session_activity(s, d):
 
 
 def stream_dedup_watermark(s, d):
-    return events.drain(s, events.dedup(_stream(s, d)), "dedup", "append").select("event_id", "user_id", "event_type")
+    return events.drain(s, events.dedup(_stream(s, d)), "dedup").select("event_id", "user_id", "event_type")
 
 
 def stream_static_trust_join(s, d):
-    levels = s.createDataFrame([("click", "trusted"), ("view", "trusted"), ("error", "indicator")], "event_type string, trust_level string")
-    counts = events.with_trust(_stream(s, d), levels).groupBy("trust_level").agg(F.count("*").alias("n"))
-    return events.drain(s, counts, "trust")
+    stream = _stream(s, d)
+    levels = stream.sparkSession.createDataFrame([("click", "trusted"), ("view", "trusted"), ("error", "indicator")], "event_type string, trust_level string")
+    rows = events.with_trust(stream.withWatermark("ts", "2 days"), levels)
+    counts = rows.groupBy(F.window("ts", "7 days"), "trust_level").agg(F.count("*").alias("n")).select(F.col("window.start").alias("week"), "trust_level", "n")
+    return events.drain(s, counts, "trust").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "trust_level", "n")
 
 
 def stream_burst_state(s, d):
@@ -140,11 +142,11 @@ QUERIES = {n: globals()[n] for n in NAMES}
 
 _TRUSTED = "CASE WHEN event_type IN ('click', 'view') THEN 'trusted' WHEN event_type = 'error' THEN 'indicator' ELSE 'unknown' END"
 SQL = {
-    "stream_tumbling_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
-    "stream_sliding_counts": "SELECT strftime(date_trunc('day', ts) - to_days(k::INTEGER), '%Y-%m-%d') AS bucket, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY 1, 2",
-    "stream_session_activity": "WITH e AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS n FROM e GROUP BY 1",
+    "stream_tumbling_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
+    "stream_sliding_counts": "SELECT strftime(date_trunc('day', ts) - to_days(k::INTEGER), '%Y-%m-%d') AS bucket, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY 1, 2, date_trunc('day', ts) - to_days(k::INTEGER) HAVING date_trunc('day', ts) - to_days(k::INTEGER) + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 4 DAY FROM events)",
+    "stream_session_activity": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), s AS (SELECT user_id, k, count(*) AS n FROM g GROUP BY 1, 2 HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS n FROM s GROUP BY 1",
     "stream_dedup_watermark": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1",
-    "stream_static_trust_join": f"SELECT {_TRUSTED} AS trust_level, count(*) AS n FROM events GROUP BY 1",
+    "stream_static_trust_join": f"SELECT strftime(week, '%Y-%m-%d') AS week, trust_level, n FROM (SELECT TIMESTAMP '1970-01-01' + to_days((epoch(ts)::BIGINT // 604800 * 7)::INTEGER) AS week, {_TRUSTED} AS trust_level, count(*) AS n FROM events GROUP BY 1, 2) WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
     "stream_burst_state": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT event_type, max(h) AS last, count(*) AS hours FROM h GROUP BY 1) SELECT event_type, hours, round((sum(CASE WHEN h = last THEN n ELSE 0 END) + 0.1) / (sum(CASE WHEN h < last THEN n ELSE 0 END) / greatest(1, hours - 1) + 0.1), 6) AS burst FROM h JOIN m USING (event_type) GROUP BY 1, 2",
     "union_sources": _with(_W) + "SELECT doc_id, title, NULL AS url FROM w WHERE source = 'arxiv' UNION ALL SELECT doc_id, NULL, url FROM w WHERE source = 'github'",
     "union_live_rejected": _POOL + "SELECT cand_id, reason FROM rr WHERE reason IS NOT NULL UNION ALL SELECT cand_id, 'already mainstream' FROM sc WHERE maturity_pct >= 0.9::DOUBLE",
