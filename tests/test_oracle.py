@@ -5,7 +5,7 @@ from tests.oracle import connect, same
 from tidewatch.plans import catalog
 
 FOLDER = str(DATA / "sf0.001")
-SLOW = {"learn_gboost", "learn_forest"}
+SLOW = {"learn_gboost", "learn_forest", "learn_vote", "learn_choice", "learn_ablation", "learn_logreg"}
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sampling import folds
+from tidewatch.runtime import materialise
 
 
 ROWS_A_PARTITION = 50_000
+#: Models that are fitted at a time.
+FITS = 4
 
 
 def matrix(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -41,14 +47,18 @@ def predict(kind: str, train: DataFrame, test: DataFrame, features: list[str], k
 
 
 def cross_validate(rows: DataFrame, kind: str, features: list[str], key: str, label: str = "label", k: int = 5, repeats: int = 20, seed: int = 0) -> DataFrame:
-    """(repeat, key, label, p): every row predicted once a repeat by a model that hasn't seen it."""
-    out = None
-    for r in range(repeats):
-        split = folds(rows, key, label, k, seed + r).cache()
-        for i in range(k):
-            p = predict(kind, split.where(F.col("fold") != i), split.where(F.col("fold") == i), features, key, label, seed + r).withColumn("repeat", F.lit(r))
-            out = p if out is None else out.unionByName(p)
-    return out
+    """(repeat, key, label, p): every row predicted once a repeat by a model that hasn't seen it.
+
+    Fits don't depend on each other, so FITS of them are under way at a time; the folds of a repeat are written once."""
+
+    def fold(job: tuple[DataFrame, int, int]) -> DataFrame:
+        split, r, i = job
+        return predict(kind, split.where(F.col("fold") != i), split.where(F.col("fold") == i), features, key, label, seed + r).withColumn("repeat", F.lit(r))
+
+    splits = [materialise(folds(rows.select(key, label, *features), key, label, k, seed + r), "folds") for r in range(repeats)]
+    with ThreadPoolExecutor(FITS) as pool:
+        parts = list(pool.map(fold, [(split, r, i) for r, split in enumerate(splits) for i in range(k)]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def vote(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -68,6 +78,19 @@ def report(predictions: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
+def confusion(predictions: DataFrame, label: str = "label") -> DataFrame:
+    """(label, predicted, n), all four cells."""
+    said = predictions.select(F.col(label).cast("int").alias("label"), (F.col("p") >= 0.5).cast("int").alias("predicted"))
+    cells = predictions.sparkSession.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "label int, predicted int")
+    return cells.join(said.groupBy("label", "predicted").agg(F.count("*").alias("n")), ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def errors(predictions: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """(key, label, p) of the rows that are told wrong, the surest mistakes first."""
+    wrong = predictions.where((F.col("p") >= 0.5) != (F.col(label) == 1))
+    return wrong.select(key, label, "p").orderBy(F.desc(F.abs(F.col("p") - 0.5)), key)
+
+
 def importance(rows: DataFrame, kind: str, features: list[str], label: str = "label") -> list[tuple[str, float]]:
     """Signed coefficients or impurity, largest first."""
     fitted = model(kind, features, rows.count(), label).fit(matrix(rows, features)).stages[-1]
@@ -81,8 +104,8 @@ def ablation(rows: DataFrame, kind: str, features: list[str], key: str, label: s
     return [(f, full - report(cross_validate(rows, kind, [g for g in features if g != f], key, label, repeats=repeats), label).first().accuracy) for f in features]
 
 
-def choose(reports: DataFrame, order: list[str]) -> DataFrame:
-    """The simplest model (by order) of accuracy .80 or more, else the best of .75 or more; no row if there is none."""
+def choose(reports: DataFrame, order: list[str], enough: float = 0.8, least: float = 0.75) -> DataFrame:
+    """The simplest model (by order) whose accuracy is enough, else the best that has the least asked for; no row if there is none."""
     simple = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    ranked = reports.where("accuracy >= 0.75").withColumn("__a", F.col("accuracy") < 0.8).withColumn("__b", F.when(F.col("accuracy") >= 0.8, simple.cast("double")).otherwise(-F.col("accuracy")))
+    ranked = reports.where(F.col("accuracy") >= least).withColumn("__a", F.col("accuracy") < enough).withColumn("__b", F.when(F.col("accuracy") >= enough, simple.cast("double")).otherwise(-F.col("accuracy")))
     return ranked.orderBy("__a", "__b", "model").limit(1).drop("__a", "__b")

@@ -10,7 +10,7 @@ from tidewatch.operators import clusters, entities, learn, select
 from tidewatch.plans.reference_queries import DOMAIN, _pool, joined, works
 from tidewatch.plans.reference_sql import _BASE, _POOL, _W, _with
 from tidewatch.runtime import materialise, read
-from tidewatch.sources import records
+from tidewatch.sources import publish, records
 from tidewatch.streaming import events
 
 FEATURES = ["c_novelty", "c_growth", "c_accel", "c_burst", "c_diffusion", "maturity_pct", "n_docs", "n_countries"]
@@ -56,16 +56,50 @@ def _training(s: SparkSession, d: str) -> DataFrame:
     return materialise(t.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in FEATURES}), "training")
 
 
-def _cv(kind: str):
+def _cv(kind: str, repeats: int):
     def run(s: SparkSession, d: str) -> DataFrame:
-        return learn.report(learn.cross_validate(_training(s, d), kind, FEATURES, "trend_id", k=2, repeats=1))
+        return learn.report(materialise(learn.cross_validate(_training(s, d), kind, FEATURES, "trend_id", repeats=repeats), "predictions"))
 
     return run
 
 
-learn_logreg = _cv("logreg")
-learn_forest = _cv("forest")
-learn_gboost = _cv("gboost")
+#: Five folds each; the trees repeat less, as a hundred fits of theirs take many minutes whatever the rows.
+REPEATS = {"logreg": 20, "forest": 1, "gboost": 1}
+learn_logreg = _cv("logreg", REPEATS["logreg"])
+learn_forest = _cv("forest", REPEATS["forest"])
+learn_gboost = _cv("gboost", REPEATS["gboost"])
+
+
+def _once(s: SparkSession, d: str, kind: str) -> DataFrame:
+    return materialise(learn.cross_validate(_training(s, d), kind, FEATURES, "trend_id", repeats=1, seed=42), "predictions")
+
+
+def learn_vote(s, d):
+    return learn.report(learn.vote(_once(s, d, "forest"), _once(s, d, "logreg"), "trend_id"))
+
+
+def learn_confusion(s, d):
+    return learn.confusion(_once(s, d, "logreg"))
+
+
+def learn_errors(s, d):
+    return learn.errors(_once(s, d, "logreg"), "trend_id").select("trend_id", "label", F.round("p", 6).alias("p"))
+
+
+def learn_ablation(s, d):
+    return s.createDataFrame(learn.ablation(_training(s, d), "logreg", FEATURES, "trend_id", repeats=1), "feature string, lost double")
+
+
+def learn_choice(s, d):
+    reports = [learn.report(_once(s, d, kind)).withColumn("model", F.lit(kind)) for kind in ("logreg", "forest")]
+    return learn.choose(reports[0].unionByName(reports[1]), ["logreg", "forest"], enough=0.6, least=0.5).select("model", "accuracy")
+
+
+def union_training(s, d):
+    """Labelled rows of two lists with the features both have; of an item in both the first list's row counts."""
+    t = _training(s, d)
+    first, second = t.where("label = 1"), t.where("n_docs >= 20")
+    return publish.merge_rows(second, first, "trend_id").select("trend_id", "label", "n_docs")
 
 
 def learn_importance(s, d):
@@ -148,6 +182,7 @@ SQL = {
     "stream_dedup_watermark": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1",
     "stream_static_trust_join": f"SELECT strftime(week, '%Y-%m-%d') AS week, trust_level, n FROM (SELECT TIMESTAMP '1970-01-01' + to_days((epoch(ts)::BIGINT // 604800 * 7)::INTEGER) AS week, {_TRUSTED} AS trust_level, count(*) AS n FROM events GROUP BY 1, 2) WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
     "stream_burst_state": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT event_type, max(h) AS last, count(*) AS hours FROM h GROUP BY 1) SELECT event_type, hours, round((sum(CASE WHEN h = last THEN n ELSE 0 END) + 0.1) / (sum(CASE WHEN h < last THEN n ELSE 0 END) / greatest(1, hours - 1) + 0.1), 6) AS burst FROM h JOIN m USING (event_type) GROUP BY 1, 2",
+    "union_training": "WITH t AS (SELECT trend_id, max(CASE WHEN stage = 'emerging' THEN 1.0 ELSE 0.0 END)::DOUBLE AS label, max(n_docs)::DOUBLE AS n_docs FROM trends GROUP BY 1) SELECT * FROM t WHERE label = 1 UNION ALL SELECT * FROM t WHERE n_docs >= 20 AND label <> 1",
     "union_sources": _with(_W) + "SELECT doc_id, title, NULL AS url FROM w WHERE source = 'arxiv' UNION ALL SELECT doc_id, NULL, url FROM w WHERE source = 'github'",
     "union_live_rejected": _POOL + "SELECT cand_id, reason FROM rr WHERE reason IS NOT NULL UNION ALL SELECT cand_id, 'already mainstream' FROM sc WHERE maturity_pct >= 0.9::DOUBLE",
     "agg_rollup": _with(_W) + "SELECT source, doc_type, count(*) AS n FROM w GROUP BY ROLLUP (source, doc_type)",
