@@ -1,7 +1,8 @@
 """Resumable paged sources: a batch reader and a stream reader over numbered pages.
 
-Pages are what a fetcher returns: JSON lines in a folder here, a network service where one is given as ``fetch``. The
-stream's offset is the next page of each year, so a restart reads the same page again and the sink drops the copies."""
+Pages are JSON lines in <folder>/<year>/<page>.jsonl, on any file system that pyarrow knows; a collector puts them there. Each
+page is a task of its own. The stream's offset is, for each year, the last page up to which all pages are there: a page that
+comes later than its successors holds its year back, so none is lost or read twice, and a restart goes on from there."""
 
 from __future__ import annotations
 
@@ -9,29 +10,47 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "year int, page int, record string"
 
 
-def pages_of(folder: str) -> list[tuple[int, int, Path]]:
-    """(year, page, file) of <folder>/<year>/<page>.jsonl, in order."""
+def _system(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else Path(folder).absolute().as_uri())
+
+
+def pages_of(folder: str) -> list[tuple[int, int, str]]:
+    """(year, page, file), in order."""
+    system, root = _system(folder)
     found = []
-    for p in Path(folder).glob("*/*.jsonl"):
-        if p.parent.name.isdigit() and p.stem.isdigit():
-            found.append((int(p.parent.name), int(p.stem), p))
+    for f in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+        parts = f.path.removeprefix(root).strip("/").split("/")
+        if f.is_file and len(parts) == 2 and parts[0].isdigit() and parts[1].endswith(".jsonl") and parts[1][:-6].isdigit():
+            found.append((int(parts[0]), int(parts[1][:-6]), f.path))
     return sorted(found)
 
 
-def rows_of(year: int, page: int, path: Path) -> Iterator[tuple[int, int, str]]:
+def rows_of(folder: str, year: int, page: int, path: str) -> Iterator[tuple[int, int, str]]:
     """Lines that are JSON objects; others are left out."""
-    for line in path.open(encoding="utf-8"):
-        try:
-            if isinstance(json.loads(line), dict):
-                yield year, page, line.strip()
-        except ValueError:
-            continue
+    with _system(folder)[0].open_input_stream(path) as f:
+        for line in f.read().decode("utf-8").splitlines():  # a page is short
+            try:
+                if isinstance(json.loads(line), dict):
+                    yield year, page, line.strip()
+            except ValueError:
+                continue
+
+
+def reached(pages: list[tuple[int, int, str]]) -> dict[str, int]:
+    """For each year the last page of the unbroken run from its first possible page, 0 or 1."""
+    out: dict[str, int] = {}
+    for year, page, _ in pages:
+        last = out.get(str(year))
+        if page == (0 if last is None else last + 1) or (last is None and page == 1):
+            out[str(year)] = page
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -39,26 +58,29 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition((y, n, str(p))) for y, n, p in pages_of(self.folder)]
+        return [InputPartition(page) for page in pages_of(self.folder)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        y, n, p = partition.value
-        yield from rows_of(y, n, Path(p))
+        if partition is not None:  # as it is where there are no pages
+            yield from rows_of(self.folder, *partition.value)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str, batch: int):
-        self.folder, self.batch = folder, batch
+class _Stream(DataSourceStreamReader):
+    def __init__(self, folder: str):
+        self.folder = folder
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"done": 0}
+        return {}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        todo = pages_of(self.folder)[start["done"] : start["done"] + self.batch]
-        return iter([r for y, n, p in todo for r in rows_of(y, n, p)]), {"done": start["done"] + len(todo)}
+    def latestOffset(self) -> dict:  # noqa: N802
+        return reached(pages_of(self.folder))
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([r for y, n, p in pages_of(self.folder)[start["done"] : end["done"]] for r in rows_of(y, n, p)])
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition((y, n, p)) for y, n, p in pages_of(self.folder) if start.get(str(y), -1) < n <= end.get(str(y), -1)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition is not None:  # as it is where there are no pages
+            yield from rows_of(self.folder, *partition.value)
 
     def commit(self, end: dict) -> None:
         pass
@@ -77,8 +99,8 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _Stream(self.options["path"], int(self.options.get("pagesPerBatch", "1")))
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Stream(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:

@@ -85,10 +85,17 @@ def single_targets(spark: SparkSession, path: str, key: str, target: str) -> Dat
 
 
 def feed_entries(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """RSS items (source, title, link, published) from XML bodies; entries without a date are left out."""
-    schema = "channel struct<item: array<struct<title: string, link: string, pubDate: string>>>"
-    parsed = feeds.withColumn("x", F.from_xml(body, F.lit(schema), {"rowTag": "rss", "mode": "PERMISSIVE"}))
-    return parsed.select("source", F.explode("x.channel.item").alias("i")).select("source", "i.title", "i.link", F.col("i.pubDate").alias("published")).where("published is not null and link is not null")
+    """Items of RSS and entries of Atom (source, title, link, published) from XML bodies; of an Atom entry the alternate link
+    and, where it was never published, its last change count. Entries without a date or link are left out, bad bodies too."""
+    rss = "channel struct<item: array<struct<title: string, link: string, pubDate: string>>>"
+    atom = "entry array<struct<title: string, link: array<struct<_href: string, _rel: string, _VALUE: string>>, published: string, updated: string>>"
+    read = lambda schema, tag: F.from_xml(F.col(body), F.lit(schema), {"rowTag": tag, "mode": "PERMISSIVE"})
+    kind = F.regexp_extract(F.col(body), r"<(rss|feed)[\s>]", 1)
+    items = feeds.where(kind == "rss").select("source", F.explode(read(rss, "rss").getField("channel").getField("item")).alias("i")).select("source", "i.title", "i.link", F.col("i.pubDate").alias("published"))
+    entries = feeds.where(kind == "feed").select("source", F.explode(read(atom, "feed").getField("entry")).alias("i"))
+    link = F.get(F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    entries = entries.select("source", "i.title", link.alias("link"), F.coalesce("i.published", "i.updated").alias("published"))
+    return items.unionByName(entries).where("published is not null and link is not null")
 
 
 def news_works(rows: DataFrame, domain: str, harvested_at: str) -> DataFrame:
