@@ -42,13 +42,15 @@ def _number(c: Column) -> Column:
     return F.nullif(c, F.lit("")).cast("int")
 
 
-_YMD = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?!\d)"
-_DMY = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?!\d)"
-_WORD_DAY = r"^(?:\p{L}+\.?,? )?(\d{1,2})(?:st|nd|rd|th)?\.?[ -](\p{L}+)\.?,?[ -](\d{4})(?!\d)(?: ?(?:г|года)\.?)?"
-_WORD_MONTH = r"^(?:\p{L}+\.?,? )?(\p{L}+)\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?!\d)"
-_ANY_DAY = f"(?:{_YMD}|{_DMY}|{_WORD_DAY}|{_WORD_MONTH})".replace(r"\2", r"[-/.]?")
-_TIME = r"^(?:[tT]|,? ?(?:at |в )?)(\d{1,2}):?(\d{2})(?::?(\d{2}))?(?:[.,]\d+)?(?: ?([aApP][mM])(?!\p{L}))?"
-_OFFSET = r"([-+])(\d{2}):?(\d{2})?$"
+# one pass over a string cuts it into year|month|day|hour|minute|second|half of the day|zone|what parts day and month
+_TIME = r"(?:(?:[tT]|,? ?(?:at |в )?)(\d{1,2}):?(\d{2})(?::?(\d{2}))?(?:[.,]\d+)?(?: ?([aApP][mM])(?!\p{L}))?)? ?((?:\p{L}{1,5})?(?:[-+]\d{1,2}:?(?:\d{2})?)?)$"
+_FORMS = [  # how a form begins, all of it, and the cut
+    (r"^\d{4}", r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?!\d)" + _TIME, "$1|$3|$4|$5|$6|$7|$8|$9|-"),
+    (r"^\d{1,2}[-/.]\d", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?!\d)" + _TIME, "$4|$3|$1|$5|$6|$7|$8|$9|$2"),
+    (r"^(?:\p{L}+\.?,? )?\d{1,2}(?:\p{Ll}\p{Ll})?\.?[ -]\p{L}", r"^(?:\p{L}+\.?,? )?(\d{1,2})(?:st|nd|rd|th)?\.?[ -](\p{L}+)\.?,?[ -](\d{4})(?!\d)(?: ?(?:г|года)\.?)?" + _TIME, "$3|$2|$1|$4|$5|$6|$7|$8|-"),
+    (r"^\p{L}", r"^(?:\p{L}+\.?,? )?(\p{L}+)\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?!\d)" + _TIME, "$3|$1|$2|$4|$5|$6|$7|$8|-"),
+]
+_OFFSET = r"([-+])(\d{1,2}):?(\d{2})?$"
 
 
 def instant(value: str = "harvested_at", source: str = "source", homes: Homes | None = None) -> Column:
@@ -72,31 +74,29 @@ def _seconds(day: Column, h: Column, m: Column, s: Column) -> Column:
     return F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("long") * DAY + F.coalesce(h, F.lit(0)) * 3600 + F.coalesce(m, F.lit(0)) * 60 + F.coalesce(s, F.lit(0))
 
 
-def _day(v: Column, source: Column, homes: Homes) -> Column:
-    part = lambda p, g: F.regexp_extract(v, p, g)
-    made = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d))
-    word = lambda p, g: _lookup(MONTH_OF, F.lower(part(p, g)), "int")
-    day_first = F.when(part(_DMY, 2) == "/", F.coalesce(_lookup(homes.day_first, source, "boolean"), F.lit(True))).otherwise(True)
-    a, b = _number(part(_DMY, 1)), _number(part(_DMY, 3))
-    return (
-        F.when(v.rlike(_YMD), made(_number(part(_YMD, 1)), _number(part(_YMD, 3)), _number(part(_YMD, 4))))
-        .when(v.rlike(_DMY), made(_number(part(_DMY, 4)), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b)))
-        .when(v.rlike(_WORD_DAY), made(_number(part(_WORD_DAY, 3)), word(_WORD_DAY, 2), _number(part(_WORD_DAY, 1))))
-        .when(v.rlike(_WORD_MONTH), made(_number(part(_WORD_MONTH, 3)), word(_WORD_MONTH, 1), _number(part(_WORD_MONTH, 2))))
-    )
-
-
 def _written(v: Column, source: Column, homes: Homes) -> Column:
-    rest = F.regexp_replace(v, _ANY_DAY, "")
-    time = lambda g: F.regexp_extract(rest, _TIME, g)
-    zone = F.trim(F.regexp_replace(rest, _TIME, ""))
-    half = F.lower(time(4))
-    hour = _number(time(1))
-    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    local = _seconds(_day(v, source, homes), hour, _number(time(2)), _number(time(3)))
-    offset = F.when(F.lower(zone).isin("z", "utc", "gmt"), 0).when(zone.rlike(_OFFSET), (_number(F.regexp_extract(zone, _OFFSET, 2)) * 60 + F.coalesce(_number(F.regexp_extract(zone, _OFFSET, 3)), F.lit(0))) * F.when(F.regexp_extract(zone, _OFFSET, 1) == "-", -1).otherwise(1)).otherwise(_lookup(homes.minutes, F.lower(zone), "int"))
+    cut = F.when(F.lit(False), v)
+    for begins, whole, parts in _FORMS:
+        cut = cut.when(v.rlike(begins), F.regexp_replace(v, whole, parts))
+    return let(F.split(cut, r"\|"), lambda p: F.when(F.size(p) == 9, _moved(p, source, homes)))
+
+
+def _moved(p: Column, source: Column, homes: Homes) -> Column:
+    """Seconds of the parts of a string."""
+    part = lambda i: F.get(p, F.lit(i))
+    second, third = part(1), part(2)
+    swap = (part(8) == "/") & ~F.coalesce(_lookup(homes.day_first, source, "boolean"), F.lit(True))  # month before day
+    month, day = F.when(swap, third).otherwise(second), F.when(swap, second).otherwise(third)
+    month = F.when(month.rlike(r"^\d"), _number(month)).otherwise(_lookup(MONTH_OF, F.lower(month), "int"))
+    date = F.try_to_date(F.format_string("%s-%02d-%02d", part(0), month, _number(day)))
+    half = F.lower(part(6))
+    hour = F.when(half == "", _number(part(3))).otherwise(_number(part(3)) % 12 + F.when(half == "pm", 12).otherwise(0))
+    local, zone = _seconds(date, hour, _number(part(4)), _number(part(5))), part(7)
+    sign = F.when(F.regexp_extract(zone, _OFFSET, 1) == "-", -1).otherwise(1)
+    minutes = (_number(F.regexp_extract(zone, _OFFSET, 2)) * 60 + F.coalesce(_number(F.regexp_extract(zone, _OFFSET, 3)), F.lit(0))) * sign
+    offset = F.when(F.lower(zone).isin("z", "utc", "gmt"), 0).when(zone.rlike(_OFFSET), minutes).otherwise(_lookup(homes.minutes, F.lower(zone), "int"))
     # a local second of a zone, moved to UTC by the JVM's rules: the first of two equal ones, a skipped one on by the gap
     wall = F.timestamp_add("SECOND", local, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     moved = F.convert_timezone(_lookup(homes.zones, source, "string"), F.lit("UTC"), wall)
-    at_home = F.when((time(1) != "") & (zone == ""), _seconds(moved.cast("date"), F.hour(moved), F.minute(moved), F.second(moved)))
+    at_home = F.when((part(3) != "") & (zone == ""), _seconds(moved.cast("date"), F.hour(moved), F.minute(moved), F.second(moved)))
     return F.coalesce(local - offset.cast("long") * 60, at_home, local)
