@@ -190,7 +190,7 @@ class _Maker:
             street = f"{r.choice(('', '', '', 'N. ', 'W. ', 'East ', 'Old '))}{r.choice((r.choice(_EN_STREETS), self.syllables(), r.choice(_EN_STREETS)))} {r.choice(_EN_TYPES)}"
             unit = r.choice((f"Apt {flat}", f"Apt. {flat}{letter.upper()}", f"Flat {flat}", f"Unit {flat}", f"Suite {f('###')}", f"#{flat}", f"Floor {r.randrange(1, 20)}"))
             code = r.choice((f" {zip5}", f" {r.choice(('NV', 'TX', 'CA', 'OH', 'NY', 'WA'))} {zip5}", f", {r.choice(('NV', 'TX', 'CA', 'OH', 'NY', 'WA'))} {zip5}", f" {zip5}-{f('####')}")) if kind == "us" else r.choice((" ", ", ")) + f(r.choice(("@@# #@@", "@## #@@", "@@## #@@", "@@#@ #@@")))
-            return r.choice((f"{num} {street}", f"{num} {street}", f"{num} {street}", f"{num} {street}, {town}", f"{num} {street}, {town}{code}", f"{num} {street}, {town}{code}", f"{num} {street}, {unit}", f"{num} {street}, {unit}, {town}", f"{num} {street}, {unit}, {town}{code}", f"{unit}, {num} {street}, {town}{code}", f"{unit}, {num} {street}, {town}", f"{unit}, {num} {street}", f"{num} {street} {unit}, {town}{code}"))
+            return r.choice((f"{num} {street}", f"{num} {street}", f"{num} {street}", f"{num} {street}, {town}", f"{num} {street}, {town}{code}", f"{num} {street}, {town}{code}", f"{num} {street}, {unit}, {town}", f"{num} {street}, {unit}, {town}", f"{num} {street}, {unit}, {town}{code}", f"{unit}, {num} {street}, {town}{code}", f"{unit}, {num} {street}, {town}", f"{unit}, {num} {street}, {town}", f"{num} {street} {unit}, {town}{code}"))
         if kind in ("de", "nl"):
             street = r.choice((r.choice(_DE_STEMS) + r.choice(_DE_ENDS), r.choice(_DE_STEMS) + r.choice(_DE_ENDS), self.syllables() + r.choice(_DE_ENDS), f"{r.choice(('Alte', 'Am', 'An der', 'Große', 'Lange'))} {r.choice(_DE_STEMS)}{r.choice(_DE_ENDS)}")) if kind == "de" else self.syllables() + r.choice(("straat", "laan", "weg", "gracht", "plein"))
             num = n + r.choice(("", letter, " " + letter if letter else ""))
