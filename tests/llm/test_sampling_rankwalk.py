@@ -84,7 +84,7 @@ def test_no_score_rules_by_range(spark):
 
 def test_rank_walk_edges(spark):
     nan = float("nan")
-    df = spark.createDataFrame([("g", 1, "a", 1.0, nan), ("g", 1, "a", 0.5, None), ("g", 1, "b", 1.0, 2.0), (None, 1, "c", nan, None), ("g", 1, None, 5.0, 5.0)], "g string, y int, item string, s double, t double").selectExpr("*", "1 as stationary", "2 as place")
+    df = spark.createDataFrame([("g", 1, "a", 1.0, nan), ("g", 1, "a", 0.5, None), ("g", 1, "b", 1.0, 2.0), (None, 1, "c", nan, None), ("g", 1, None, 5.0, 5.0)], "g string, y int, item string, s double, t double").selectExpr("*", "1 as stationary", "2 as place", "3 as size")
     got = {(r.g, r.item): r for r in rankwalk.rank_walk(df, ["g", "y"], "item", ["s", "t"]).collect()}
     assert set(got) == {("g", "a"), ("g", "b"), (None, "c")}
     assert got["g", "a"].above_s == 0 and got["g", "a"].above_t == -1 and got[None, "c"].above_s == -1

@@ -110,7 +110,7 @@ def _spread_walk(rows: DataFrame, k: int, damping: float, steps: int, tolerance:
             break
     for values in tables:
         forget(values)
-    return p.select("grp", "item", F.col("p").alias("stationary"), *(F.coalesce(f"above{s}", F.lit(-1)).cast("long").alias(f"above{s}") for s in range(k)))
+    return p.select("grp", "item", F.col("n").cast("int").alias("size"), F.col("p").alias("stationary"), *(F.coalesce(f"above{s}", F.lit(-1)).cast("long").alias(f"above{s}") for s in range(k)))
 
 
 def _spread_places(walked: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _spread_places(walked: DataFrame) -> DataFrame:
 
 
 def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[str], damping: float = DAMPING, group_rows: int = GROUP_ROWS, steps: int = STEPS) -> DataFrame:
-    """groups, item, place, stationary and above_<score> (how many items of the group exceed it; -1: it has no score).
+    """groups, item, place, size (of the group), stationary and above_<score> (how many items of the group exceed it; -1: it has no score).
 
     place counts from 1 by falling stationary share (rounded to 12 digits), ties by smaller item. Null and NaN are no
     score and exceed nothing. Null items are left out; null group values form a group of their own; of repeated
@@ -138,7 +138,7 @@ def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[
     rows = rows.groupBy("grp", "item").agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(k)))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
     huge = [r.grp for r in sizes.where(F.col("size") > group_rows).collect()]  # fewer than all rows / group_rows
-    schema = T.StructType([rows.schema["grp"], T.StructField("item", T.StringType()), T.StructField("stationary", T.DoubleType()), *(T.StructField(f"above{i}", T.LongType()) for i in range(k)), T.StructField("place", T.IntegerType())])
+    schema = T.StructType([rows.schema["grp"], T.StructField("item", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("stationary", T.DoubleType()), *(T.StructField(f"above{i}", T.LongType()) for i in range(k)), T.StructField("place", T.IntegerType())])
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("item", kind="stable")
@@ -146,7 +146,7 @@ def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[
         p = np.round(p, 12)
         place = np.empty(len(f), np.int32)
         place[np.argsort(-p, kind="stable")] = np.arange(1, len(f) + 1)  # items are in order
-        return pd.DataFrame({"grp": [key[0]] * len(f), "item": f["item"], "stationary": p, **{f"above{i}": above[:, i] for i in range(k)}, "place": place})
+        return pd.DataFrame({"grp": [key[0]] * len(f), "item": f["item"], "size": np.int32(len(f)), "stationary": p, **{f"above{i}": above[:, i] for i in range(k)}, "place": place})
 
     if huge:
         is_huge = F.lit(False)
@@ -159,7 +159,7 @@ def rank_walk(df: DataFrame, groups: Sequence[str], item: str, scores: Sequence[
         walked = rows.where(~is_huge).groupBy("grp").applyInPandas(one, schema).unionByName(_spread_places(spread))
     else:
         walked = rows.groupBy("grp").applyInPandas(one, schema)
-    return walked.select(*(F.col(f"grp.`{g}`").alias(g) for g in groups), F.col("item").alias(item), "place", "stationary", *(F.col(f"above{i}").alias(f"above_{c}") for i, c in enumerate(scores)))
+    return walked.select(*(F.col(f"grp.`{g}`").alias(g) for g in groups), F.col("item").alias(item), "place", "size", "stationary", *(F.col(f"above{i}").alias(f"above_{c}") for i, c in enumerate(scores)))
 
 
 def leaders(ranked: DataFrame, groups: Sequence[str], item: str, scores: Sequence[str], least: int = 10, exceeded: int = 3, of: int = 3) -> DataFrame:
@@ -168,10 +168,4 @@ def leaders(ranked: DataFrame, groups: Sequence[str], item: str, scores: Sequenc
     These counts are those by which the walk jumps; the ranking of the same result puts the leaders into the first places of
     their group (see the tests)."""
     close = sum(((F.col(f"above_{c}") >= 0) & (F.col(f"above_{c}") < exceeded)).cast("int") for c in scores)
-    # the lowest place of a group is its size: one row has it, so no window sees a group
-    sized = ranked.where(F.col("place") == least).select(*groups, F.lit(True).alias("__large"))
-    same = lambda g: F.col(f"a.`{g}`").eqNullSafe(F.col(f"b.`{g}`"))
-    on = same(groups[0])
-    for g in groups[1:]:
-        on = on & same(g)
-    return ranked.where(close >= of).alias("a").join(sized.alias("b"), on, "left_semi").select(*groups, item)
+    return ranked.where((F.col("size") >= least) & (close >= of)).select(*groups, item)
