@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +16,15 @@ STOP = (
 ).split()
 TOKEN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 TITLE_CHARS, TITLE_TOKENS = 4096, 128
+# fixed values: the longer English stop list and the ASCII tokens of the first prototype
+PROTOTYPE_STOP = (
+    "a an the of for and or in on to with by from using based via as at is are was were be been this that these those we our their its it his her they he she you your not no non can could may might "
+    "new novel study studies research analysis approach method methods model models system systems paper article review survey towards toward use uses used case cases results result data "
+    "between during under over about into through than then them us all any each more most other others such which who whom whose what when where why how have has had do does did but if than so "
+    "one two three first second third high low large small good better best big application applications framework technique techniques design development evaluation performance "
+    "comparison comparative effect effects impact role state art review overview introduction chapter"
+).split()
+PROTOTYPE_TOKEN = r"[a-z][a-z0-9\-\+]{1,}"
 # fixed values: English words that end in s without being plurals
 SINGULAR = "analysis bus gas lens series bias physics mathematics statistics genesis basis corpus".split()
 
@@ -30,16 +39,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def ngrams(title: Column, low: int = 2, high: int = 4) -> Column:
+def ngrams(title: Column, low: int = 2, high: int = 4, stop: Sequence[str] = STOP, token: str = TOKEN) -> Column:
     """Distinct contiguous n-grams of the bounded title: no stop word at an edge, at most size - 2 inside, not all words of one
     or two letters. Null and short titles give the empty list."""
-    t = F.slice(tokens(F.substring(F.coalesce(title, F.lit("")), 1, TITLE_CHARS)), 1, TITLE_TOKENS)
+    t = F.slice(F.regexp_extract_all(F.lower(F.substring(F.coalesce(title, F.lit("")), 1, TITLE_CHARS)), F.lit(token), F.lit(0)), 1, TITLE_TOKENS)
 
     def of(w: Column, size: int) -> Column:
         starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
         good = F.filter(
             F.transform(starts, lambda i: F.slice(w, i, size)),
-            lambda g: ~F.get(g, F.lit(0)).isin(*STOP) & ~F.get(g, F.lit(size - 1)).isin(*STOP) & (F.size(F.filter(g, lambda x: x.isin(*STOP))) <= size - 2) & F.exists(g, lambda x: F.length(x) > 2),
+            lambda g: ~F.get(g, F.lit(0)).isin(*stop) & ~F.get(g, F.lit(size - 1)).isin(*stop) & (F.size(F.filter(g, lambda x: x.isin(*stop))) <= size - 2) & F.exists(g, lambda x: F.length(x) > 2),
         )
         return F.transform(good, lambda g: F.array_join(g, " "))
 

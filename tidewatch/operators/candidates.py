@@ -99,6 +99,26 @@ def integrity(candidates: DataFrame, cand_docs: DataFrame, works: DataFrame) ->
     return out
 
 
+def filter_clusters(clusters: DataFrame, links: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) of clusters (cand_id, label, emb_row): a cluster stays if one of its titles has a technology marker; rows of
+    its vectors are numbered anew without gaps, in the order they had."""
+    titles = works.select("doc_id", technology_reason(F.col("title")).isNull().alias("technical"))
+    marked = links.join(titles, "doc_id").groupBy("cand_id").agg(F.bool_or("technical").alias("technical"))
+    judged = clusters.join(marked, "cand_id", "left").withColumn("technical", F.coalesce("technical", F.lit(False)))
+    dense = F.row_number().over(Window.orderBy("emb_row", "cand_id")) - 1  # clusters are few
+    kept = judged.where("technical").withColumn("emb_row", dense).drop("technical")
+    return kept, judged.where(~F.col("technical")).select("cand_id", "label", F.lit("no technology marker").alias("reason"))
+
+
+def check_terms(kept: DataFrame, links: DataFrame) -> DataFrame:
+    """(rule, violations): the counts of exported terms are those of their links."""
+    per = links.groupBy("cand_id").agg(F.count("*").alias("k"), (F.count("*") - F.count_distinct("doc_id")).alias("twice"))
+    joined = kept.select("cand_id", "n_docs").join(per, "cand_id", "full")
+    return joined.agg(
+        F.abs(F.coalesce(F.sum("n_docs"), F.lit(0)) - F.coalesce(F.sum("k"), F.lit(0))).alias("a"), F.count_if(~F.col("n_docs").eqNullSafe(F.col("k"))).alias("b"), F.coalesce(F.sum("twice"), F.lit(0)).alias("c"),
+    ).select(F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(c).cast("long").alias("violations")) for c, rule in (("a", "sum of counts is the number of links"), ("b", "each count is its links"), ("c", "a link stands once"))))))
+
+
 def rising_terms(works: DataFrame, cutoff: int, recent: int, min_recent: int, top: int) -> DataFrame:
     """(term, recent, old, lift): n-grams frequent in the last ``recent`` years and rare before, by lift x ln(1 + recent).
 

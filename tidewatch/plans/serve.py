@@ -62,6 +62,27 @@ def methodology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "part string, name string, value double")
 
 
+def page(rows: DataFrame, order: list, first: int, size: int) -> DataFrame:
+    """Rows first.. (from 0) of an order, size of them; a sorted take that skips, not a sort of all."""
+    return rows.orderBy(*order).offset(first).limit(size)
+
+
+def domains(table: DataFrame) -> DataFrame:
+    """(domain, cutoffs, n_trends, newest)."""
+    return table.groupBy("domain").agg(F.count_distinct("as_of").alias("cutoffs"), F.count_distinct("trend_id").alias("n_trends"), F.max("as_of").alias("newest"))
+
+
+def prompts(trends: DataFrame, works: DataFrame, chars: int = 400) -> DataFrame:
+    """(trend_id, prompt): label and documents (at most 20 a trend) in their order, abstracts cut at ``chars`` characters; for one
+    document alone a note that nothing more general follows from it."""
+    asked = trends.select("trend_id", "label", F.posexplode("top_doc_ids").alias("pos", "doc_id"))
+    cut = F.when(F.coalesce("abstract", F.lit("")) != "", F.concat(F.lit("\n  "), F.substring("abstract", 1, chars))).otherwise("")
+    line = F.concat(F.lit("["), "doc_id", F.lit("] ("), F.col("year").cast("string"), F.lit(") "), "title", cut)
+    found = asked.join(works.select("doc_id", line.alias("line")), "doc_id").groupBy("trend_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("d"))
+    note = F.when(F.size("d") == 1, "Only one document is known; say so.").otherwise(F.concat(F.size("d").cast("string"), F.lit(" documents; say what several of them support.")))
+    return found.select("trend_id", F.concat(F.lit("Topic: "), "label", F.lit("\n"), note, F.lit("\n"), F.array_join(F.transform("d", lambda x: x.line), "\n")).alias("prompt"))
+
+
 def prompt(label: str, rows: list[dict]) -> str:
     """Numbered context for a card; abstracts are cut at 400 characters."""
     lines = [f"[{i}] {r['title']} ({r['year']})\n{(r.get('abstract') or '')[:400]}" for i, r in enumerate(rows, 1)]

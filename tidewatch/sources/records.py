@@ -6,7 +6,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)
 
 
+def first_url(urls: Column) -> Column:
+    """The first http(s) URL with a host of an array, null without one."""
+    return F.try_element_at(F.filter(urls, lambda u: u.rlike(r"^https?://[^/?#\s]+")), F.lit(1))
+
+
 def normalise_records(records: DataFrame, domain: str, harvested_at: str) -> DataFrame:
     """Catalogue records to works: lists are distinct and sorted, countries upper case of two letters, the first http(s) URL
     with a host wins, abstracts are rebuilt from the inverted index. Records without title, year or id go."""
@@ -55,7 +60,7 @@ def normalise_records(records: DataFrame, domain: str, harvested_at: str) -> Dat
     works = records.where(short.rlike(r"^W[0-9]+$") & F.col("title").isNotNull() & F.col("publication_year").isNotNull()).select(
         F.concat(F.lit("openalex:"), short).alias("doc_id"), F.lit("openalex").alias("source"), F.coalesce("type", F.lit("article")).alias("doc_type"), "title", abstract_of(F.col("abstract_inverted_index")).alias("abstract"),
         F.col("publication_year").alias("year"), F.col("publication_date").alias("date"), F.col("language").alias("lang"), F.regexp_replace("doi", r"^https?://(dx\.)?doi\.org/", "").alias("doi"),
-        F.try_element_at(F.filter(urls, lambda u: u.rlike(r"^https?://[^/?#\s]+")), F.lit(1)).alias("url"), F.col("cited_by_count").alias("cited_by"),
+        first_url(urls).alias("url"), F.col("cited_by_count").alias("cited_by"),
         names(F.filter(F.transform(countries, F.upper), lambda c: c.rlike("^[A-Z]{2}$"))).alias("countries"), names(F.flatten(F.transform(authorships, lambda a: F.coalesce(F.transform(a.institutions, lambda i: i.display_name), F.array().cast("array<string>"))))).alias("institutions"),
         names(F.transform(authorships, lambda a: a.author.display_name)).alias("authors"), names(F.transform("concepts", lambda x: x.display_name)).alias("concepts"), F.lit(domain).alias("domain"), F.lit(harvested_at).alias("harvested_at"),
     )

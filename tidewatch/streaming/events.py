@@ -34,13 +34,17 @@ def session_of(spark: SparkSession) -> SparkSession:
 
 
 def source(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """A stream of the files of a folder or of one file, with ts as an instant of the session's zone."""
+    """A stream of events, with ts as an instant of the session's zone."""
+    return rows_of(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def rows_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of the files of a folder or of one file."""
     spark = session_of(spark)
     folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema)
     single = name.endswith(".parquet") and not _is_folder(spark, path)
-    rows = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
