@@ -30,7 +30,8 @@ def test_sentences_of_another_seed(model):
     assert recall > 0.94 and precision > 0.94  # same templates: no measure of other texts
 
 
-# sentences worded unlike the templates, people mostly outside every list; what is in [[kind ]] is to be found
+# sentences worded unlike the templates, people mostly outside every list; what is in [[kind ]] is to be found. About a third
+# of them were looked at while the templates were written, those of HELD never
 OTHER = [
     "Yesterday [[name Siobhan Fitzgerald]] joined us for lunch.", "I spoke to [[name Priya Raman]] about the outage.", "It is a thoughtful paper by [[name Lars Holmgren]], I think.", "Our plumber, [[name Gareth Pugh]], charges too much.", "Ballots were counted by [[name Maeve Brannigan]] and [[name Robert Ellery]].",
     "Judge [[name Thomas Aldous]] adjourned the trial.", "[[name Susan Tremlett]]’s bakery won again.", "Nominees: [[name Victoria Stroud]], [[name Oscar Lindgren]]", "Dr. [[name Pavel Hrubý]] prescribed rest.", "thesis advisor [[name M. Okonkwo]] left", "Signed, [[name J. R. Hartley]]", "Goal by [[name Elizabeth Cray]]!",
@@ -43,9 +44,20 @@ OTHER = [
 ]
 
 
+HELD = [
+    "The ferry captain, [[name Dimitra Kostas]], refused to sail.", "Could [[name Nadia Petrosyan]] or [[name Owen Gallagher]] open the store tomorrow?", "[[name Ravi Shankaran]] came third in the marathon.", "Applause for [[name Hannelore Voigt]], our oldest member!", "the estate of [[name G. W. Thornbury]]", "Coach [[name Matías Quiroga]] resigned on Sunday.", "Story and drawings: [[name Saoirse Kinsella]]", "[[name Pavel Dolezal]] sold the barn to [[name Thomas Greaves]].",
+    "Тренер [[name Виталий Сорокин]] доволен игрой.", "Билеты купили [[name Гордеев П. С.]] и [[name Лыкова Н. А.]]", "Die Geigerin [[name Mechthild Osterkamp]] spielte Bach.", "Le maire, [[name Thibault Garnier]], a promis un pont.", "La panadera [[name Asunción Robles]] abre a las seis.", "Il fornaio [[name Ettore Bellandi]] chiude presto.", "Piekarz [[name Zdzisław Krupa]] wstaje o trzeciej.", "O padeiro [[name Anselmo Queirós]] acorda cedo.", "经理[[name 徐志远]]批准了预算。",
+    "Mail the cheque to [[address 1200 Pinecrest Drive, Boise, ID 83702]].", "She rents [[address Flat 3, 9 Abbey Crescent, York]] with two friends.", "Treffpunkt ist die [[address Lindenallee 44, 10115 Berlin]].", "Nous sommes au [[address 3 place Carnot, 69002 Lyon]].", "La farmacia di [[address corso Italia 15, 50123 Firenze]] è aperta.", "Склад находится по адресу [[address ул. Садовая, 18, оф. 5]].", "Biuro: [[address al. Jerozolimskie 99/12, 02-001 Warszawa]]", "快递送到[[address 海宁区文化路120号5栋301室]]了。",
+    "If lost, ring [[phone 0117 496 0123]] please.", "Office line [[phone +1-303-555-0147]], ext. none", "Chiama [[phone 347 1234567]] dopo cena.", "Llama al [[phone 612 34 56 78]] mañana.", "Звонить [[phone 8 (812) 555-35-35]].", "Durchwahl [[phone (0711) 34 56 78]]",
+    "Replies go to [[email t.marsh+jobs@hollow-oak.co.uk]], no calls.", "reach us: [[email help (at) sunflower (dot) org]]", "Scrivi a [[email lucia.ferri@posta.example]] subito.", "her contact is [[email k.ivanova at bigmail dot net]]",
+    "Kennitala aside, her passport no. [[identity PA4471902]] was copied.", "Numéro de sécurité sociale : [[identity 2 84 05 75 116 042]].", "Il codice fiscale [[identity RSSMRA80A01H501U]] non è valido.", "ИНН [[identity 772012345678]] указан в договоре.", "Quote NI number [[identity QQ123456C]] on the form.",
+    "The Brandenburg Gate was lit up in blue.", "Chapter 12: The Long Road Home", "Ticket 88231-7 was refunded.", "Ada said that Grace was late again.", "Version 3.12.4 fixes bug 10233.", "Mount Rainier National Park reopens in June.", "Der Rhein und die Elbe führen Hochwasser.", "La Tour Eiffel attire les foules.", "The Hubble constant is disputed.", "invoice 20230914-77 is overdue", "GET /api/v2/users/48213 HTTP/1.1", "Общий объём составил 12 450 000 рублей.", "The Stern-Gerlach experiment came first.", "Follow @northern_lights42 for pictures.", "2023-11-05 14:22:10 WARN disk 91% full", "本届大会在上海召开，参会人数超过三千。",
+]
+
+
 def marked(text):
     out, spans, at = "", [], 0
-    for m in re.finditer(r"\[\[(\w+) (.*?)\]\](?!\w|\[)", text):
+    for m in re.finditer(r"\[\[(\w+) (.*?)\]\](?![A-Za-z0-9\[])", text):
         out += text[at : m.start()]
         spans.append((len(out), len(out) + len(m[2]), m[1]))
         out += m[2]
@@ -60,6 +72,13 @@ def test_other_texts(model):
     assert recall >= 0.9 and precision >= 0.9
 
 
+def test_texts_never_looked_at(model):
+    """Measured once after the field was finished: recall 0.86, precision 0.97; what is missed are people of no list without a
+    title, a verb of speech or the like beside them."""
+    recall, precision = counted(model, [marked(t) for t in HELD])
+    assert recall >= 0.75 and precision >= 0.9
+
+
 def test_training_text_is_not_that_of_the_documents():
     """No piece of 12 letters or more between the slots of a template stands in the documents of sf0.1."""
     texts = "\n".join(x for (x,) in duckdb.sql(f"SELECT text FROM '{DATA}/sf0.1/documents.parquet' WHERE text IS NOT NULL").fetchall())
