@@ -210,3 +210,13 @@ def test_too_long_a_list_of_nicknames_is_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries_d.names, "NICKNAMES", 2)
     with pytest.raises(ValueError):
         queries_d.field_of(spark, str(tmp_path))
+
+
+def test_fit_is_the_same_in_every_process():
+    import os
+    import subprocess
+    import sys
+
+    code = "from tidewatch.llm import pii, pii_training as t; m = pii.SegmentField(pii.Lexicon(['Anna'])).train(t.examples(['Anna'], 120), rounds=2); print(round(float(abs(m.tables['token']).sum()), 3), len(m.features))"
+    out = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": seed}, cwd=os.getcwd(), capture_output=True, text=True).stdout for seed in ("1", "2")}
+    assert len(out) == 1 and out != {""}

@@ -236,7 +236,7 @@ class SegmentField:
     # ---- tokens
     def _ids(self, tokens: list[str]) -> np.ndarray:
         seen = self._seen
-        for t in set(tokens).difference(seen):
+        for t in sorted(set(tokens).difference(seen)):  # features are numbered alike in every process
             kind, names, counts = describe(t, self.lexicon)
             if self.growing:
                 rows = [self.features.setdefault(n, len(self.features)) for n in names]
