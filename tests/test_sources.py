@@ -37,6 +37,25 @@ def test_batch_reads_every_page_in_a_task_of_its_own(spark, tmp_path):
     assert spark.read.format("paged_records").load(str(tmp_path / "none")).count() == 0
 
 
+def test_sheet_by_headings_and_matrix(spark, tmp_path):
+    import zipfile
+
+    import numpy as np
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda at, text: f'<c r="{at}" t="inlineStr"><is><t>{text}</t></is></c>'
+    rows = {1: {"A": "notes"}, 2: {"B": "name", "D": " kind "}, 3: {"B": "x", "D": "1"}, 4: {"A": "only a note"}, 5: {"D": "2"}}
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{n}">' + "".join(cell(f"{c}{n}", v) for c, v in r.items()) + "</row>" for n, r in rows.items()) + "</sheetData></worksheet>")
+    assert records.read_table(str(tmp_path / "a.xlsx"), ["kind", "name"]) == [{"kind": "1", "name": "x"}, {"kind": "2", "name": None}]
+    with pytest.raises(ValueError):
+        records.read_table(str(tmp_path / "a.xlsx"), ["absent"])
+    m = np.random.default_rng(1).random((7, 3)).astype(np.float32)
+    np.save(tmp_path / "m.npy", m)
+    got = {r.row: r.vector for r in records.read_matrix(spark, str(tmp_path / "m.npy"), 3).collect()}
+    assert sorted(got) == list(range(7)) and all(np.allclose(got[i], m[i]) for i in got)
+
+
 @pytest.mark.parametrize("body,want", [
     ('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">A</title><link rel="self" href="https://a.example/self"/><link href="https://a.example/1"/><updated>2026-04-16T01:27:37Z</updated></entry><entry><title>B</title><link rel="alternate" href="https://a.example/2"/><published>2026-04-15T00:00:00Z</published><updated>2026-04-16T01:27:37Z</updated></entry><entry><title>C</title><link href="https://a.example/3"/></entry></feed>',
      [("A", "https://a.example/1", "2026-04-16T01:27:37Z"), ("B", "https://a.example/2", "2026-04-15T00:00:00Z")]),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text
-from tidewatch.operators import candidates, sampling
+from tidewatch.operators import candidates, sampling, score
 from tidewatch.plans import serve
 from tidewatch.plans.reference_queries import DOMAIN, _pool, works
-from tidewatch.plans.reference_sql import _NGRAM, _ONE, _POOL, _W, _marker, _with
+from tidewatch.plans.reference_sql import _FRAG, _HEADWORDS, _WORDS, _NGRAM, _ONE, _POOL, _W, _marker, _with
 from tidewatch.operators import series
 from tidewatch.runtime import read
-from tidewatch.sources import records
+from tidewatch.sources import publish, records
 from tidewatch.streaming import events
 
 TERM, POOL, CUTOFFS = "swarm control", ["swarm control", "tactile sensors", "edge inference", "nothing of the kind"], (2024, 2026)
@@ -89,6 +89,28 @@ def filter_clusters(s, d):
     return kept.select("cand_id", "emb_row", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("cand_id", F.lit(None).cast("int").alias("emb_row"), "reason"))
 
 
+def _made_pool(s, d):
+    """A row a candidate with figures made from it, so that every reason holds somewhere."""
+    n, k = F.col("n_docs"), F.length("label")
+    rows = read(s, d, "candidates").groupBy("cand_id").agg(F.min("label").alias("label"), F.max("n_docs").alias("n_docs"))
+    return rows.select("cand_id", F.when(k % 9 == 0, F.concat(F.lit("the "), "label")).otherwise(F.col("label")).alias("label"), (n * 3).alias("counts_recent"), (k % 11).alias("age"), (k % 7).alias("active_years"), (n % 11 / 10).alias("last_year_share"), (n % 13).alias("n_countries"), (k % 5).alias("n_domains"), (n % 4 / 4).alias("trusted_share"), (k % 30).alias("months"), ((n % 9) / 50).alias("growth"), (n * 700).cast("long").alias("science_10y"))
+
+
+def reject_rules(s, d):
+    return _made_pool(s, d).select("cand_id", score.reject_reason().alias("reason"))
+
+
+def reject_rules_live(s, d):
+    rows = _made_pool(s, d).withColumn("age", F.col("months")).withColumn("counts_recent", F.floor(F.col("counts_recent") / 30))
+    return rows.select("cand_id", score.reject_reason_live(phrases=("crop monitoring",)).alias("reason"), score.confidence_live(F.col("counts_recent"), F.col("n_domains"), F.col("active_years")).alias("confidence"))
+
+
+def embed_guard(s, d):
+    """Digest of what vectors were made of, in the order of their rows: vectors of another digest don't fit."""
+    rows = read(s, d, "candidates").where("emb_row is not null").groupBy("emb_row").agg(F.min("cand_id").alias("cand_id"), F.min("label").alias("label"))
+    return publish.fingerprint(rows.select(F.concat_ws("|", F.col("emb_row").cast("string"), "cand_id", "label").alias("line")))
+
+
 def export_terms(s, d):
     kept, links, _ = candidates.extract_terms(works(s, d, "title", "domain").where(F.col("domain") == DOMAIN), DOMAIN, 2)
     return candidates.check_terms(kept, links)
@@ -115,6 +137,8 @@ NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__
 QUERIES = {n: globals()[n] for n in NAMES}
 _P = f"regexp_extract_all(lower(substr(title, 1, 4096)), '{text.PROTOTYPE_TOKEN}')"
 _PS = "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(text.PROTOTYPE_STOP)) + ")"
+_MADE = f"""c AS (SELECT cand_id, min(label) AS l, max(n_docs) AS n FROM candidates GROUP BY 1), d AS (SELECT *, length(l) AS k, CASE WHEN length(l) % 9 = 0 THEN concat('the ', l) ELSE l END AS label FROM c),
+made AS (SELECT cand_id, label, n * 3 AS counts_recent, k % 11 AS age, k % 7 AS active_years, (n % 11) / 10.0::DOUBLE AS last_year_share, n % 13 AS n_countries, k % 5 AS n_domains, (n % 4) / 4.0::DOUBLE AS trusted_share, k % 30 AS months, (n % 9) / 50.0::DOUBLE AS growth, (n * 700)::BIGINT AS science, {_WORDS} AS ws FROM d)"""
 SQL = {
     "limit_top": _with(_ONE) + "SELECT trend_id, rank FROM t1 WHERE rank <= 5",
     "page_slice": _with(_ONE) + "SELECT trend_id, rank FROM t1 ORDER BY rank, trend_id LIMIT 40 OFFSET 5",
@@ -135,6 +159,12 @@ SELECT trend_id, concat('Topic: ', label, chr(10), CASE WHEN n = 1 THEN 'Only on
     "filter_clusters": _with(_W) + f""", c AS (SELECT cand_id, min(emb_row) AS emb_row FROM candidates WHERE kind = 'cluster' GROUP BY 1),
 m AS (SELECT cand_id, bool_or(regexp_matches(t, '{_marker(text.TECHNOLOGY)}') AND NOT regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}-])(neural|artificial|convolutional|recurrent)[^\\p{{L}}\\p{{N}}]*$')) AS ok FROM cand_docs JOIN (SELECT doc_id, regexp_replace(trim(lower(title)), '\\s+', ' ', 'g') AS t FROM w) USING (doc_id) GROUP BY 1)
 SELECT cand_id, CASE WHEN coalesce(ok, false) THEN (row_number() OVER (PARTITION BY coalesce(ok, false) ORDER BY emb_row NULLS FIRST, cand_id) - 1)::INTEGER END AS emb_row, CASE WHEN coalesce(ok, false) THEN NULL ELSE 'no technology marker' END AS reason FROM c LEFT JOIN m USING (cand_id)""",
+    "embed_guard": "WITH l AS (SELECT concat_ws('|', emb_row, min(cand_id), min(label)) AS line FROM candidates WHERE emb_row IS NOT NULL GROUP BY emb_row) SELECT count(*) AS n_rows, sum(('0x' || substr(sha256(line), 1, 12))::BIGINT)::VARCHAR AS digest FROM l",
+    "reject_rules": f"WITH {_MADE} SELECT cand_id, CASE WHEN {_FRAG} THEN 'phrase fragment' WHEN counts_recent < 20 THEN 'too little data' WHEN age > 8 THEN 'too old' WHEN active_years < 3 THEN 'one-year spike' WHEN last_year_share > 0.8::DOUBLE AND n_countries < 10 THEN 'bulk dump' WHEN n_countries < 5 THEN 'no geographic spread' END AS reason FROM made",
+    "reject_rules_live": f"""WITH {_MADE}, lv AS (SELECT * REPLACE (counts_recent // 30 AS counts_recent), list_distinct(list_transform(list_filter(regexp_split_to_array(replace(lower(label), '-', ' '), '\\s+'), lambda x: length(x) >= 3), lambda x: substr(x, 1, 4))) AS st FROM made)
+SELECT cand_id, CASE WHEN len(st) > 0 AND len(list_filter(st, lambda x: x NOT IN ('crop', 'moni'))) = 0 THEN 'the topic of the query' WHEN len(ws) > 1 AND (ws[1] IN {_HEADWORDS} OR ws[-1] IN {_HEADWORDS}) THEN 'headline fragment' WHEN science > 10000 THEN concat('studied widely: ', replace(format('{{:,}}', science), ',', ' '), ' works in 10 years')
+WHEN counts_recent < 2 THEN 'single mention' WHEN months > 24 THEN 'too old' WHEN n_domains < 2 THEN 'one publisher' WHEN trusted_share < 0.34::DOUBLE THEN 'indicator sources only' WHEN months >= 18 AND growth <= 0.03::DOUBLE THEN 'plateau' END AS reason,
+CASE WHEN counts_recent < 4 OR active_years < 3 THEN 'low' WHEN counts_recent >= 15 AND n_domains >= 8 THEN 'high' WHEN counts_recent >= 6 AND n_domains >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM lv""",
     "export_terms": "SELECT * FROM (VALUES ('sum of counts is the number of links', 0::BIGINT), ('each count is its links', 0), ('a link stands once', 0)) t(rule, violations)",
     "demo_documents": _with(_W) + ", p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in POOL) + f"]) AS term), c AS (SELECT unnest([{CUTOFFS[0]}, {CUTOFFS[1]}]) AS as_of)\nSELECT term, as_of, (row_number() OVER (PARTITION BY term, as_of ORDER BY year DESC, cited_by DESC NULLS LAST, doc_id))::INTEGER AS place, doc_id FROM w, p, c WHERE year <= as_of AND (contains(lower(title), term) OR contains(lower(abstract), term)) QUALIFY place <= 20",
     "stream_term_counts": "WITH " + _NGRAM.replace("FROM w)", "FROM w)").replace(_W, "w AS (SELECT row_number() OVER () AS doc_id, title FROM works)") + " SELECT term, count(*) AS n FROM ng GROUP BY 1 HAVING count(*) >= 20",

@@ -6,6 +6,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +113,34 @@ def news_works(rows: DataFrame, domain: str, harvested_at: str) -> DataFrame:
     )
 
 
+def read_table(path: str, names: list[str], header_row: int = 2) -> list[dict[str, str | None]]:
+    """Rows of the first sheet below a row of headings, by heading; a missing heading is an error, blank rows go."""
+    letters = [chr(65 + i) for i in range(26)] + [chr(65 + i) + chr(65 + j) for i in range(26) for j in range(26)]
+    rows = read_sheet(path, {x: x for x in letters}, header_row)
+    at = {(rows[0].get(x) or "").strip(): x for x in letters} if rows else {}
+    if missing := [n for n in names if n not in at]:
+        raise ValueError(f"{path} has no column {missing}")
+    out = [{n: r[at[n]] for n in names} for r in rows[1:]]
+    return [r for r in out if any(r.values())]
+
+
+def read_matrix(spark: SparkSession, path: str, rows_a_part: int = 50_000) -> DataFrame:
+    """(row, vector) of a two-dimensional .npy file in a shared folder; each task reads a range of its rows."""
+    import numpy as np
+
+    rows, width = np.load(path, mmap_mode="r").shape
+    parts = max(1, -(-rows // rows_a_part))
+
+    def run(frames):
+        matrix = np.load(path, mmap_mode="r")
+        for f in frames:
+            for first in f["id"].tolist():
+                block = np.asarray(matrix[first * rows_a_part : (first + 1) * rows_a_part], np.float32)
+                yield pd.DataFrame({"row": np.arange(len(block), dtype=np.int64) + first * rows_a_part, "vector": list(block)})
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, "row long, vector array<float>")
+
+
 def read_sheet(path: str, columns: dict[str, str], first_row: int = 2) -> list[dict[str, str | None]]:
     """Rows of the first sheet of an .xlsx file, by column letter; shared and inline strings. For lists kept by people."""
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
