@@ -119,7 +119,7 @@ def test_marginals_and_best_equal_enumeration():
         score = {}
         flat, gaps = np.concatenate([[0] * 6, ids, [0] * 6]), np.concatenate([[0] * 6, gap, [0] * 6])
         a, b, cls = field._ends(flat, gaps)
-        sums = np.concatenate([np.zeros((1, len(pii._COUNTERS)), int), np.cumsum(np.array(field._counts)[flat], 0)])
+        sums = np.concatenate([np.zeros((1, len(pii._COUNTERS)), int), np.cumsum(field._known()[1][flat], 0)])
         spaces = np.concatenate([[0], np.cumsum(gaps > 0)])
         for k, kind in enumerate(pii.KINDS):
             for size in range(1, longest[kind] + 1):

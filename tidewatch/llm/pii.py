@@ -141,7 +141,7 @@ _GRAMMAR = {
     "phone": [re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-])")],
 }
 # what a text that a grammar reads holds at least
-_HINTS = {"email": [re.compile(r"\w@\w"), re.compile(r"＠| @|@ |[\[({<] ?(?:at|AT|@|собака) ?[\])}>]|(?= (?:at|AT|собака) )(?=.{1,200} (?:dot|DOT|точка) )")], "phone": [re.compile(r"\+\d")]}
+_HINTS = {"email": [re.compile(r"\w@\w"), re.compile(r"＠| @|@ |[\[({<] ?(?:at|AT|@|собака) ?[\])}>]| (?:dot|DOT|точка) ")], "phone": [re.compile(r"\+\d")]}
 
 
 def grammar(text: str, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -225,13 +225,18 @@ class SegmentField:
 
     def _reset(self) -> None:
         self._seen.clear()
-        self._class, self._feats, self._counts, self._scores = [_BREAK], [[0]], [[0] * len(_COUNTERS)], None
+        self._class, self._feats, self._counts = [_BREAK], [[0]], [[0] * len(_COUNTERS)]
+        self._arrays, self._filled = self._empty(), 0
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros((0, len(_COUNTERS)), np.int64), np.zeros((0, len(ROLES), len(KINDS)))
 
     def __getstate__(self):
         state = dict(self.__dict__)
         state.pop("_order_cache", None)
         state.pop("marginals", None)
-        return state | {"_seen": {}, "_class": [_BREAK], "_feats": [[0]], "_counts": [[0] * len(_COUNTERS)], "_scores": None}
+        return state | {"_seen": {}, "_class": [_BREAK], "_feats": [[0]], "_counts": [[0] * len(_COUNTERS)], "_arrays": self._empty(), "_filled": 0}
 
     # ---- tokens
     def _ids(self, tokens: list[str]) -> np.ndarray:
@@ -248,24 +253,30 @@ class SegmentField:
             self._counts.append(counts)
         return np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
 
-    def _role_scores(self) -> np.ndarray:
-        """(token, role, kind) of all tokens met so far."""
-        have = 0 if self._scores is None else len(self._scores)
-        if have < len(self._class):
-            w = self.tables["token"]
-            new = np.zeros((len(self._class) - have, len(ROLES), len(KINDS)))
-            for i, rows in enumerate(self._feats[have:]):
-                if rows and rows != [0]:
-                    new[i] = w[:, rows].sum(1)
-            self._scores = new if self._scores is None else np.concatenate([self._scores, new])
-        return self._scores
+    def _known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class; counters; role and kind scores) of all tokens met so far; only new ones are worked out."""
+        n, (classes, counts, scores) = len(self._class), self._arrays
+        if self._filled < n:
+            if n > len(classes):
+                room = max(1024, 2 * n)
+                classes, counts, scores = (np.concatenate([x, np.zeros((room - len(x), *x.shape[1:]), x.dtype)]) for x in (classes, counts, scores))
+                self._arrays = (classes, counts, scores)
+            new = slice(self._filled, n)
+            classes[new], counts[new] = self._class[new], self._counts[new]
+            if "token" in self.tables:
+                w = self.tables["token"]
+                for i in range(self._filled, n):
+                    if self._feats[i] and self._feats[i] != [0]:
+                        scores[i] = w[:, self._feats[i]].sum(1)
+            self._filled = n
+        return classes[:n], counts[:n], scores[:n]
 
     # ---- all segments of a run of texts
     def _ends(self, ids: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a, b, classes): the score of tokens i..j as kind k without length, counts and order is a[i, k] + b[j, k]."""
         n = len(ids)
-        cls = np.array(self._class)[ids]
-        scores = self._role_scores()
+        classes, _, scores = self._known()
+        cls = classes[ids]
         shifted = lambda x, by: np.concatenate([np.zeros_like(x[:by]), x[: n - by]]) if n > by else np.zeros_like(x)
         ahead = lambda x, by: np.concatenate([x[by:], np.zeros_like(x[:by])]) if n > by else np.zeros_like(x)
         role = lambda r: scores[ids, ROLES.index(r)]
@@ -293,7 +304,7 @@ class SegmentField:
         """(start, length, kind, score) of all segments that score more than nothing."""
         n = len(ids)
         a, b, cls = self._ends(ids, gaps)
-        sums = np.concatenate([np.zeros((1, len(_COUNTERS)), np.int64), np.cumsum(np.array(self._counts)[ids], 0)])
+        sums = np.concatenate([np.zeros((1, len(_COUNTERS)), np.int64), np.cumsum(self._known()[1][ids], 0)])
         spaces = np.concatenate([[0], np.cumsum(gaps > 0)])
         found = []
         for k, kind in enumerate(KINDS):
@@ -394,7 +405,7 @@ class SegmentField:
     def _find(self, texts: list[tuple]) -> list[list[Span]]:
         if not texts:
             return []
-        if len(self._class) > 400_000:
+        if len(self._class) > 200_000:
             self._reset()
         breaks = np.zeros(REACH, np.int64)
         ids, gaps, begin = [breaks], [breaks], []
@@ -500,15 +511,13 @@ class SegmentField:
             read += [(k, n, REACH + r * width + at, size) for k, n, at, size in found]
             ids[r, : len(i)], gaps[r, : len(g)] = i, g
         flat, flat_gaps = np.concatenate([[0] * REACH, ids.ravel()]), np.concatenate([[0] * REACH, gaps.ravel()])
-        self._scores = None
         used, back = np.unique(flat, return_inverse=True)
         feats = np.zeros((len(used), max(1, *(len(self._feats[u]) for u in used))), np.int64)
         for n, u in enumerate(used):
             feats[n, : len(self._feats[u])] = self._feats[u]
-        self._scores = np.zeros((len(self._class), len(ROLES), len(KINDS)))
-        self._scores[used] = self.tables["token"][:, feats].sum(2).transpose(1, 0, 2)
+        self._known()[2][used] = self.tables["token"][:, feats].sum(2).transpose(1, 0, 2)
         a, b, cls = self._ends(flat, flat_gaps)
-        counts = np.array(self._counts)[flat]
+        counts = self._known()[1][flat]
         sums = np.concatenate([np.zeros((1, len(_COUNTERS)), np.int64), np.cumsum(counts, 0)])
         spaces = np.concatenate([[0], np.cumsum(flat_gaps > 0)])
         real = cls != _BREAK
