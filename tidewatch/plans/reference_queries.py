@@ -346,8 +346,7 @@ def agg_cluster_centroid(s, d):
 
 def agg_ctf_idf(s, d):
     docs = read(s, d, "documents").where("text is not null").withColumn("cls", F.substring("source", 1, 3))
-    r = cand.ctf_idf(docs, "cls", "text", STOP)
-    return r.where("place <= 3").groupBy("label").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
+    return cand.ctf_idf(docs, "cls", "text", STOP, 10).select("label", "place", "term", F.round("score", 6).alias("score"))
 
 
 def agg_backtest(s, d):

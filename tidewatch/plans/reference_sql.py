@@ -214,7 +214,7 @@ FROM a JOIN b USING (cand_id) LEFT JOIN ii USING (cand_id) LEFT JOIN hh USING (c
     "agg_ctf_idf": r"""WITH t AS (SELECT substr(source, 1, 3) AS label, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 c AS (SELECT label, term, count(*) AS n FROM t WHERE term NOT IN ('the','of','and','in','is','to','for','that','with','on','we','this','are','as','an','by','from','has','it') GROUP BY 1, 2), k AS (SELECT label, sum(n) AS size FROM c GROUP BY 1), q AS (SELECT term, sum(n) AS f FROM c GROUP BY 1),
 s AS (SELECT label, term, round(n / size * ln(1 + (SELECT floor(avg(size)) FROM k) / f), 9) AS score FROM c JOIN k USING (label) JOIN q USING (term))
-SELECT label, round(max(score), 6) AS best, count(*) AS n FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, term) <= 3) GROUP BY 1""",
+SELECT label, (row_number() OVER (PARTITION BY label ORDER BY score DESC, term))::INTEGER AS place, term, round(score, 6) AS score FROM s QUALIFY place <= 10""",
     "agg_backtest": _with(_W, _L, _J, _YC, _BT) + "SELECT cand_id, CASE WHEN p IS NOT NULL THEN a END AS bt_at_cutoff, p AS bt_peak_after, round_even((p + 1) / (a + 1), 2) AS bt_growth_x FROM bt",
     "agg_lead_time": _with(_W, _L, _J, _YC, _TAKE, _LEAD) + "SELECT * FROM ld",
     "agg_precision_at_k": _with(_REF, f"r AS (SELECT DISTINCT {_NORM.format('label')} AS b FROM ref)", f"t AS (SELECT {_NORM.format('label')} AS a FROM (SELECT cand_id, max(n_docs) AS n, min(label) AS label FROM candidates GROUP BY 1) ORDER BY n DESC, cand_id LIMIT 15)") + "SELECT 15 AS k, count(*) FILTER (WHERE h) AS hits, round(count(*) FILTER (WHERE h) / count(*), 4) AS precision FROM (SELECT EXISTS (SELECT 1 FROM r WHERE b <> '' AND (contains(a, b) OR contains(b, a))) AS h FROM t)",
