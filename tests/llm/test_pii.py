@@ -13,8 +13,8 @@ GIVEN = tuple("Anna Boris Christopher Ekaterina Elizabeth Francesca Gabriela Joh
 
 
 @pytest.fixture(scope="module")
-def model():
-    return queries_d.fitted(GIVEN)
+def model(spark):
+    return queries_d.fitted(spark, GIVEN)
 
 
 def counted(model, examples):
@@ -220,3 +220,13 @@ def test_fit_is_the_same_in_every_process():
     code = "from tidewatch.llm import pii, pii_training as t; m = pii.SegmentField(pii.Lexicon(['Anna'])).train(t.examples(['Anna'], 120), rounds=2); print(round(float(abs(m.tables['token']).sum()), 3), len(m.features))"
     out = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": seed}, cwd=os.getcwd(), capture_output=True, text=True).stdout for seed in ("1", "2")}
     assert len(out) == 1 and out != {""}
+
+
+def test_mean_of_fields_scores_the_mean():
+    texts = [("Ask Anna Berg now", [(4, 13, "name")]), ("no 555 1234", [(3, 11, "phone")])] * 4
+    a, b = (pii.SegmentField(pii.Lexicon(GIVEN)).train(texts, rounds=2, seed=s) for s in (1, 2))
+    m = pii.SegmentField.mean([a, b])
+    assert all(np.allclose(m.tables[k], (a.tables[k] + b.tables[k]) / 2, atol=1e-6) for k in m.tables if not k.startswith("bound"))
+    assert m.find("Ask Anna Berg now") == [(4, 13, "name")]
+    with pytest.raises(ValueError):
+        pii.SegmentField.mean([a, pii.SegmentField(pii.Lexicon(GIVEN)).train(texts[:1], rounds=1)])

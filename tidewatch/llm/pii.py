@@ -428,7 +428,7 @@ class SegmentField:
         return out
 
     # ---- fitting
-    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0.4, l2: float = 3e-4, batch: int = 200, drop: float = 0.25) -> SegmentField:
+    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0.4, l2: float = 3e-4, batch: int = 200, drop: float = 0.25, seed: int = 7) -> SegmentField:
         """Maximum likelihood by AdaGrad over batches of texts of like length, in a fixed order.
 
         In each batch a share ``drop`` of the rows of the large tables is left out, so that no single word or order decides; the
@@ -468,7 +468,7 @@ class SegmentField:
         square = {name: np.full_like(x, 1e-2) for name, x in t.items()}
         order = sorted(range(len(data)), key=lambda x: len(data[x][0]))
         batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-        rng, kept = np.random.default_rng(7), [{} for _ in batches]
+        rng, kept = np.random.default_rng(seed), [{} for _ in batches]
         mean: dict[str, np.ndarray] = {}
         for turn in range(rounds):
             for n in rng.permutation(len(batches)):
@@ -498,6 +498,18 @@ class SegmentField:
         self._reset()
         return self
 
+    @classmethod
+    def mean(cls, fields: Sequence[SegmentField]) -> SegmentField:
+        """The field of the mean weights of fields that were fitted to the same texts with different seeds."""
+        first = fields[0]
+        if any(f.features != first.features or f.orders != first.orders for f in fields):
+            raise ValueError("fields of different texts")
+        out = cls(first.lexicon, first.longest)
+        out.features, out.orders, out.growing = first.features, first.orders, False
+        out.tables = {name: np.mean([f.tables[name] for f in fields], axis=0, dtype=np.float32) for name in first.tables}
+        out._bounds()
+        return out
+
     def gradient(self, texts: list[tuple], kept: dict | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Log likelihood of marked texts [(token ids, gaps, [(kind, start, length)], segments of a grammar)] and its gradient by table.
 
