@@ -65,3 +65,16 @@ def test_sheet_by_headings_and_matrix(spark, tmp_path):
 def test_feeds(spark, body, want):
     got = records.feed_entries(spark.createDataFrame([("s", body)], "source string, body string")).collect()
     assert sorted((r.title, r.link, r.published) for r in got) == want
+
+
+def test_live_run_keeps_the_topic_and_no_duplicates(spark):
+    from tidewatch.sources import live
+
+    schema = "doc_id string, source string, trust_level string, title string, url string"
+    new = [("n1", "rss", "trusted", "Swarm control of drones", "https://a.example/1?utm_source=x"), ("n2", "gnews", None, "Swarm control of drones - Paper", "https://g.example/9"), ("n3", "rss", None, "Cooking", "https://a.example/2"), ("h1", "rss", None, "Swarm control, newer", "https://h.example/1"), ("n4", "rss", None, None, None)]
+    old = [("h1", "rss", None, "Swarm control, older", "https://h.example/1"), ("h2", "rss", None, "Anything", "https://a.example/1")]
+    works, status = live.ingest(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), ["swarm control"])
+    assert {(r.doc_id, r.title) for r in works.collect()} == {("n1", "Swarm control of drones"), ("h1", "Swarm control, newer")}
+    assert {tuple(r) for r in status.collect()} == {("rss", 4, 2, 2), ("gnews", 1, 1, 0)}
+    empty = spark.createDataFrame([], schema)
+    assert [x.count() for x in live.ingest(empty, empty, ["swarm control"])] == [0, 0]

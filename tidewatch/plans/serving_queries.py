@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text
 from tidewatch.operators import candidates, sampling, score
 from tidewatch.plans import serve
-from tidewatch.plans.reference_queries import DOMAIN, _pool, works
-from tidewatch.plans.reference_sql import _FRAG, _HEADWORDS, _WORDS, _NGRAM, _ONE, _POOL, _W, _marker, _with
+from tidewatch.plans.reference_queries import DOMAIN, PHRASES, _pool, works
+from tidewatch.plans.reference_sql import _FRAG, _HEADWORDS, _TOK, _WORDS, _NGRAM, _ONE, _POOL, _W, _marker, _with
 from tidewatch.operators import series
 from tidewatch.runtime import read
-from tidewatch.sources import publish, records
+from tidewatch.sources import live, publish, records
 from tidewatch.streaming import events
 
 TERM, POOL, CUTOFFS = "swarm control", ["swarm control", "tactile sensors", "edge inference", "nothing of the kind"], (2024, 2026)
@@ -111,6 +111,12 @@ def embed_guard(s, d):
     return publish.fingerprint(rows.select(F.concat_ws("|", F.col("emb_row").cast("string"), "cand_id", "label").alias("line")))
 
 
+def run_live_ingest(s, d):
+    rows = works(s, d, "source", "trust_level", "title", "url", "year")
+    status = live.ingest(rows.where("year >= 2025"), rows.where("year < 2025"), PHRASES)[1]
+    return status.select("source", "collected", "on_topic", (F.col("kept") <= F.col("on_topic")).alias("bounded"))
+
+
 def export_terms(s, d):
     kept, links, _ = candidates.extract_terms(works(s, d, "title", "domain").where(F.col("domain") == DOMAIN), DOMAIN, 2)
     return candidates.check_terms(kept, links)
@@ -165,6 +171,7 @@ SELECT cand_id, CASE WHEN coalesce(ok, false) THEN (row_number() OVER (PARTITION
 SELECT cand_id, CASE WHEN len(st) > 0 AND len(list_filter(st, lambda x: x NOT IN ('crop', 'moni'))) = 0 THEN 'the topic of the query' WHEN len(ws) > 1 AND (ws[1] IN {_HEADWORDS} OR ws[-1] IN {_HEADWORDS}) THEN 'headline fragment' WHEN science > 10000 THEN concat('studied widely: ', replace(format('{{:,}}', science), ',', ' '), ' works in 10 years')
 WHEN counts_recent < 2 THEN 'single mention' WHEN months > 24 THEN 'too old' WHEN n_domains < 2 THEN 'one publisher' WHEN trusted_share < 0.34::DOUBLE THEN 'indicator sources only' WHEN months >= 18 AND growth <= 0.03::DOUBLE THEN 'plateau' END AS reason,
 CASE WHEN counts_recent < 4 OR active_years < 3 THEN 'low' WHEN counts_recent >= 15 AND n_domains >= 8 THEN 'high' WHEN counts_recent >= 6 AND n_domains >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM lv""",
+    "run_live_ingest": _with(_W) + f"SELECT source, count(*) AS collected, count(*) FILTER (WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' crop monitoring ') OR contains(' ' || array_to_string(ws, ' ') || ' ', ' quantum sensing methods ') OR (list_contains(ws, 'crop') AND list_contains(ws, 'monitoring')) OR len(list_intersect(ws, ['quantum', 'sensing', 'methods'])) >= 2) AS on_topic, true AS bounded FROM (SELECT source, {_TOK.format('title')} AS ws FROM w WHERE year >= 2025) GROUP BY 1",
     "export_terms": "SELECT * FROM (VALUES ('sum of counts is the number of links', 0::BIGINT), ('each count is its links', 0), ('a link stands once', 0)) t(rule, violations)",
     "demo_documents": _with(_W) + ", p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in POOL) + f"]) AS term), c AS (SELECT unnest([{CUTOFFS[0]}, {CUTOFFS[1]}]) AS as_of)\nSELECT term, as_of, (row_number() OVER (PARTITION BY term, as_of ORDER BY year DESC, cited_by DESC NULLS LAST, doc_id))::INTEGER AS place, doc_id FROM w, p, c WHERE year <= as_of AND (contains(lower(title), term) OR contains(lower(abstract), term)) QUALIFY place <= 20",
     "stream_term_counts": "WITH " + _NGRAM.replace("FROM w)", "FROM w)").replace(_W, "w AS (SELECT row_number() OVER () AS doc_id, title FROM works)") + " SELECT term, count(*) AS n FROM ng GROUP BY 1 HAVING count(*) >= 20",
