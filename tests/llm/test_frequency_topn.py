@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.oracle import connect, same
@@ -41,6 +42,36 @@ def test_frequencies_equal_brute_force(spark, monkeypatch):
     assert all(x.mark == ("rare" if x.records < 2 else "common" if x.records / 4 > 0.5 else None) for x in got.values())
 
 
+def test_long_terms_stay_out_of_the_dictionary(spark, monkeypatch):
+    """What may be broadcast is bound in bytes too: at most 100,000 rows, each narrow."""
+    tables, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda table: tables.append(table) or broadcast(table))
+    long = "x" * 5000
+    rows = [("d1", f"{long}A", 2), ("d1", f" {long}a", 1), ("d2", f"{long}b", 5), ("d3", "é" * 32, 1), ("d3", "É" * 32, 1), ("d3", "é" * 33, 4), ("d2", " " * 100, 9), ("d2", "short", 3)]
+    got = frequency.term_frequencies(spark.createDataFrame(rows, "doc_id string, term string, n int"))
+    assert {(r.term, r.occurrences, r.records) for r in got.collect()} == {(f"{long}a", 3, 1), (f"{long}b", 5, 1), ("é" * 32, 2, 1), ("é" * 33, 4, 1), ("short", 3, 1)}
+    (table,) = tables
+    assert max(len(str(v).encode()) for r in table.collect() for v in r) <= 65
+
+
+def test_large_dictionary_isn_t_copied(spark, monkeypatch):
+    """Frequent keys are broadcast, blank ones too; the rest of the dictionary is joined once, without copies for salts."""
+    monkeypatch.setattr(frequency, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(frequency, "HEAD", 10)
+    rows = [(f"d{i % 50}", ["hot", "Hot", "  ", "warm"][i % 4], 1) for i in range(200)] + [(f"d{i}", f"t{i} {'x' * (i % 3 * 60)}", i) for i in range(40)] + [("d1", "T2", 5), (None, "t3", 1)]
+    tables, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda table: tables.append(table) or broadcast(table))
+    df = frequency.term_frequencies(spark.createDataFrame(rows, "doc_id string, term string, n int"))
+    occ, docs = Counter(), defaultdict(set)
+    for d, t, n in rows:
+        if (f := frequency.normal_form(t)) and n > 0:
+            occ[f] += n
+            docs[f] |= {d} - {None}
+    assert {r.term: (r.occurrences, r.records) for r in df.collect()} == {t: (occ[t], len(docs[t])) for t in occ}
+    assert {r.key for t in tables for r in t.collect()} == {"hot", "Hot", "  ", "warm"}
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_block_arrays_don_t_slow_down_with_ranges():
     def took(ranges):
         rid = np.sort(np.random.default_rng(1).integers(0, ranges, 40_000)).astype(np.int32)

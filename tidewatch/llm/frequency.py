@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.runtime import lookup_join, materialise
+from tidewatch.runtime import BROADCAST_ROWS, materialise
 
 #: Identifiers of one range; a range's two arrays take 16 bytes an identifier.
 RANGE = 16_384
 #: Parts that the rows of one range are spread over, so that a term which holds a third of all rows meets as many tasks.
 PARTS = 16
+#: A text of more bytes is compared by its SHA-256; a key so takes 65 bytes at most, and the dictionary is narrow whatever the terms are.
+KEY_BYTES = 64
+#: Where the dictionary is too large to broadcast, spellings that hold more than this part of all rows are: HEAD of them at most.
+HEAD = 50_000
 
 ARRAYS = T.StructType([
     T.StructField("range_id", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType())),
@@ -43,18 +47,43 @@ def normal_form_udf(terms: pd.Series) -> pd.Series:
     return terms.map(normal_form)
 
 
-def dictionary(spellings: DataFrame) -> DataFrame:
-    """(spelling) -> (spelling, term, range_id, slot): every distinct normal form gets one integer identifier,
-    range_id * RANGE + slot at least as dense as the ranges are filled."""
-    named = materialise(spellings.select("spelling", normal_form_udf("spelling").alias("term")).where("term is not null"), "spellings")
-    ranges = max(1, -(-named.count() * 2 // RANGE))
-    order = Window.partitionBy("range_id").orderBy("term")
+def text_key(text: str) -> Column:
+    """The text itself, or # and 64 hex digits of its SHA-256: more bytes than any text that stands for itself."""
+    return F.when(F.octet_length(text) <= KEY_BYTES, F.col(text)).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+
+
+def dictionary(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spelling, rows) -> codes (key, range_id, slot, leads) and names (key, term, rows), keys being those of spellings: every
+    distinct normal form gets one integer identifier, range_id * RANGE + slot at least as dense as the ranges are filled, and
+    one of its spellings leads. Only names holds whole texts; its term is null for a blank spelling, which has no code."""
+    names = materialise(spellings.select(text_key("spelling").alias("key"), normal_form_udf("spelling").alias("term"), "rows"), "spellings")
+    ranges = max(1, -(-names.count() * 2 // RANGE))
+    keyed = names.where("term is not null").select("key", text_key("term").alias("term_key"))
+    order = Window.partitionBy("range_id").orderBy("term_key")
     ids = (
-        named.select("term").distinct()
-        .withColumn("range_id", F.pmod(F.xxhash64("term"), F.lit(ranges)).cast("int"))
+        keyed.groupBy("term_key").agg(F.min("key").alias("lead"))
+        .withColumn("range_id", F.pmod(F.xxhash64("term_key"), F.lit(ranges)).cast("int"))
         .withColumn("slot", F.row_number().over(order) - 1)
     )
-    return materialise(named.join(ids, "term"), "dictionary")
+    codes = keyed.join(ids, "term_key").select("key", "range_id", "slot", (F.col("key") == F.col("lead")).alias("leads"))
+    return materialise(codes, "dictionary"), names
+
+
+def encode(rows: DataFrame, codes: DataFrame, names: DataFrame) -> DataFrame:
+    """(record, key, n) -> (record, n, range_id, slot), without the rows of blank terms.
+
+    A dictionary of at most BROADCAST_ROWS keys is broadcast. Of a larger one only the keys that hold more than one in HEAD of
+    all rows are, blank ones too; the rows of the others meet the rest of it by key, at most one in HEAD of all rows in one place."""
+    codes = codes.select("key", "range_id", "slot")
+    if codes.count() <= BROADCAST_ROWS:
+        encoded = rows.join(F.broadcast(codes), "key")
+    else:
+        cut = names.select(F.sum("rows")).first()[0] // HEAD  # one number
+        head = names.where(F.col("rows") > cut).select("key")
+        often = codes.join(F.broadcast(head), "key", "left_semi")
+        seldom = rows.join(F.broadcast(head), "key", "left_anti").join(codes.join(F.broadcast(head), "key", "left_anti"), "key")
+        encoded = rows.join(F.broadcast(often), "key").unionByName(seldom)
+    return encoded.select("record", "n", "range_id", "slot")
 
 
 def block_arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,18 +161,18 @@ def term_frequencies(df: DataFrame, record: str = "doc_id", term: str = "term",
     rows = df.select(F.col(f"`{record}`").cast("string").alias("record"), F.col(f"`{term}`").alias("spelling"), amount.alias("n"))
     total = rows.select(F.count_distinct("record")).first()[0]  # one number
     occurring = rows.where("n > 0 and spelling is not null")
-    table = dictionary(occurring.select("spelling").distinct())
-    encoded = lookup_join(occurring, table.select("spelling", "range_id", "slot"), ["spelling"], F.coalesce(F.col("record"), F.lit("")))
+    codes, names = dictionary(occurring.groupBy("spelling").agg(F.count("*").alias("rows")))
+    encoded = encode(occurring.select("record", text_key("spelling").alias("key"), "n"), codes, names)
     # a block is a range and a part of the records: rows of one (record, identifier) meet there, and those of a range lie together
     part = F.pmod(F.xxhash64("record"), F.lit(PARTS)).cast("int")
     spread = encoded.withColumn("part", part).repartition("range_id", "part")
     pairs = spread.groupBy("range_id", "part", "record", "slot").agg(F.sum("n").alias("n")).select("range_id", "slot", "n", F.col("record").isNotNull().cast("long").alias("present"))
     blocks = pairs.sortWithinPartitions("range_id").mapInPandas(block_arrays, ARRAYS)
     totals = blocks.repartition("range_id").sortWithinPartitions("range_id").mapInPandas(sum_arrays, TOTALS)
-    names = table.select("term", "range_id", "slot").distinct()
+    leads = codes.where("leads").select("key", "range_id", "slot")
     share = F.col("records") / F.lit(max(total, 1))
     return (
-        totals.join(names, ["range_id", "slot"])
+        totals.join(leads, ["range_id", "slot"]).join(names, "key")
         .select("term", (F.col("range_id").cast("long") * F.lit(1 << 32) + F.col("slot")).alias("term_id"), "occurrences", "records", share.alias("share"))
         .withColumn("mark", F.when(F.col("records") < min_records, "rare").when(F.col("share") > max_share, "common"))
     )
