@@ -121,6 +121,39 @@ def test_dedup_live_greedy(spark):
     assert sorted(r.doc_id for r in select.dedup_live(rows).collect()) == ["1", "3", "4"]  # 2 went, so its title doesn't count
 
 
+def test_dedup_live_beyond_a_pool(spark):
+    n = select.POOL_ROWS + 1000
+    rows = spark.range(n).select(F.format_string("%07d", "id").alias("doc_id"), F.lit(1).alias("rank"), F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("url_key"), F.concat(F.lit("t"), F.col("id") % 50).alias("title_key"))
+    assert sorted(int(r.doc_id) for r in select.dedup_live(rows).collect()) == [*range(0, 50, 2), *range(51, 100, 2)]
+
+
+@pytest.mark.parametrize("shape", ["random", "chain", "alike", "none"])
+def test_dedup_live_rounds_equal_a_walk(spark, monkeypatch, shape):
+    import random
+    from functools import partial
+
+    monkeypatch.setattr(select, "POOL_ROWS", 12)
+    monkeypatch.setattr(select, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(select, "lookup_join", partial(select.lookup_join, limit=5))
+    rng = random.Random(7)
+    some = lambda k: rng.choice([None, "", *(f"k{i}" for i in range(k))])
+    rows = {
+        "random": [(f"d{i % 70}", rng.randrange(3), some(30), some(20)) for i in range(90)],
+        "chain": [(f"d{i:03}", 1, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(60)],  # each row meets the one before and the one after
+        "alike": [("d1", 1, "u1", None)] * 20 + [("d2", 1, None, None)] * 3,
+        "none": [],
+    }[shape]
+    place = lambda r: (r[1], r[0], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    seen, want = (set(), set()), []
+    for r in sorted(rows, key=place):
+        if r[2] not in seen[0] and r[3] not in seen[1]:
+            want.append(r)
+            seen[0].update({r[2]} - {None})
+            seen[1].update({r[3]} - {None})
+    got = select.dedup_live(spark.createDataFrame(rows, "doc_id string, rank int, url_key string, title_key string")).collect()
+    assert sorted(map(tuple, got), key=place) == want
+
+
 def test_ctf_idf(spark):
     import math
 
