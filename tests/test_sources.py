@@ -78,3 +78,16 @@ def test_live_run_keeps_the_topic_and_no_duplicates(spark):
     assert {tuple(r) for r in status.collect()} == {("rss", 4, 2, 2), ("gnews", 1, 1, 0)}
     empty = spark.createDataFrame([], schema)
     assert [x.count() for x in live.ingest(empty, empty, ["swarm control"])] == [0, 0]
+
+
+def test_live_run_beyond_a_pool(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators.select import POOL_ROWS
+    from tidewatch.sources import live
+
+    n = POOL_ROWS + 1000
+    rows = spark.range(n).select(F.format_string("%07d", "id").alias("doc_id"), F.lit("rss").alias("source"), F.lit("trusted").alias("trust_level"), F.concat(F.lit("Swarm control "), F.col("id") % 50).alias("title"), F.concat(F.lit("https://a.example/"), F.floor(F.col("id") / 2)).alias("url"))
+    works, status = live.ingest(rows.where("id >= 20"), rows.where("id < 20"), ["swarm control"])
+    assert sorted(int(r.doc_id) for r in works.collect()) == [*range(0, 50, 2), *range(51, 100, 2)]
+    assert [tuple(r) for r in status.collect()] == [("rss", n - 20, n - 20, 40)]
